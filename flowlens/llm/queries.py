@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from flowlens.llm import jaccard_join
+from flowlens.llm import jaccard_join, language_id, quality_rules
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
