@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from flowlens.llm import jaccard_join, language_id, quality_rules
+from flowlens.llm import best_fit_packing, jaccard_join, language_id, quality_rules
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op8_best_fit_packing": best_fit_packing.op8_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
