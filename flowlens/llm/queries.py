@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from flowlens.llm import best_fit_packing, jaccard_join, language_id, quality_rules
+from flowlens.llm import best_fit_packing, chat_format, jaccard_join, language_id, quality_rules, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_url_filter": url_filter.op4_url_filter,
     "op8_best_fit_packing": best_fit_packing.op8_best_fit_packing,
+    "op9_chat_format": chat_format.op9_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op9_chat_format": chat_format.ORACLE,
+}
