@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowlens.llm import best_fit_packing, chat_format, jaccard_join, language_id, quality_rules, url_filter
+from flowlens.llm import best_fit_packing, chat_format, jaccard_join, language_id, media_archive, quality_rules, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
     "op8_best_fit_packing": best_fit_packing.op8_best_fit_packing,
     "op9_chat_format": chat_format.op9_chat_format,
+    "op10_media_archive": media_archive.op10_media_archive,
 }
 
 ORACLE_SQL = {
