@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from flowlens.llm import best_fit_packing, chat_format, jaccard_join, language_id, media_archive, quality_rules, url_filter
+from flowlens.llm import best_fit_packing, chat_format, jaccard_join, language_id, media_archive, quality_rules, url_filter, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op7_warc": warc.op7_warc,
     "op8_best_fit_packing": best_fit_packing.op8_best_fit_packing,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_media_archive": media_archive.op10_media_archive,
 }
 
 ORACLE_SQL = {
+    "op7_warc": warc.ORACLE,
     "op9_chat_format": chat_format.ORACLE,
 }
