@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from flowlens.llm import best_fit_packing, chat_format, html_extract, jaccard_join, language_id, media_archive, quality_rules, url_filter, warc
+from flowlens.llm import best_fit_packing, chat_format, html_extract, jaccard_join, language_id, media_archive, piece_sampling, quality_rules, url_filter, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_piece_sampling": piece_sampling.op5_piece_sampling,
     "op6_html_extract": html_extract.op6_html_extract,
     "op7_warc": warc.op7_warc,
     "op8_best_fit_packing": best_fit_packing.op8_best_fit_packing,
