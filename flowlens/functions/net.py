@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from flowlens.functions.lookup import let
+
 
 def ipv4_number(ip: Column) -> Column:
     """A dotted quad as a number; null for anything else."""
@@ -25,20 +27,18 @@ def is_private_wide(ip: Column) -> Column:
 
 
 def ip_text(ip: Column) -> Column:
-    """4 bytes as a dotted quad, 16 bytes as hex groups with the longest run of zeros cut; else 0.0.0.0."""
-    octet = lambda i: F.conv(F.hex(F.substring(ip, i, 1)), 16, 10)
-    v4 = F.concat_ws(".", *[octet(i) for i in range(1, 5)])
-    group = lambda i: F.lower(F.conv(F.hex(F.substring(ip, i, 2)), 16, 16))
-    full = F.concat_ws(":", *[group(i) for i in range(1, 17, 2)])
-    short = full
-    for n in range(8, 1, -1):  # the longest run of two zeros or more, the first of equal ones
-        pattern = "(^|:)" + ":".join(["0"] * n) + "(:|$)"
-        longer = [("(^|:)" + ":".join(["0"] * m) + "(:|$)") for m in range(n + 1, 9)]
-        ok = full.rlike(pattern)
-        for p in longer:
-            ok = ok & ~full.rlike(p)
-        short = F.when(ok, F.regexp_replace(full, "^(.*?)" + pattern + "(.*)$", "$1::$4")).otherwise(short)
-    return F.when(F.length(ip) == 4, v4).when(F.length(ip) == 16, short).otherwise("0.0.0.0")
+    """4 bytes as a dotted quad, 16 bytes as hex groups with the first longest run of zeros cut; else 0.0.0.0."""
+    digits = F.hex(ip)
+    v4 = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(7), F.lit(2)), lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10)), ".")
+    groups = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(29), F.lit(4)), lambda i: F.lower(F.conv(F.substring(digits, i, F.lit(4)), 16, 16))), ":")
+
+    def short(full: Column) -> Column:
+        runs = F.regexp_extract_all(full, F.lit("(?:^|:)0(?::0)+(?=:|$)"), F.lit(0))
+        longest = F.array_max(F.transform(runs, lambda r, i: F.struct(F.length(r).alias("n"), (-i).alias("i"), r.alias("run"))))["run"]
+        cut = lambda run: F.concat(F.substring(full, F.lit(1), F.position(run, full) - 1), F.lit("::"), F.regexp_replace(F.substring(full, F.position(run, full) + F.length(run), F.lit(99)), "^:", ""))
+        return let(longest, lambda run: F.when(run.isNull(), full).otherwise(cut(run)))
+
+    return F.when(F.length(ip) == 4, v4).when(F.length(ip) == 16, let(groups, short)).otherwise("0.0.0.0")
 
 
 def ip_bytes(ip: Column) -> Column:
@@ -78,5 +78,5 @@ def merge_histograms(a: Column, b: Column) -> Column:
 
 def human_bytes(n: Column) -> Column:
     """1.5G, 2.0M, 3.1K, 7."""
-    one = lambda unit, name: F.concat(F.format_number(n / unit, "0.0"), F.lit(name))
+    one = lambda unit, name: F.concat(F.format_string("%.1f", (n / unit).cast("double")), F.lit(name))
     return F.when(n >= 1e9, one(1e9, "G")).when(n >= 1e6, one(1e6, "M")).when(n >= 1e3, one(1e3, "K")).otherwise(n.cast("long").cast("string"))

@@ -58,9 +58,9 @@ SELECT count(*) AS total_flows, {_B} AS total_bytes, count(DISTINCT app_id) AS a
   round(sum(bytes) / {_SECS} / 125000, 6) AS throughput_mbps, round(count(*) / {_SECS}, 6) AS fps
 FROM flows WHERE {since()}""")
 _COLS = "timestamp, src_ip, dst_ip, src_port, dst_port, protocol, sni, tls_version, server_cipher_suite, tls_signature_hash, dns_domain, app_name, app_category, bytes_up, bytes_down, packets_up, packets_down, duration_ms, src_mac"
-_int = {c: F.col(c).cast("bigint") for c in ("src_port", "dst_port", "server_cipher_suite")}
-_ICOLS = ", ".join(f"CAST({c} AS BIGINT) AS {c}" if c in _int else c for c in _COLS.split(", "))
-_add("flows_search", lambda f, t: traffic.newest(traffic.search(f, t, WEEK, search_ip="192.168.", search_domain="qq.com"), 500).withColumns(_int).select(*_COLS.split(", ")), f"""
+_INTS = ("src_port", "dst_port", "server_cipher_suite")
+_ICOLS = ", ".join(f"CAST({c} AS BIGINT) AS {c}" if c in _INTS else c for c in _COLS.split(", "))
+_add("flows_search", lambda f, t: traffic.newest(traffic.search(f, t, WEEK, search_ip="192.168.", search_domain="qq.com"), 500).withColumns({c: F.col(c).cast("bigint") for c in _INTS}).select(*_COLS.split(", ")), f"""
 SELECT {_ICOLS} FROM (SELECT * FROM flows WHERE {since(7)} AND (contains(src_ip, '192.168.') OR contains(dst_ip, '192.168.'))
   AND (contains(sni, 'qq.com') OR contains(dns_domain, 'qq.com')) ORDER BY timestamp DESC, event_id LIMIT 500)""")
 _add("flows_by_app", lambda f, t: traffic.newest(traffic.search(f, t, "30d", app_id=1), 1000).select("event_id", "timestamp", "src_ip", "app_name"), f"""
@@ -84,12 +84,12 @@ _add("summary_peak_hours", lambda f, t: traffic.summary_peak_hours(f, t).select(
 _add("topology_edges", lambda f, t: traffic.topology(f, t, DAY), f"""
 SELECT src_ip, dst_ip, app_name, count(*) AS w, {_B} AS b FROM flows WHERE {since()} AND src_ip LIKE '192.168.%' AND dst_port IN (80, 443, 8080)
 GROUP BY src_ip, dst_ip, app_name ORDER BY b DESC, src_ip, dst_ip, app_name LIMIT 200""")
-_hour = F.col("h").cast("bigint").alias("h")
-_add("timeline_apps", lambda f, t: traffic.timeline_apps(f, t).select(_hour, "app_name", "c"), f"SELECT hour(timestamp) AS h, app_name, count(*) AS c FROM flows WHERE {since()} AND app_name NOT IN ('', 'Unknown') GROUP BY h, app_name")
-_add("timeline_sites", lambda f, t: traffic.timeline_sites(f, t).select(_hour, "sni", "dns_domain", "c"), f"""
+_hour = lambda: F.col("h").cast("bigint").alias("h")
+_add("timeline_apps", lambda f, t: traffic.timeline_apps(f, t).select(_hour(), "app_name", "c"), f"SELECT hour(timestamp) AS h, app_name, count(*) AS c FROM flows WHERE {since()} AND app_name NOT IN ('', 'Unknown') GROUP BY h, app_name")
+_add("timeline_sites", lambda f, t: traffic.timeline_sites(f, t).select(_hour(), "sni", "dns_domain", "c"), f"""
 SELECT hour(timestamp) AS h, sni, dns_domain, count(*) AS c FROM flows WHERE {since()} AND (sni <> '' OR dns_domain <> '')
 GROUP BY h, sni, dns_domain ORDER BY h, c DESC, sni, dns_domain LIMIT 500""")
-_add("topk_apps_per_hour", lambda f, t: traffic.top_per_group(traffic.timeline_apps(f, t, WEEK), "h", "c", 3, "app_name").select(_hour, "app_name", "c", F.col("rank").cast("bigint").alias("rank")), f"""
+_add("topk_apps_per_hour", lambda f, t: traffic.top_per_group(traffic.timeline_apps(f, t, WEEK), "h", "c", 3, "app_name").select(_hour(), "app_name", "c", F.col("rank").cast("bigint").alias("rank")), f"""
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY c DESC, app_name) AS rank FROM (
   SELECT hour(timestamp) AS h, app_name, count(*) AS c FROM flows WHERE {since(7)} AND app_name NOT IN ('', 'Unknown') GROUP BY h, app_name)) WHERE rank <= 3""")
 _add("category_totals", lambda f, t: traffic.shares(window(f, t, WEEK), "app_category", traffic.volume()), f"""
@@ -108,7 +108,7 @@ WHERE {since(7)} AND {_CHAT} AND src_ip LIKE '192.168.%' GROUP BY src_ip ORDER B
 _add("chat_conn_types", lambda f, t: traffic.chat_types(f, t, WEEK), f"""
 SELECT CASE WHEN duration_ms < 100 THEN 'heartbeat' WHEN duration_ms < 1000 THEN 'short' WHEN duration_ms < 5000 THEN 'msg' WHEN duration_ms < 30000 THEN 'file' ELSE 'media' END AS conn_type,
   count(*) AS c, round_even(avg(bytes), 0) AS avg_bytes, {_B} AS total_bytes FROM flows WHERE {since(7)} AND {_CHAT} GROUP BY conn_type""")
-_add("chat_hourly", lambda f, t: traffic.chat_hours(f, t, WEEK).select(_hour, "flows", "bytes", "devices"), f"SELECT hour(timestamp) AS h, count(*) AS flows, {_B} AS bytes, count(DISTINCT src_ip) AS devices FROM flows WHERE {since(7)} AND {_CHAT} GROUP BY h")
+_add("chat_hourly", lambda f, t: traffic.chat_hours(f, t, WEEK).select(_hour(), "flows", "bytes", "devices"), f"SELECT hour(timestamp) AS h, count(*) AS flows, {_B} AS bytes, count(DISTINCT src_ip) AS devices FROM flows WHERE {since(7)} AND {_CHAT} GROUP BY h")
 _add("chat_domains", lambda f, t: traffic.chat_domains(f, t, WEEK), f"SELECT dns_domain, count(*) AS hits, count(DISTINCT src_ip) AS devices FROM flows WHERE {since(7)} AND {_CHAT} AND dns_domain <> '' GROUP BY dns_domain ORDER BY hits DESC, dns_domain LIMIT 10")
 _add("daily_rollup", lambda f, t: traffic.daily_rollup(f), f"SELECT CAST(timestamp AS DATE) AS date, app_id, app_name, app_category, count(*) AS flow_count, {_B} AS total_bytes, count(DISTINCT src_ip) AS unique_devices FROM flows GROUP BY ALL")
 _add("dedup_latest", lambda f, t: traffic.latest_version(f.withColumn("timestamp", traffic.minute()).withColumn("first_seen", F.lit(0))).select("event_id", "timestamp", "src_ip", "last_seen"), """
@@ -155,11 +155,11 @@ _add("alerts_traffic", lambda f, t: devices.traffic_alerts(f, t, DAY, most=200_0
 SELECT src_ip, count(DISTINCT sni) + count(DISTINCT dns_domain) AS dests, count(DISTINCT app_name) AS apps, {_B} AS bytes FROM flows WHERE {since()} AND src_ip LIKE '192.168.%'
 GROUP BY src_ip HAVING dests > 10 OR bytes > 200000 ORDER BY bytes DESC, src_ip LIMIT 20""")
 _ALERTS = f"WITH {BASE}, now AS (SELECT max(timestamp) AS t FROM base), alerts AS (SELECT event_id, timestamp, src_ip, src_mac, CAST(k AS BIGINT) AS risk_score FROM base WHERE event_type = 'error') "
-_score = F.col("risk_score").cast("bigint").alias("risk_score")
+_score = lambda: F.col("risk_score").cast("bigint").alias("risk_score")
 _alert = lambda e: projections.alerts_from_events(e)
-_add_events("alerts_anomaly", lambda e, t: devices.top_alerts(_alert(e), t, WEEK).select("event_id", "timestamp", "src_ip", "src_mac", _score), _ALERTS + f"SELECT * FROM alerts WHERE {since(7)} ORDER BY risk_score DESC, timestamp DESC, event_id LIMIT 50")
+_add_events("alerts_anomaly", lambda e, t: devices.top_alerts(_alert(e), t, WEEK).select("event_id", "timestamp", "src_ip", "src_mac", _score()), _ALERTS + f"SELECT * FROM alerts WHERE {since(7)} ORDER BY risk_score DESC, timestamp DESC, event_id LIMIT 50")
 _add_events("anomalies_summary", lambda e, t: devices.alert_summary(_alert(e), t, WEEK).select("total", F.round("avg_risk", 6).alias("avg_risk"), F.col("max_risk").cast("bigint").alias("max_risk"), "affected_devices"), _ALERTS + f"SELECT count(*) AS total, round(avg(risk_score), 6) AS avg_risk, max(risk_score) AS max_risk, count(DISTINCT src_ip) AS affected_devices FROM alerts WHERE {since(7)}")
-_add_events("anomalies_unresolved", lambda e, t: devices.unresolved(_alert(e), _alert(e).where("risk_score = 99"), t, WEEK).select("event_id", "timestamp", "src_ip", _score), _ALERTS + f"SELECT event_id, timestamp, src_ip, risk_score FROM (SELECT * FROM alerts WHERE {since(7)} ORDER BY risk_score DESC, timestamp DESC, event_id LIMIT 100) WHERE src_ip NOT IN (SELECT src_ip FROM alerts WHERE risk_score = 99)")
+_add_events("anomalies_unresolved", lambda e, t: devices.unresolved(_alert(e), _alert(e).where("risk_score = 99"), t, WEEK).select("event_id", "timestamp", "src_ip", _score()), _ALERTS + f"SELECT event_id, timestamp, src_ip, risk_score FROM (SELECT * FROM alerts WHERE {since(7)} ORDER BY risk_score DESC, timestamp DESC, event_id LIMIT 100) WHERE src_ip NOT IN (SELECT src_ip FROM alerts WHERE risk_score = 99)")
 _add_events("alerts_affected", lambda e, t: devices.affected(_alert(e)), _ALERTS + "SELECT count(DISTINCT src_ip) AS devices, count(*) FILTER (risk_score >= 75) AS critical FROM alerts")
 _SESSIONS = f"WITH {BASE}, s AS (SELECT event_id, timestamp, {{d}} AS host, ['GET', 'POST', 'PUT'][k % 3 + 1] AS method, '/p/' || k AS path, k AS content_length FROM base WHERE event_type = 'click') ".replace("{d}", "sni")
 _add_events("http_sessions", lambda e, t: traffic.newest_sessions(projections.sessions_from_events(e)).select("event_id", "timestamp", "host", "method", "path", "content_length"), _SESSIONS + "SELECT * FROM s ORDER BY timestamp DESC, event_id LIMIT 100")
