@@ -143,7 +143,9 @@ class MediaArchiveReader(DataSourceReader):
         archives = sorted((x.path, x.size) for x in found if x.path.endswith(".tar") and "/_" not in x.path[len(path) :])
         return [_Range(p, at, min(at + self.bytes, size)) for p, size in archives for at in range(0, size, self.bytes)]
 
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's call when no partition is planned
+            return
         files = Ranges(self.folder, self.tries)
         index = partition.path.removesuffix(".tar") + ".offsets"
         size = files.fs.get_file_info(index).size
