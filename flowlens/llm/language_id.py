@@ -78,9 +78,12 @@ def _ranked(grams: np.ndarray, most: int) -> np.ndarray:
 def learned(docs: DataFrame) -> dict[str, list[int]]:
     """The profiles, from doc_id, text and lang of labelled documents."""
     small_batches(docs.sparkSession)
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     rows = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    picked = written(rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= SAMPLE).select("doc_id", "lang").distinct(), "sample")
+    # twice as many by hash first, so that the ranking of a language is small wherever it is done
+    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), 2.0 * SAMPLE / F.count("*")).alias("share"))
+    ids = rows.select("doc_id", "lang").join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    rank = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id")
+    picked = written(ids.select("doc_id", "lang").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= SAMPLE).select("doc_id", "lang").distinct(), "sample")
     sample = rows.join(sized(picked, picked.count(), LANGUAGES * SAMPLE), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def count(batches):
