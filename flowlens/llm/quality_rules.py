@@ -181,7 +181,7 @@ def judged(stats: DataFrame, model: DataFrame, keys_limit: int = 200_000) -> Dat
     pick = lambda k, least: model.where((F.col("key.level") == k) & (F.col("n") >= least)).select(F.col("key.lang").alias(f"l{k}"), F.col("key.source").alias(f"s{k}"), F.struct("mean", "inverse").alias(f"e{k}"))
     groups = model.where("key.level = 0").select(F.col("key.lang").alias("_lang"), F.col("key.source").alias("_source"))
     g = groups.join(pick(0, MIN_ROWS), F.col("_lang").eqNullSafe(F.col("l0")) & F.col("_source").eqNullSafe(F.col("s0")), "left")
-    g = g.join(pick(1, MIN_ROWS), F.col("_lang").eqNullSafe(F.col("l1")), "left").join(F.broadcast(pick(2, MIN_ALL)), F.lit(True), "left")  # one row
+    g = g.join(pick(1, MIN_ROWS), F.col("_lang").eqNullSafe(F.col("l1")), "left").withColumn("_all", F.lit(2)).join(F.broadcast(pick(2, MIN_ALL).withColumn("k2", F.lit(2))), F.col("_all") == F.col("k2"), "left")  # one row
     g = written(g.select("_lang", "_source", F.coalesce("e0", "e1", "e2").alias("_e")).select("_lang", "_source", F.col("_e.mean").alias("mean"), F.col("_e.inverse").alias("inverse")), "estimates")
     names = stats.columns
     x = [f"_x{i}" for i in range(_D)]
