@@ -34,7 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, base, np.uint64)])) for base in (_P, _P_INV)]
     return _powers[0], _powers[1]
 
@@ -48,7 +48,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, pa.Array]]:
+def slices(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, pa.Array]]:
     """Runs of rows with about `most` bytes at most (one long row may have more)."""
     _, offsets = utf8(column)
     at = 0
