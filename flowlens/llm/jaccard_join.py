@@ -1,16 +1,16 @@
 """Operator 2, n-gram Jaccard join: a grouped prefix join over word shingles.
 
 A document's set holds its distinct n-word shingles. Documents with equal sets form a class; classes with equal
-prefixes and sizes form a group; only groups meet in the prefix index. Pairs of groups pass a size and a position
-filter, expand to classes, and are verified on whole sets, with integer arithmetic.
+prefixes and sizes form a group; only groups meet in the prefix index. Pairs pass a size, a position and a parity
+filter, and are verified on whole sets, with integer arithmetic.
 
 The prefix order puts rare shingles first. Rarity comes from a sketch of fixed size (SKETCH counters) summed over
 all documents; any order gives right results, so a sketch can only cost time.
 
-For components, not every pair in a large group of near copies is needed. The first round tries, in each index
-entry, each group against the entry's first and against its predecessor by size. Links found there make partial
-components. The second round tries every pair of an entry across two partial components, which is all that
-could still join something, so no link that matters is lost. `links` tries every pair instead.
+For components, not every pair in a large group of near copies is needed. STARS rounds try, in each index entry,
+each class against the heaviest of the entry (an original meets more rows than its edited copies do), the next by
+weight and one by hash, and join what they link into parts. The last round tries every pair of an entry across two
+parts, which is all that could still join something, so no link that matters is lost. `jaccard_links` tries every pair.
 
 Defined results: null or empty texts, and texts without a word, have an empty set and no link, and their own doc_id
 as component_id. Rows are judged one by one, so a repeated row is a copy of the other. A null doc_id never is a
@@ -34,6 +34,10 @@ from flowlens.llm._words import shingle_hashes, slices, word_hashes
 SKETCH, CHUNK = 1 << 20, 1 << 14
 #: Ids of up to so many classes (16 MB) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rounds of stars before the round of all pairs across parts.
+STARS = 1
+#: Bits of a set's parity map. Two maps differ in no more bits than their sets do in shingles.
+PARITY = 1024
 
 
 def _sets(batch: pa.RecordBatch, n: int):
@@ -77,13 +81,15 @@ def frequencies(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size, cls (digest of the set), grp (digest of prefix and size), prefix (shingles, rare ones first)."""
+    """doc_id, size, cls (digest of the set), grp (digest of prefix and size), prefix (shingles, rare ones first), and
+    parity: PARITY bits, each telling whether an odd number of the set's shingles fall on it."""
     order = docs.sparkSession.sparkContext.broadcast(frequencies(docs, n))
 
     def sign(batches):
         for batch in batches:
             ids = batch.column("doc_id")
-            size, cls, grp, prefix = [0] * len(batch), [None] * len(batch), [None] * len(batch), [None] * len(batch)
+            size = [0] * len(batch)
+            cls, grp, prefix, parity = ([None] * len(batch) for _ in range(4))
             for i, found in _sets(batch, n):
                 keep = len(found) + (-percent * len(found) // 100) + 1
                 # the rarest `keep` of them in the order (count, hash)
@@ -92,43 +98,75 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 cls[i] = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
                 grp[i] = hashlib.blake2b(first.tobytes() + len(found).to_bytes(8, "little"), digest_size=16).digest()
                 prefix[i] = first.view(np.int64)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(size, pa.int64()), pa.array(cls, pa.binary()), pa.array(grp, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "size", "cls", "grp", "prefix"])
+                parity[i] = np.packbits(np.bincount((found >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1).view(np.int64)
+            columns = [ids.cast(pa.int64()), pa.array(size, pa.int64()), pa.array(cls, pa.binary()), pa.array(grp, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "cls", "grp", "prefix", "parity"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, size long, cls binary, grp binary, prefix array<bigint>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, size long, cls binary, grp binary, prefix array<bigint>, parity array<bigint>")
 
 
 class _Join:
-    """The written tables of one join: signatures, classes (one row for each distinct set) and groups."""
+    """The written tables of one join: signatures, classes (one row for each distinct set) and index rows."""
 
     def __init__(self, docs: DataFrame, n: int, percent: int):
         small_batches(docs.sparkSession)
         self.docs, self.n, self.percent, self.spark = docs, n, percent, docs.sparkSession
         self.paths: list[str] = []
-        self.signed = written(signatures(docs, n, percent), "signatures")
-        sets = self.signed.where("cls is not null")
-        groups = sets.groupBy("grp").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-        self.groups = written(groups.withColumn("gid", F.monotonically_increasing_id()), "groups", self.paths)
-        classes = sets.groupBy("cls").agg(F.first("grp").alias("grp"), F.first("size").alias("size"), F.min("doc_id").alias("rep"))
-        classes = classes.join(self.groups.select("grp", "gid"), "grp")
-        self.classes = written(classes.select("cls", "gid", "size", "rep", F.monotonically_increasing_id().alias("cid")), "classes")
-
-    def entries(self) -> DataFrame:
-        """The prefix index without entries of a single group: token, gid, size, pos, and the neighbours tried first."""
-        tokens = self.groups.select("gid", "size", F.posexplode("prefix").alias("pos", "token"))
-        entry = Window.partitionBy("token").orderBy("size", "gid")
-        me = F.struct("gid", "size", "pos")
-        rows = tokens.select("*", F.lag(me).over(entry).alias("before"), F.lead("gid").over(entry).alias("after"), F.first(me).over(entry).alias("head"))
-        return written(rows.where("before is not null or after is not null"), "entries", self.paths)
-
-    def possible(self, size_a, pos_a, size_b, pos_b):
+        signed = written(signatures(docs, n, percent), "signatures", self.paths)
+        sets = signed.where("cls is not null")
+        classes = sets.groupBy("cls", "grp", "size").agg(F.min("doc_id").alias("rep"), F.first("parity").alias("parity"))
+        classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+        groups = classes.groupBy("grp").agg(F.min("rep").alias("rep"), F.min("cid").alias("gid"), F.count("*").alias("classes"))
+        self.classes = classes.join(groups.select("grp", "gid"), "grp").select("cls", "gid", "size", "rep", "cid", "parity")
+        self.classes = written(self.classes, "classes")
+        groups = written(groups, "groups", self.paths)
+        self.signed = written(signed.select("doc_id", "size", "cls"), "sizes")
+        self.rows = self.index(sets, groups)
+        forget(self.spark, self.paths)
+
+    def index(self, sets: DataFrame, groups: DataFrame) -> DataFrame:
+        """The prefix index without entries of a single class: token, cid, at (size and position), weight.
+
+        One document of each group stands for it here. weight: how many rows a class meets in all its entries.
+        """
+        groups = sized(groups, groups.count(), BROADCAST_IDS)
+        firsts = sets.join(groups, [sets.grp == groups.grp, sets.doc_id.eqNullSafe(groups.rep)]).select("gid", "classes", "size", "prefix")
+        tokens = firsts.select("gid", "classes", "size", F.posexplode("prefix").alias("pos", "token"))
+        tokens = tokens.select("token", "gid", F.expr("shiftleft(size, 32) + pos").alias("at"), F.expr("classes > 1 and pos = 0").alias("inner"))
+        # by size, a row whose neighbours are too far has no partner in its entry
+        entry = Window.partitionBy("token")
+        by_size = entry.orderBy("at")
+        size = lambda x: F.shiftright(x, 32)
+        close = lambda x: F.coalesce(100 * F.least(size(x), size(F.col("at"))) >= self.percent * F.greatest(size(x), size(F.col("at"))), F.lit(False))
+        met = tokens.select("token", "gid", "at", "inner", F.count("*").over(entry).alias("met"), (close(F.lag("at").over(by_size)) | close(F.lead("at").over(by_size))).alias("close"))
+        # classes of a group share its whole prefix: they meet at its first token at least
+        entries = written(met.where("close or inner").drop("close"), "entries", self.paths)
+        weights = entries.groupBy("gid").agg(F.sum("met").alias("weight"))
+        few = self.classes.count()
+        rows = entries.select("token", "gid", "at").join(sized(self.classes.select("gid", "cid"), few, BROADCAST_IDS), "gid").join(sized(weights, few, BROADCAST_IDS), "gid")
+        return written(rows.select("token", "cid", "at", "weight"), "rows")
+
+    def possible(self, at_a: str, at_b: str):
         """No pair that is similar enough fails this at its first common token."""
+        (size_a, pos_a), (size_b, pos_b) = ((F.shiftright(x, 32), F.col(x).bitwiseAND(0xFFFFFFFF)) for x in (at_a, at_b))
         share = 1 + F.least(size_a - pos_a - 1, size_b - pos_b - 1)
         return (100 * F.least(size_a, size_b) >= self.percent * F.greatest(size_a, size_b)) & (100 * share >= self.percent * (size_a + size_b - share))
 
+    def parted(self, part: DataFrame) -> DataFrame:
+        """The index rows of entries that hold classes of several parts, with their part."""
+        rows = self.rows.join(sized(part.select(F.col("node").alias("cid"), F.col("component").alias("part")), part.count(), BROADCAST_IDS), "cid", "left").select("token", "cid", "at", "weight", F.coalesce("part", "cid").alias("part"))
+        entry = Window.partitionBy("token")
+        return rows.select("*", F.min("part").over(entry).alias("least"), F.max("part").over(entry).alias("most")).where("least <> most").drop("least", "most")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """pairs: cid values a < b. Those whose whole sets are similar enough."""
         done: list[str] = []
-        pairs = written(pairs.distinct(), "pairs", done)
+        own = lambda c: self.classes.select(F.col("cid").alias(c), F.col("size").alias(f"size_{c}"), F.col("parity").alias(f"parity_{c}"))
+        pairs = pairs.distinct().join(own("a"), "a").join(own("b"), "b")
+        # a pair with similarity t differs in (1 - t) / (1 + t) of its sizes' sum at most
+        bits = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        near = (100 + self.percent) * bits <= (100 - self.percent) * (F.col("size_a") + F.col("size_b"))
+        pairs = written(pairs.where(near).select("a", "b"), "pairs", done)
         ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
         need = written(ids.join(self.classes, "cid").select("cid", "cls", "rep"), "need", done)
         n = self.n
@@ -151,41 +189,36 @@ class _Join:
         forget(self.spark, done)
         return links
 
-    def first_round(self, entries: DataFrame) -> DataFrame:
-        """Class pairs: heads of groups that meet first in an entry, and neighbours within a group."""
-        in_group = Window.partitionBy("gid").orderBy("cid")
-        ranked = self.classes.select("gid", "cid", F.lag("cid").over(in_group).alias("before"), F.min("cid").over(in_group).alias("head"))
-        inner = ranked.where("before is not null").select(F.explode(F.array(F.struct(F.col("before").alias("a"), F.col("cid").alias("b")), F.struct(F.col("head").alias("a"), F.col("cid").alias("b")))).alias("p")).select("p.*")
-        heads = self.classes.groupBy("gid").agg(F.min("cid").alias("cid"))
-        met = entries.where("before is not null").select(F.struct("gid", "size", "pos").alias("me"), F.explode(F.array("before", "head")).alias("other"))
-        met = met.where(self.possible(F.col("me.size"), F.col("me.pos"), F.col("other.size"), F.col("other.pos"))).select(F.col("other.gid").alias("ga"), F.col("me.gid").alias("gb")).where("ga <> gb").distinct()
-        met = met.join(heads.select(F.col("gid").alias("ga"), F.col("cid").alias("a")), "ga").join(heads.select(F.col("gid").alias("gb"), F.col("cid").alias("b")), "gb")
-        return inner.union(met.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    def across(self, entries: DataFrame, part: DataFrame) -> DataFrame:
-        """Class pairs of one entry or one group in different parts (part: cid, component; none: each its own)."""
-        classes = self.classes.join(part.withColumnRenamed("node", "cid"), "cid", "left").select("gid", "cid", "size", F.coalesce("component", "cid").alias("part"))
-        rows = entries.select("token", "gid", "pos").join(classes, "gid")
-        # classes of a group meet here as well: they share every token of the prefix, so the first one does
+    def stars(self, part: DataFrame, seed: int) -> DataFrame:
+        """Class pairs of one entry and different parts: each class with the heaviest of the entry, with its next
+        by weight and with one taken by hash. Three pairs at most for each index row."""
+        me = F.struct("cid", "at", "part")
+        entry = Window.partitionBy("token")
+        heavy = entry.orderBy(F.desc("weight"), "cid")
+        rows = self.parted(part).select(me.alias("me"), F.first(me).over(heavy).alias("hub"), F.lag(me).over(heavy).alias("next"), F.min(F.struct(F.xxhash64("cid", F.lit(seed)).alias("h"), "cid", "at", "part")).over(entry).alias("any"))
+        other = F.explode(F.array("hub", "next", F.struct("any.cid", "any.at", "any.part")))
+        pairs = rows.select("me", other.alias("other")).where("me.part <> other.part").select(F.col("me.cid").alias("a"), F.col("me.at").alias("at_a"), F.col("other.cid").alias("b"), F.col("other.at").alias("at_b"))
+        return pairs.where(self.possible("at_a", "at_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    def across(self, part: DataFrame) -> DataFrame:
+        """All class pairs of one entry and different parts."""
+        rows = self.parted(part)
         per_part = rows.groupBy("token", "part").agg(F.count("*").alias("n"))
-        most = per_part.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("n", "part"))["part"].alias("main")).where("parts > 1")
-        rows = written(rows.join(most.select("token", "main"), "token"), "rows", self.paths)
-        x = rows.where("part <> main").select("token", *[F.col(c).alias(f"{c}_x") for c in ("cid", "size", "pos", "part")])
-        y = rows.select("token", *[F.col(c).alias(f"{c}_y") for c in ("cid", "size", "pos", "part", "main")])
-        pairs = x.join(y, "token").where("part_x <> part_y and (part_y = main_y or part_x < part_y)")
-        pairs = pairs.where(self.possible(F.col("size_x"), F.col("pos_x"), F.col("size_y"), F.col("pos_y")))
+        main = per_part.groupBy("token").agg(F.max(F.struct("n", "part"))["part"].alias("main"))
+        rows = written(rows.join(main, "token"), "parted", self.paths)
+        x = rows.where("part <> main").select("token", F.col("cid").alias("cid_x"), F.col("at").alias("at_x"), F.col("part").alias("part_x"))
+        y = rows.select("token", "main", F.col("cid").alias("cid_y"), F.col("at").alias("at_y"), F.col("part").alias("part_y"))
+        pairs = x.join(y, "token").where((F.col("part_x") != F.col("part_y")) & ((F.col("part_y") == F.col("main")) | (F.col("part_x") < F.col("part_y"))) & self.possible("at_x", "at_y"))
         return pairs.select(F.least("cid_x", "cid_y").alias("a"), F.greatest("cid_x", "cid_y").alias("b"))
 
-    def within(self, part: DataFrame) -> DataFrame:
-        """Class pairs of one group in different parts; such groups need not meet another one in any entry."""
-        classes = self.classes.join(part.withColumnRenamed("node", "cid"), "cid", "left").select("gid", "cid", F.coalesce("component", "cid").alias("part"))
-        per_part = classes.groupBy("gid", "part").agg(F.count("*").alias("n"))
-        most = per_part.groupBy("gid").agg(F.count("*").alias("parts"), F.max(F.struct("n", "part"))["part"].alias("main")).where("parts > 1")
-        rows = classes.join(most.select("gid", "main"), "gid")
-        x = rows.where("part <> main").select("gid", F.col("cid").alias("cid_x"), F.col("part").alias("part_x"))
-        y = rows.select("gid", "main", F.col("cid").alias("cid_y"), F.col("part").alias("part_y"))
-        pairs = x.join(y, "gid").where("part_x <> part_y and (part_y = main or part_x < part_y)")
-        return pairs.select(F.least("cid_x", "cid_y").alias("a"), F.greatest("cid_x", "cid_y").alias("b"))
+    def joined(self, part: DataFrame, links: DataFrame) -> DataFrame:
+        """part after the links: node, component of every node that either names."""
+        of = lambda c: part.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}"))
+        more = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b"))
+        whole = components(more).withColumnRenamed("component", "whole")
+        moved = part.join(whole.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+        new = whole.join(part.select("node"), "node", "left_anti").select("node", F.col("whole").alias("component"))
+        return written(moved.unionByName(new), "parts")
 
 
 def _check(percent: int, n: int) -> None:
@@ -200,18 +233,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     """
     _check(percent, n)
     join = _Join(docs, n, percent)
-    entries = join.entries()
-    near = join.verified(join.first_round(entries))
-    part = components(near.select("a", "b"))
-    rest = join.verified(join.across(entries, part).union(join.within(part)))
-    part_of = lambda c: part.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}"))
-    more = rest.join(part_of("a"), "a", "left").join(part_of("b"), "b", "left").select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b"))
-    whole = components(more)
-    classes = join.classes.join(part.withColumnRenamed("node", "cid"), "cid", "left").select("cls", "rep", F.coalesce("component", "cid").alias("node")).join(whole, "node", "left").select("cls", "rep", F.coalesce("component", "node").alias("component"))
+    part = join.spark.createDataFrame([], "node long, component long")
+    for seed in range(STARS):
+        part = join.joined(part, join.verified(join.stars(part, seed)))
+    part = join.joined(part, join.verified(join.across(part)))
+    classes = join.classes.join(part.withColumnRenamed("node", "cid"), "cid", "left").select("cls", "rep", F.coalesce("component", "cid").alias("component"))
     smallest = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
     classes = written(classes.join(smallest, "component").select("cls", F.col("rep").alias("class_id"), "component_id"), "labelled")
     out = join.signed.select("doc_id", F.col("size").alias("n_shingles"), "cls").join(classes, "cls", "left")
-    out = written(out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), "jaccard")
+    own = lambda c: F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col(c)).alias(c)
+    out = written(out.select("doc_id", "n_shingles", own("class_id"), own("component_id")), "jaccard")
     forget(join.spark, join.paths)
     return out
 
@@ -220,8 +251,7 @@ def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Every link between different sets, as (doc_a, doc_b, common, sizes) of the classes' smallest doc_id."""
     _check(percent, n)
     join = _Join(docs, n, percent)
-    alone = join.spark.createDataFrame([], "node long, component long")
-    found = join.verified(join.across(join.entries(), alone).union(join.within(alone)))
+    found = join.verified(join.across(join.spark.createDataFrame([], "node long, component long")))
     rep = lambda c: join.classes.select(F.col("cid").alias(c), F.col("rep").alias(f"doc_{c}"))
     return found.join(rep("a"), "a").join(rep("b"), "b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "common", "sizes")
 
