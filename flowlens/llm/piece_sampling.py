@@ -4,7 +4,8 @@ A text's lattice holds every vocabulary piece at every place where its character
 the product of its pieces' weights (rank + RANK) ** -THETA, the piece's rank being its place among the merges. One
 pass forward sums the weights of all segmentations of each prefix; a pass backward draws the last piece, the one
 before, and so on, each in proportion to the weight of all that it completes, so that segmentations come with exactly
-their own probability. Pieces hold a space only in front, so words (with the space before them) are drawn one by one.
+their own probability. No piece holds a space after another character (the vocabulary is checked for that), so words, with
+the whole run of spaces before them, are drawn one by one.
 
 The draw at a place of a row is a hash of the row's key, the place and SEED: the same row always gets the same ids,
 in whatever batch or task. THETA = inf is the most probable path in effect; smaller values vary more.
@@ -54,7 +55,9 @@ class Pieces:
             if model.is_byte(i):
                 value = int(piece[1:-1], 16)
                 self.byte_id[value], self.bytes_of[i] = i, bytes([value])
-            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and "▁" not in piece[1:]:
+            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
+                if "▁" in piece.lstrip("▁"):
+                    raise ValueError(f"piece {i} holds a space after another character: words cannot be drawn apart")
                 self.bytes_of[i] = piece.replace("▁", " ").encode()
                 keys.append(piece)
                 ids.append(i)
@@ -119,7 +122,7 @@ class Pieces:
 
     def lattice(self, words: list[str]):
         """(first slot of each word, ids and cumulated chances by slot and piece length). A word has a slot for its
-        beginning, one for the space before it and one for each character."""
+        beginning, one for the space before it and one for each character, further spaces in front among them."""
         joined = "▁" + "".join([w + "￾▁" for w in words])  # U+FFFE stands where a word's first slot is
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)[:-1].astype(np.int64)
         lengths = np.array([len(w) + 1 for w in words], np.int64)
@@ -131,6 +134,7 @@ class Pieces:
         literal = points == _SPACE
         literal[start + 1] = False
         points[literal] = _LITERAL
+        points[points == 32] = _SPACE
         place = np.arange(n) - np.repeat(start, lengths + 1)
         most = min(self.longest, int(lengths.max()))
         ids = np.full((n, most), -1, np.int32)
@@ -196,7 +200,7 @@ class Pieces:
         """(all ids, each text's end in them); keys: an unsigned 64-bit number for each text."""
         words, count = [], []
         for text in texts:
-            own = text.split(" ") if text else []
+            own = _words(text)
             words += own
             count.append(len(own))
         if not words:
@@ -248,6 +252,21 @@ class Pieces:
         return self.all[at].tobytes()
 
 
+def _words(text: str) -> list[str]:
+    """The text's words, each with the spaces before it but one; spaces at the end make a word of their own."""
+    parts = text.split(" ") if text else []
+    if "" not in parts:
+        return parts
+    words, spaces = [], 0
+    for part in parts[:-1]:
+        if part:
+            words.append(" " * spaces + part)
+            spaces = 0
+        else:
+            spaces += 1
+    return [*words, " " * spaces + parts[-1]]
+
+
 _loaded: dict[tuple, Pieces] = {}
 
 
