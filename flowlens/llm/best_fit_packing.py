@@ -9,7 +9,8 @@ dealt to fewer partitions and packed again, until one partition's worth is left
 
 Ids are those of the tokenizers library for the same vocabulary (tests hold them against it), by way of a faster
 library: texts are split at single spaces, where the vocabulary's pattern always splits as well, and a word's ids are
-looked up if it was met before. Strings like special tokens are ordinary text.
+looked up if it was met before. The query and the stage cut texts at the added tokens of the vocabulary's json first,
+as that library does by default; `pieces` takes their strings as ordinary text unless it is given them.
 
 Defined results: a null text is an empty one, so its only id is the end id. Equal rows are packed one by one. Of a
 stage's or query's other columns none is used.
@@ -18,6 +19,8 @@ stage's or query's other columns none is used.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 
 import numpy as np
@@ -40,6 +43,15 @@ def _public(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def added_tokens(path: str | None = None) -> dict[str, int]:
+    """The strings that the vocabulary's json adds to its merges, and their ids."""
+    with open(path or _public("byte_bpe_50k.json"), encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+        raise ValueError("only added tokens that match as they stand are supported")
+    return {t["content"]: t["id"] for t in added}
+
+
 class _Words(dict):
     """Word (with the space before it) to its ids as little-endian unsigned 32-bit numbers."""
 
@@ -64,6 +76,22 @@ class _Words(dict):
         return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").split("\0")))
 
 
+def _with_added(words: _Words, added: dict[str, int]):
+    """A function of a text to its ids; of added tokens that begin at one place the longest is taken."""
+    if not added:
+        return words.ids
+    found = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    whole = {token: np.array([i], "<u4").tobytes() for token, i in added.items()}
+
+    def ids(text: str) -> bytes:
+        if not any(token in text for token in whole):
+            return words.ids(text)
+        # odd parts are the tokens
+        return b"".join(whole[part] if k % 2 else words.ids(part) for k, part in enumerate(found.split(text)) if part)
+
+    return ids
+
+
 _tokenizers: dict[tuple, _Words] = {}
 
 
@@ -74,8 +102,8 @@ def _words(ranks_path: str, pattern: str) -> _Words:
     return _tokenizers[key]
 
 
-def pieces(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every text's pieces."""
+def pieces(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, length: int = LENGTH, end: int = END, added: dict[str, int] | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every text's pieces. added: strings that are one id wherever they stand."""
     small_batches(docs.sparkSession)
     if pattern is None:
         import public_tokenizers
@@ -86,12 +114,12 @@ def pieces(docs: DataFrame, ranks_path: str | None = None, pattern: str | None =
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def cut(batches):
-        words = _words(ranks_path, pattern)
+        ids_of = _with_added(_words(ranks_path, pattern), added or {})
         for batch in batches:
             rows: list[list[int]] = [[], [], [], []]
             owner = []
             for i, text in enumerate(batch.column("text")):
-                ids = words.ids(text.as_py() or "") + last
+                ids = ids_of(text.as_py() or "") + last
                 n = len(ids) // 4
                 at, k = 0, 0
                 while at < n:
@@ -203,9 +231,9 @@ def packed(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op8_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    return packed(pieces(read_table(spark, sf_dir, "documents")))
+    return packed(pieces(read_table(spark, sf_dir, "documents"), added=added_tokens()))
 
 
 def packed_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: the pieces of docs and their places in sequences."""
-    return packed(pieces(docs))
+    return packed(pieces(docs, added=added_tokens()))
