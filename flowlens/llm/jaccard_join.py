@@ -261,8 +261,25 @@ def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest doc_id stays; documents without a word stay."""
+    """By doc_id, for tables in which it is a key: of each component the document with the smallest doc_id stays.
+
+    Rows with one doc_id stay or go together and rows without one stay; `one_of_each` judges row by row.
+    """
     found = jaccard_components(docs)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     return kept
+
+
+def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each component exactly one row stays; rows without a word stay.
+
+    It is the row with the smallest doc_id, one without a doc_id only if all lack it, and one of those by row id.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = written(docs.select(F.monotonically_increasing_id().alias("id"), F.struct(*columns).alias("doc")), "numbered")
+    found = jaccard_components(rows.select(F.col("id").alias("doc_id"), F.col("doc.text").alias("text"))).select(F.col("doc_id").alias("id"), F.col("component_id").alias("part"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")
+    first = found.join(rows.select("id", F.col("doc.doc_id").alias("doc_id")), "id").groupBy("part").agg(F.min(order)["id"].alias("id"))
+    gone = written(found.select("id").join(first.select("id"), "id", "left_anti"), "gone")
+    return rows.join(sized(gone, gone.count(), BROADCAST_IDS), "id", "left_anti").select("doc.*")
