@@ -23,6 +23,7 @@ from __future__ import annotations
 import html as entities
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +34,8 @@ from flowlens.llm._shared import read_table, sized, small_batches, written
 CONSTANT, MIN_PAGES = 0.8, 5
 #: Hosts whose wrappers are broadcast to the pages; more are joined by a shuffle, which splits hot hosts.
 BROADCAST_HOSTS = 2_000
-#: Nodes of a tree level that are aligned in full; longer levels are aligned in runs of this many.
-LEVEL = 200
+#: Cells of an alignment's table that are held at once (8 bytes each), and matchings of shapes that are remembered.
+TABLE, KNOWN = 1 << 19, 200_000
 
 # The elements of HTML by their parts in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -168,46 +169,170 @@ def _settle(root: Node) -> None:
         todo += node.children
 
 
+class _Classes:
+    """Numbers for the shapes (tags and their tree) and the wholes (with texts) of the nodes of two trees."""
+
+    def __init__(self, *roots: Node):
+        self.shape: dict[int, int] = {}
+        self.whole: dict[int, int] = {}
+        self.tags: list[str] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.sizes: list[int] = []
+        self._known: dict[tuple[int, int], int] = {}
+        shapes: dict[tuple, int] = {}
+        wholes: dict[tuple, int] = {}
+        for root in roots:
+            order, todo = [], [root]
+            while todo:
+                node = todo.pop()
+                order.append(node)
+                todo += node.children
+            for node in reversed(order):
+                kids = tuple([self.shape[id(c)] for c in node.children])
+                shape = shapes.setdefault((node.tag, kids), len(shapes))
+                if shape == len(self.sizes):
+                    self.tags.append(node.tag)
+                    self.kids.append(kids)
+                    self.sizes.append(1 + sum(self.sizes[k] for k in kids))
+                self.shape[id(node)] = shape
+                self.whole[id(node)] = wholes.setdefault((node.tag, node.text, tuple([self.whole[id(c)] for c in node.children])), len(wholes))
+
+    def _plain(self, s: int, t: int) -> int | None:
+        """The size of the matching of two shapes if it is plain to see or known."""
+        if s == t:
+            return self.sizes[s]
+        if self.tags[s] != self.tags[t]:
+            return 0
+        if not self.kids[s] or not self.kids[t]:
+            return 1
+        return self._known.get((s, t))
+
+    def size(self, s: int, t: int) -> int:
+        """How many pairs the largest matching of two shapes has."""
+        found = self._plain(s, t)
+        if found is not None:
+            return found
+        if len(self._known) > KNOWN:
+            self._known.clear()
+        todo = [(s, t)]
+        while todo:
+            x, y = todo[-1]
+            if (x, y) in self._known:
+                todo.pop()
+                continue
+            low, high = _stripped(self.kids[x], self.kids[y])
+            to = len(self.kids[x]) - high
+            xs, ys = self.kids[x][low:to], self.kids[y][low : len(self.kids[y]) - high]
+            need = [(c, d) for c in set(xs) for d in set(ys) if self._plain(c, d) is None]
+            if need:
+                todo += need
+                continue
+            todo.pop()
+            equal = sum(self.sizes[k] for k in self.kids[x][:low] + self.kids[x][to:])
+            best = int(_last_row(_Weights(self, xs, ys), range(len(xs)), 0, len(ys))[-1]) if xs and ys else 0
+            self._known[x, y] = 1 + equal + best
+        return self._known[s, t]
+
+
+def _stripped(xs, ys) -> tuple[int, int]:
+    """How many items at the start and then at the end are equal. A largest matching pairs them: none gains by another."""
+    low, most = 0, min(len(xs), len(ys))
+    while low < most and xs[low] == ys[low]:
+        low += 1
+    high = 0
+    while high < most - low and xs[-1 - high] == ys[-1 - high]:
+        high += 1
+    return low, high
+
+
+class _Weights:
+    """Rows of weights: what each pair of an item of a level and those of another adds to the matching."""
+
+    def __init__(self, classes: _Classes, xs, ys, wholes_x=None, wholes_y=None):
+        self.classes, self.xs = classes, xs
+        self.shapes, self.place = np.unique(np.array(ys, np.int64), return_inverse=True)
+        self.wholes_x, self.wholes_y = wholes_x, None if wholes_y is None else np.array(wholes_y, np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+
+    def row(self, i: int) -> np.ndarray:
+        s = self.xs[i]
+        if s not in self.rows:
+            # a bounded number of shapes is kept
+            if len(self.rows) > 64:
+                self.rows.clear()
+            self.rows[s] = np.array([self.classes.size(s, int(t)) for t in self.shapes], np.int64)[self.place]
+        if self.wholes_y is None:
+            return self.rows[s]
+        # among largest matchings the one with the most equal pairs
+        return (self.rows[s] << 24) + ((self.rows[s] > 0) & (self.wholes_y == self.wholes_x[i]))
+
+
+def _next_row(above: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    row = above.copy()
+    np.maximum(row[1:], np.where(weight > 0, above[:-1] + weight, 0), out=row[1:])
+    return np.maximum.accumulate(row)
+
+
+def _last_row(weights: _Weights, rows, begin: int, end: int, back: bool = False) -> np.ndarray:
+    """The best sums of the given rows with each number of the columns begin to end, counted from the end if back."""
+    row = np.zeros(end - begin + 1, np.int64)
+    for i in rows:
+        weight = weights.row(i)[begin:end]
+        row = _next_row(row, weight[::-1] if back else weight)
+    return row
+
+
+def _best_pairs(weights: _Weights, n: int, m: int) -> list[tuple[int, int]]:
+    """A matching of the greatest sum that keeps the order, by halves (Hirschberg) until a part fits TABLE cells."""
+    pairs, todo = [], [(0, n, 0, m)]
+    while todo:
+        top, bottom, begin, end = todo.pop()
+        if top == bottom or begin == end:
+            continue
+        if bottom - top > 1 and (bottom - top) * (end - begin) > TABLE:
+            half = (top + bottom) // 2
+            both = _last_row(weights, range(top, half), begin, end) + _last_row(weights, range(bottom - 1, half - 1, -1), begin, end, True)[::-1]
+            cut = begin + int(both.argmax())
+            todo += [(top, half, begin, cut), (half, bottom, cut, end)]
+            continue
+        table = [np.zeros(end - begin + 1, np.int64)]
+        for i in range(top, bottom):
+            table.append(_next_row(table[-1], weights.row(i)[begin:end]))
+        i, j = bottom - top, end - begin
+        while i and j:
+            if table[i][j] == table[i - 1][j]:
+                i -= 1
+            elif table[i][j] == table[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((top + i, begin + j))
+    return pairs
+
+
 def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Simple tree matching: the largest set of pairs that keeps tags, parents and order, roots paired."""
-    sizes: dict[tuple[int, int], tuple[int, list]] = {}
+    """Simple tree matching: the largest set of pairs that keeps tags, parents and order, roots paired.
 
-    def match(x: Node, y: Node) -> int:
-        if x.tag != y.tag:
-            return 0
-        key = id(x), id(y)
-        if key not in sizes:
-            total, chosen = 1, []
-            if x.children and y.children:
-                for k in range(0, max(len(x.children), len(y.children)), LEVEL):
-                    xs, ys = x.children[k : k + LEVEL], y.children[k : k + LEVEL]
-                    table = [[0] * (len(ys) + 1)]
-                    for c in xs:
-                        above, row = table[-1], [0]
-                        for j, d in enumerate(ys):
-                            pair = above[j] + match(c, d) if c.tag == d.tag else 0
-                            row.append(max(pair, row[j], above[j + 1]))
-                        table.append(row)
-                    total += table[-1][-1]
-                    i, j = len(xs), len(ys)
-                    while i and j:
-                        if table[i][j] == table[i - 1][j]:
-                            i -= 1
-                        elif table[i][j] == table[i][j - 1]:
-                            j -= 1
-                        else:
-                            i, j = i - 1, j - 1
-                            chosen.append((xs[i], ys[j]))
-            sizes[key] = total, chosen
-        return sizes[key][0]
-
-    match(a, b)
+    Levels are aligned whole whatever their length, in memory that grows with their length only.
+    """
+    if a.tag != b.tag:
+        return [(a, b)]
+    classes = _Classes(a, b)
     pairs, todo = [], [(a, b)]
     while todo:
         x, y = todo.pop()
         pairs.append((x, y))
-        if (id(x), id(y)) in sizes:
-            todo += sizes[id(x), id(y)][1]
+        if not x.children or not y.children:
+            continue
+        wholes_x, wholes_y = ([classes.whole[id(c)] for c in node.children] for node in (x, y))
+        low, high = _stripped(wholes_x, wholes_y)
+        to_x, to_y = len(wholes_x) - high, len(wholes_y) - high
+        todo += zip(x.children[:low], y.children[:low], strict=True)
+        todo += zip(x.children[to_x:], y.children[to_y:], strict=True)
+        xs, ys = x.children[low:to_x], y.children[low:to_y]
+        if xs and ys:
+            weights = _Weights(classes, [classes.shape[id(c)] for c in xs], [classes.shape[id(c)] for c in ys], wholes_x[low:to_x], wholes_y[low:to_y])
+            todo += [(xs[i], ys[j]) for i, j in _best_pairs(weights, len(xs), len(ys))]
     return pairs
 
 
