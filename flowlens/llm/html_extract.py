@@ -8,9 +8,10 @@ CONSTANT of at least MIN_PAGES pages is template; the other nodes are slots. Cou
 a host that has a third of all pages is no hot key, and the induced wrapper of a host is one row of its reference.
 
 A page is extracted with its host's wrapper: nodes matched to template nodes go, slots stay as content, unless an
-element says by its tag, role or name that it is boilerplate. An element that the page itself declares to be the article
-is taken whole: text that many articles of a host share (a license line, a copy of an article) is content there, and
-only its own menus, forms, notices and comments go. Without such an element the slots of the body are the article.
+element says by its tag, role or name that it is boilerplate. If the page itself declares an element to be the article,
+only that is looked at, and template nodes go inside it as well, as long as some other text of it is a slot: where all
+of it is template, the pages are copies of one article, and it stays. Declared elements with a name of boilerplate (an
+article that is a comment) count only where there are no others. Without any, the slots of the body are the article.
 
 Within a block, character references are decoded and white space becomes single spaces; blocks are joined by two
 line feeds. Defined results: a null html and one without content give an empty text; a null url, or one without a
@@ -58,21 +59,23 @@ _SPACE = re.compile(r"\s+")
 class Node:
     """A block element, or one that goes with all it holds. parts: texts and child nodes in page order."""
 
-    __slots__ = ("children", "gone", "main", "parts", "tag", "text")
+    __slots__ = ("children", "gone", "main", "named", "parts", "tag", "text")
 
-    def __init__(self, tag: str, gone: bool = False, main: bool = False):
-        self.tag, self.gone, self.main, self.parts = tag, gone, main, []
+    def __init__(self, tag: str, gone: bool = False, main: bool = False, named: bool = False):
+        self.tag, self.gone, self.main, self.named, self.parts = tag, gone, main, named, []
         self.children: list[Node] = []
         self.text = ""
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
-    """(boilerplate, declared to be the article) by tag and attributes."""
-    gone, main = tag in GONE_TAGS, tag in ("article", "main")
+def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """(boilerplate, declared to be the article, declared so with a name of boilerplate) by tag and attributes."""
+    gone, main, named = tag in GONE_TAGS, tag in ("article", "main"), False
     for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            gone |= any(w.lower() in GONE_NAMES for w in _WORD.findall(value)) and tag not in ("body", "html", "article", "main")
+            marked = any(w.lower() in GONE_NAMES for w in _WORD.findall(value))
+            gone |= marked and tag not in ("body", "html", "article", "main")
+            named |= marked and tag in ("article", "main")
         elif name == "role":
             gone |= value.lower() in GONE_ROLES
             main |= value.lower() in ("main", "article")
@@ -82,7 +85,7 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
             gone |= value.lower() == "true"
         else:
             gone |= "display:none" in value.replace(" ", "").lower()
-    return gone, main and not gone
+    return gone, main and not gone, named and not gone
 
 
 def tree(page: str) -> Node:
@@ -122,7 +125,7 @@ def tree(page: str) -> Node:
         if tag in VOID:
             words("\n" if tag in ("br", "hr", "wbr") and tag != "wbr" else "")
             continue
-        gone, main = _marks(tag, token[3])
+        gone, main, named = _marks(tag, token[3])
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
             at = close.end() if close else len(page)
@@ -136,7 +139,7 @@ def tree(page: str) -> Node:
                 end(ENDS[tag], STOPS - frozenset(ENDS[tag]))
             if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 end(("h1", "h2", "h3", "h4", "h5", "h6"), STOPS)
-            node = Node(tag, gone, main)
+            node = Node(tag, gone, main, named)
             stack[-1].parts.append(node)
             stack[-1].children.append(node)
             if not token[3].rstrip().endswith("/") or tag in BLOCKS:
@@ -347,32 +350,41 @@ def _numbered(root: Node) -> dict[int, int]:
 
 
 def _declared(root: Node) -> list[Node]:
-    """The outermost elements declared to be the article, outside boilerplate, in page order."""
-    found, todo = [], [root]
+    """The outermost elements declared to be the article, outside boilerplate, in page order; those with a name of
+    boilerplate only if there are no others."""
+    found, doubted, todo = [], [], [(root, False)]
     while todo:
-        node = todo.pop()
+        node, within = todo.pop()
         if node.gone:
             continue
-        if node.main:
+        if node.main and not node.named:
             found.append(node)
-        else:
-            todo += reversed(node.children)
-    return found
+            continue
+        if node.main and not within:
+            doubted.append(node)
+        todo += [(c, within or node.main) for c in reversed(node.children)]
+    return found or doubted
 
 
 def extract(root: Node, template: set[int]) -> str:
     """template: ids of nodes whose own text is the host's, not the page's."""
     declared = _declared(root)
     blocks: list[str] = []
-    todo: list = list(reversed(declared or [root]))
-    inside = bool(declared)
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            blocks.append(x)
-        elif not (x.gone or (x.tag == "header" and not inside)):
-            own = inside or id(x) not in template
-            todo += [p for p in reversed(x.parts) if own or not isinstance(p, str)]
+    plain = any(not x.named for x in declared)
+    for top in declared or [root]:
+        own: list[str] = []
+        whole: list[str] = []
+        todo: list = [(top, True)]
+        while todo:
+            x, slot = todo.pop()
+            if isinstance(x, str):
+                whole.append(x)
+                if slot:
+                    own.append(x)
+            elif not (x.gone or (x.named and plain) or (x.tag == "header" and not declared)):
+                todo += [(p, id(x) not in template) for p in reversed(x.parts)]
+        # a declared article that is template throughout is a copy of the host's other articles
+        blocks += own or (whole if declared else [])
     return "\n\n".join(blocks)
 
 
