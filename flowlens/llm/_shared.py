@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -12,30 +13,48 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
+_scopes: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's own checkpoint folder.
+
+    Where neither is set, a local master gets a folder of this machine; on a cluster that is an error, since
+    executors elsewhere wouldn't see it.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        known = spark.sparkContext.getCheckpointDir()
-        if not known:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="flowlens-"))
-            known = spark.sparkContext.getCheckpointDir()
-        base = known
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="flowlens-"))
+        base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it goes when the driver ends."""
+def new_path(spark: SparkSession, name: str, outlive: bool = False) -> str:
+    """A fresh path in the shared folder; it goes with the innermost `scratch` (outlive: the one around that), else when the driver ends."""
     path = f"{shared_dir(spark)}/flowlens-{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    around = _scopes[:-1] if outlive else _scopes
+    if around:
+        around[-1].append(path)
     return path
 
 
-def written(df: DataFrame, name: str, drop_after: list[str] | None = None) -> DataFrame:
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables that are written within, all but those that outlive it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        forget(spark, _scopes.pop())
+
+
+def written(df: DataFrame, name: str, drop_after: list[str] | None = None, outlive: bool = False) -> DataFrame:
     """Cuts the lineage: writes df to the shared folder and reads it back, so a lost executor costs no recomputation."""
-    path = new_path(df.sparkSession, name)
+    path = new_path(df.sparkSession, name, outlive)
     df.write.parquet(path)
     if drop_after is not None:
         drop_after.append(path)

@@ -14,7 +14,6 @@ import pyarrow as pa
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 _P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _random = np.random.Generator(np.random.PCG64(20240607))
 _BYTES = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BYTES[SPACES] = 0
@@ -22,7 +21,7 @@ _FOLDED = _BYTES.copy()
 _FOLDED[65:91] = _BYTES[97:123]
 #: Factors of the words of a shingle by place, and of a whole short text.
 PLACES = _random.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-_powers: list[np.ndarray] = []
+_places: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,11 +31,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 19)
-        _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, base, np.uint64)])) for base in (_P, _P_INV)]
-    return _powers[0], _powers[1]
+def _factors(n: int) -> np.ndarray:
+    """A random factor for each place in a word: the hash is universal, unlike powers of one number modulo 2^64."""
+    if not _places or len(_places[0]) < n:
+        size = max(2 * n, 1 << 10)
+        _places[:] = [mix(np.arange(1, size + 1, dtype=np.uint64) * _P) | np.uint64(1)]
+    return _places[0]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,9 +72,11 @@ def word_hashes(column: pa.Array, fold: bool) -> tuple[np.ndarray, np.ndarray]:
     counts = np.searchsorted(starts, offsets)
     if not len(starts):
         return np.zeros(0, np.uint64), counts
-    power, inverse = _power(len(data))
-    sums = np.add.reduceat((_FOLDED if fold else _BYTES)[data] * power[: len(data)], starts)
-    return mix(sums * inverse[starts]), counts
+    data, starts = data[starts[0] :], starts - starts[0]
+    spans = np.diff(np.append(starts, len(data)))
+    place = np.arange(len(data)) - np.repeat(starts, spans)
+    sums = np.add.reduceat((_FOLDED if fold else _BYTES)[data] * _factors(int(spans.max()))[place], starts)
+    return mix(sums), counts
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:

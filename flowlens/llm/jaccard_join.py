@@ -8,8 +8,8 @@ The prefix order puts rare shingles first. Rarity comes from a sketch of fixed s
 all documents; any order gives right results, so a sketch can only cost time.
 
 For components, not every pair in a large group of near copies is needed. STARS rounds try, in each index entry,
-each class against the heaviest of the entry (an original meets more rows than its edited copies do), the next by
-weight and one by hash, and join what they link into parts. The last round tries every pair of an entry across two
+each class against the heaviest of the entry (an original meets more rows than its edited copies do), the heaviest of
+its own size band and one by hash, and join what they link into parts. The last round tries every pair of an entry across two
 parts, which is all that could still join something, so no link that matters is lost. `jaccard_links` tries every pair.
 
 Defined results: null or empty texts, and texts without a word, have an empty set and no link, and their own doc_id
@@ -20,14 +20,15 @@ component's smallest id unless it holds nothing else (then component_id is null)
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm._components import components
-from flowlens.llm._shared import forget, read_table, sized, small_batches, written
+from flowlens.llm._shared import forget, read_table, scratch, sized, small_batches, written
 from flowlens.llm._words import shingle_hashes, slices, word_hashes
 
 #: Counters of the frequency sketch, in pieces of CHUNK: 8 MB at most, whatever the input.
@@ -121,6 +122,7 @@ class _Join:
         self.classes = written(self.classes, "classes")
         groups = written(groups, "groups", self.paths)
         self.signed = written(signed.select("doc_id", "size", "cls"), "sizes")
+        self.few = self.classes.count()
         self.rows = self.index(sets, groups)
         forget(self.spark, self.paths)
 
@@ -133,17 +135,14 @@ class _Join:
         firsts = sets.join(groups, [sets.grp == groups.grp, sets.doc_id.eqNullSafe(groups.rep)]).select("gid", "classes", "size", "prefix")
         tokens = firsts.select("gid", "classes", "size", F.posexplode("prefix").alias("pos", "token"))
         tokens = tokens.select("token", "gid", F.expr("shiftleft(size, 32) + pos").alias("at"), F.expr("classes > 1 and pos = 0").alias("inner"))
-        # by size, a row whose neighbours are too far has no partner in its entry
-        entry = Window.partitionBy("token")
-        by_size = entry.orderBy("at")
-        size = lambda x: F.shiftright(x, 32)
-        close = lambda x: F.coalesce(100 * F.least(size(x), size(F.col("at"))) >= self.percent * F.greatest(size(x), size(F.col("at"))), F.lit(False))
-        met = tokens.select("token", "gid", "at", "inner", F.count("*").over(entry).alias("met"), (close(F.lag("at").over(by_size)) | close(F.lead("at").over(by_size))).alias("close"))
-        # classes of a group share its whole prefix: they meet at its first token at least
-        entries = written(met.where("close or inner").drop("close"), "entries", self.paths)
+        # most shingles are in one group only; classes of a group share its whole prefix and meet at its first token at least
+        size = F.shiftright("at", 32)
+        met = tokens.groupBy("token").agg(F.count("*").alias("met"), F.max("inner").alias("shared"), F.min(size).alias("least"), F.max(size).alias("most"))
+        far = 100 * F.col("least") < self.percent * F.col("most")
+        met = met.select("token", "met", ((F.col("met") > 2) | ((F.col("met") == 2) & ~far)).alias("pairs"), "shared").where("pairs or shared")
+        entries = written(tokens.join(met, "token").where("pairs or inner").select("token", "gid", "at", "met"), "entries", self.paths)
         weights = entries.groupBy("gid").agg(F.sum("met").alias("weight"))
-        few = self.classes.count()
-        rows = entries.select("token", "gid", "at").join(sized(self.classes.select("gid", "cid"), few, BROADCAST_IDS), "gid").join(sized(weights, few, BROADCAST_IDS), "gid")
+        rows = entries.select("token", "gid", "at").join(sized(self.classes.select("gid", "cid"), self.few, BROADCAST_IDS), "gid").join(sized(weights, self.few, BROADCAST_IDS), "gid")
         return written(rows.select("token", "cid", "at", "weight"), "rows")
 
     def possible(self, at_a: str, at_b: str):
@@ -155,8 +154,8 @@ class _Join:
     def parted(self, part: DataFrame) -> DataFrame:
         """The index rows of entries that hold classes of several parts, with their part."""
         rows = self.rows.join(sized(part.select(F.col("node").alias("cid"), F.col("component").alias("part")), part.count(), BROADCAST_IDS), "cid", "left").select("token", "cid", "at", "weight", F.coalesce("part", "cid").alias("part"))
-        entry = Window.partitionBy("token")
-        return rows.select("*", F.min("part").over(entry).alias("least"), F.max("part").over(entry).alias("most")).where("least <> most").drop("least", "most")
+        several = rows.groupBy("token").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("token")
+        return rows.join(several, "token")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """pairs: cid values a < b. Those whose whole sets are similar enough."""
@@ -190,14 +189,19 @@ class _Join:
         return links
 
     def stars(self, part: DataFrame, seed: int) -> DataFrame:
-        """Class pairs of one entry and different parts: each class with the heaviest of the entry, with its next
-        by weight and with one taken by hash. Three pairs at most for each index row."""
+        """Class pairs of one entry and different parts: each class with the heaviest of the entry, with the heaviest
+        of its size band in the entry and with one taken by hash. Three pairs at most for each index row.
+
+        The three are pre-aggregated before they are shuffled and joined to the rows, so an entry of any size is split.
+        """
         me = F.struct("cid", "at", "part")
-        entry = Window.partitionBy("token")
-        heavy = entry.orderBy(F.desc("weight"), "cid")
-        rows = self.parted(part).select(me.alias("me"), F.first(me).over(heavy).alias("hub"), F.lag(me).over(heavy).alias("next"), F.min(F.struct(F.xxhash64("cid", F.lit(seed)).alias("h"), "cid", "at", "part")).over(entry).alias("any"))
-        other = F.explode(F.array("hub", "next", F.struct("any.cid", "any.at", "any.part")))
-        pairs = rows.select("me", other.alias("other")).where("me.part <> other.part").select(F.col("me.cid").alias("a"), F.col("me.at").alias("at_a"), F.col("other.cid").alias("b"), F.col("other.at").alias("at_b"))
+        band = F.floor(F.log(F.shiftright("at", 32).cast("double")) / F.lit(max(0.05, -math.log(self.percent / 100)))).alias("band")
+        rows = written(self.parted(part).select("*", band), "parted", self.paths)
+        hub = F.max_by(me, F.struct("weight", -F.col("cid"))).alias("hub")
+        of_token = rows.groupBy("token").agg(hub, F.min(F.struct(F.xxhash64("cid", F.lit(seed)).alias("h"), me.alias("me")))["me"].alias("any"))
+        of_band = rows.groupBy("token", "band").agg(hub.alias("near"))
+        rows = rows.select("token", "band", me.alias("me")).join(of_token, "token").join(of_band, ["token", "band"])
+        pairs = rows.select("me", F.explode(F.array("hub", "near", "any")).alias("other")).where("me.part <> other.part").select(F.col("me.cid").alias("a"), F.col("me.at").alias("at_a"), F.col("other.cid").alias("b"), F.col("other.at").alias("at_b"))
         return pairs.where(self.possible("at_a", "at_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     def across(self, part: DataFrame) -> DataFrame:
@@ -232,28 +236,29 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of n-word shingles.
     """
     _check(percent, n)
-    join = _Join(docs, n, percent)
-    part = join.spark.createDataFrame([], "node long, component long")
-    for seed in range(STARS):
-        part = join.joined(part, join.verified(join.stars(part, seed)))
-    part = join.joined(part, join.verified(join.across(part)))
-    classes = join.classes.join(part.withColumnRenamed("node", "cid"), "cid", "left").select("cls", "rep", F.coalesce("component", "cid").alias("component"))
-    smallest = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
-    classes = written(classes.join(smallest, "component").select("cls", F.col("rep").alias("class_id"), "component_id"), "labelled")
-    out = join.signed.select("doc_id", F.col("size").alias("n_shingles"), "cls").join(classes, "cls", "left")
-    own = lambda c: F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col(c)).alias(c)
-    out = written(out.select("doc_id", "n_shingles", own("class_id"), own("component_id")), "jaccard")
-    forget(join.spark, join.paths)
-    return out
+    with scratch(docs.sparkSession):
+        join = _Join(docs, n, percent)
+        part = join.spark.createDataFrame([], "node long, component long")
+        for seed in range(STARS):
+            part = join.joined(part, join.verified(join.stars(part, seed)))
+        part = join.joined(part, join.verified(join.across(part)))
+        classes = join.classes.join(part.withColumnRenamed("node", "cid"), "cid", "left").select("cls", "rep", F.coalesce("component", "cid").alias("component"))
+        smallest = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
+        classes = written(classes.join(sized(smallest, join.few, BROADCAST_IDS), "component").select("cls", F.col("rep").alias("class_id"), "component_id"), "labelled")
+        out = join.signed.select("doc_id", F.col("size").alias("n_shingles"), "cls").join(classes, "cls", "left")
+        own = lambda c: F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col(c)).alias(c)
+        return written(out.select("doc_id", "n_shingles", own("class_id"), own("component_id")), "jaccard", outlive=True)
 
 
 def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Every link between different sets, as (doc_a, doc_b, common, sizes) of the classes' smallest doc_id."""
     _check(percent, n)
-    join = _Join(docs, n, percent)
-    found = join.verified(join.across(join.spark.createDataFrame([], "node long, component long")))
-    rep = lambda c: join.classes.select(F.col("cid").alias(c), F.col("rep").alias(f"doc_{c}"))
-    return found.join(rep("a"), "a").join(rep("b"), "b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "common", "sizes")
+    with scratch(docs.sparkSession):
+        join = _Join(docs, n, percent)
+        found = join.verified(join.across(join.spark.createDataFrame([], "node long, component long")))
+        rep = lambda c: join.classes.select(F.col("cid").alias(c), F.col("rep").alias(f"doc_{c}"))
+        found = found.join(rep("a"), "a").join(rep("b"), "b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "common", "sizes")
+        return written(found, "links", outlive=True)
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
