@@ -1,12 +1,20 @@
 """Operator 3, quality rules: base rules, then robust multivariate outliers by language and source.
 
 Five transformed statistics of each document that passes the base rules (FEATURES) form a vector. For every
-(language, source), for every language and for all documents, a minimum-covariance-determinant estimate is made
-over all rows: it starts at the coordinate medians and median deviations and repeats concentration steps, each of
-which re-estimates mean and covariance from the share H of rows nearest to the last estimate. A document is rejected
-if its squared Mahalanobis distance to the estimate of its (language, source) exceeds CUTOFF; groups of under
+(language, source), for every language and for all documents, a minimum-covariance-determinant estimate is made over
+all rows: from three starts (median deviations alone, with the correlations of tanh scores, with spatial signs),
+concentration steps re-estimate mean and covariance from the h = (n + 6) / 2 rows nearest to the last estimate, until
+the determinant stops falling; the smallest determinant counts. Its estimate breaks down only when nearly half of a
+group is junk. One reweighting step then estimates from all rows within the 0.975 quantile. A document is rejected if
+its squared Mahalanobis distance exceeds CUTOFF, the 0.999 quantile of chi-square with five degrees; groups of under
 MIN_ROWS rows use their language's estimate, then that of all documents; below MIN_ALL rows nothing is rejected.
 
+Symbols, repeated lines and repeated words are 0 in most prose, so half of a group has no variance there and the plain
+estimate is singular. As in the regularised estimate (MRCD), a fixed diagonal target is added to each covariance: every
+statistic is credited with at least the standard deviation beside it in FEATURES. Alone, each rejects at 4.53 of these
+deviations (about 3 per cent of symbols, three repeated lines, half of the words repeated, where the base rule takes
+over), or as many of the group's own where that varies more.
+
 Vectors are rounded to 1/SCALE and distances to bins, so a group needs few distinct values: medians and the h-th
 distance are exact over any number of rows, sums are whole numbers, and each step is one pre-aggregated shuffle.
 
@@ -17,7 +25,6 @@ sources are groups of their own. Repeated rows are judged alike; other columns p
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,19 +35,21 @@ from flowlens.llm._words import SPACES, mix, slices, utf8, word_hashes
 STATS = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint>"
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SYMBOLS = "#*$%&|<>"
-#: Transformed statistics and the least standard deviation that each is credited with. Most are 0 in clean prose.
+#: Transformed statistics and the least standard deviation that each is credited with.
 FEATURES = [
-    ("ln(_stats.n_words)", 0.5),
-    ("ln(_stats.word_chars / _stats.n_words)", 0.06),
-    ("ln(1 + 100 * _stats.n_symbols / _stats.word_chars)", 0.2),
-    ("ln(1 + _stats.n_dup_lines)", 0.6),
-    ("_stats.n_repeat_words / _stats.n_words", 0.15),
+    ("ln(_stats.n_words)", 0.3),
+    ("ln(_stats.word_chars / _stats.n_words)", 0.04),
+    ("ln(1 + 100 * _stats.n_symbols / _stats.word_chars)", 0.3),
+    ("ln(1 + _stats.n_dup_lines)", 0.3),
+    ("_stats.n_repeat_words / _stats.n_words", 0.1),
 ]
 SCALE, BINS = 256, 64
-#: Share of rows that an estimate rests on, the factor that makes its covariance right for normal vectors of five
-#: coordinates at that share, concentration steps, and the chi-square quantile (5 degrees, upper tail 1e-15).
-H, CONSISTENT, STEPS, CUTOFF = 0.75, 1.41, 3, 83.0
+#: Chi-square quantiles with 5 degrees: 0.975 (reweighting) and 0.999 (rejection); and what makes the covariances of the
+#: nearest half and of the nearest 0.975 of normal vectors right. A fall of the log determinant by less than FALL is none.
+WEIGHED, CUTOFF, HALF, MOST, FALL = 12.8325, 20.5150, 1.9122, 1.0556, 0.001
 MIN_ROWS, MIN_ALL = 50, 20
+#: Estimates of so many groups at most (three starts, 300 bytes each) are broadcast to the rows.
+KEYS = 20_000
 _D = len(FEATURES)
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in SYMBOLS]] = True
@@ -117,25 +126,48 @@ def _rounded() -> list:
     return [F.expr(f"cast(round({SCALE} * {e}) as double)").alias(f"x{i}") for i, (e, _) in enumerate(FEATURES)]
 
 
+_X = [f"x{i}" for i in range(_D)]
 _PAIRS = [(i, j) for i in range(_D) for j in range(i, _D)]
-_MODEL = "key struct<level:int,lang:string,source:string>, n long, mean array<double>, inverse array<double>"
+_SUMS = [*[f"s{i}" for i in range(_D)], *[f"p{i}{j}" for i, j in _PAIRS]]
+_FLOOR = np.diag([(f * SCALE) ** 2 for _, f in FEATURES])
+_MODEL = "key struct<level:int,lang:string,source:string>, n long, start int, mean array<double>, inverse array<double>, determinant double, last double"
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.reshape(-1)))
+
+
+def _columns(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names], axis=1)
+
+
+def _symmetric(products: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(products), _D, _D))
+    for k, (i, j) in enumerate(_PAIRS):
+        out[:, i, j] = out[:, j, i] = products[:, k]
+    return out
+
 
+def _model(batch: pa.RecordBatch, n, start, mean: np.ndarray, cov: np.ndarray, last) -> pa.RecordBatch:
+    inverse = np.linalg.inv(cov) if len(cov) else cov
+    determinant = np.linalg.slogdet(cov)[1] if len(cov) else np.zeros(0)
+    return pa.RecordBatch.from_arrays(
+        [batch.column("key"), n, pa.array(start, pa.int32()), _lists(mean), _lists(inverse.reshape(len(cov), _D * _D)), pa.array(determinant, pa.float64()), pa.array(last, pa.float64())],
+        ["key", "n", "start", "mean", "inverse", "determinant", "last"],
+    )
 
-def _estimates(sums: DataFrame) -> DataFrame:
-    """key, n, c and sums of x and of products to mean and inverse covariance, all in units of 1/SCALE."""
+
+def _estimates(sums: DataFrame, factor: float) -> DataFrame:
+    """key, n, start, last, c and sums of x and of products to means and inverse covariances, in units of 1/SCALE."""
 
     def fit(batches):
-        floor = np.diag([(f * SCALE) ** 2 for _, f in FEATURES])
-        for pdf in batches:
-            c = pdf["c"].to_numpy(float)[:, None]
-            mean = pdf[[f"s{i}" for i in range(_D)]].to_numpy(float) / c
-            cov = np.zeros((len(pdf), _D, _D))
-            for i, j in _PAIRS:
-                cov[:, i, j] = cov[:, j, i] = pdf[f"p{i}{j}"].to_numpy(float) / c[:, 0] - mean[:, i] * mean[:, j]
-            inverse = np.linalg.inv(CONSISTENT * cov + floor) if len(pdf) else cov
-            yield pd.DataFrame({"key": [r.asDict() if hasattr(r, "asDict") else r for r in pdf["key"]], "n": pdf["n"], "mean": list(mean), "inverse": list(inverse.reshape(len(pdf), -1))})
+        for batch in batches:
+            c = _columns(batch, ["c"])
+            mean, square = _columns(batch, [f"s{i}" for i in range(_D)]) / c, _symmetric(_columns(batch, [f"p{i}{j}" for i, j in _PAIRS]) / c)
+            cov = factor * (square - mean[:, :, None] * mean[:, None, :]) + _FLOOR
+            yield _model(batch, batch.column("n"), batch.column("start"), mean, cov, batch.column("last"))
 
-    return sums.mapInPandas(fit, _MODEL)
+    return sums.mapInArrow(fit, _MODEL)
 
 
 def _distance(x: list[str]) -> F.Column:
@@ -149,34 +181,71 @@ def _distance(x: list[str]) -> F.Column:
     return F.greatest(total, F.lit(0.0))
 
 
-def fit(rows: DataFrame, keys_limit: int = 200_000) -> DataFrame:
+def _sums() -> list:
+    return [F.count("*").alias("c"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(_X)], *[F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"p{i}{j}") for i, j in _PAIRS]]
+
+
+def _starts(rows: DataFrame, keys: int) -> tuple[DataFrame, int]:
+    """Three estimates of each group, and the number of groups."""
+    middle = rows.groupBy("key").agg(F.count("*").alias("n"), *[F.percentile(c, F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(_X)])
+    middle = written(middle, "medians")
+    few = middle.count()
+    off = rows.join(sized(middle.drop("n"), few, keys), "key").select("key", *[F.abs(F.col(c) - F.col(f"m{i}")).alias(c) for i, c in enumerate(_X)])
+    spread = off.groupBy("key").agg(*[F.percentile(c, F.lit(0.5)).alias(f"d{i}") for i, c in enumerate(_X)])
+    deviations = [F.sqrt(F.pow(1.4826 * F.col(f"d{i}"), 2) + float(_FLOOR[i, i])).alias(f"d{i}") for i in range(_D)]
+    middle = written(middle.join(spread, "key").select("key", "n", *[f"m{i}" for i in range(_D)], *deviations), "spreads")
+    z = rows.join(sized(middle, few, keys), "key").select("key", *[((F.col(c) - F.col(f"m{i}")) / F.col(f"d{i}")).alias(c) for i, c in enumerate(_X)])
+    far = F.greatest(F.sqrt(sum((F.col(c) * F.col(c) for c in _X[1:]), F.col(_X[0]) * F.col(_X[0]))), F.lit(1e-9))
+    z = z.select("*", far.alias("far"))
+    products = lambda f, name: [F.avg(f(i) * f(j)).alias(f"{name}{i}{j}") for i, j in _PAIRS]
+    scores = z.groupBy("key").agg(*[F.avg(F.tanh(c)).alias(f"a{i}") for i, c in enumerate(_X)], *products(lambda i: F.tanh(_X[i]), "t"), *products(lambda i: F.col(_X[i]) / F.col("far"), "u"))
+
+    def begin(batches):
+        for batch in batches:
+            mean, sd, mid = (_columns(batch, [f"{c}{i}" for i in range(_D)]) for c in "mda")
+            tanh, sign = (_symmetric(_columns(batch, [f"{c}{i}{j}" for i, j in _PAIRS])) for c in "tu")
+            scale = sd[:, :, None] * sd[:, None, :]
+            # 0.394: the variance of tanh of a standard normal number
+            for k, cov in enumerate((np.eye(_D)[None] * scale, (tanh - mid[:, :, None] * mid[:, None, :]) / 0.394 * scale + _FLOOR, _D * sign * scale + _FLOOR)):
+                yield _model(batch, batch.column("n"), np.full(len(mean), k), mean, cov, np.full(len(mean), np.inf))
+
+    return middle.join(scores, "key").mapInArrow(begin, _MODEL), few
+
+
+def fit(rows: DataFrame, keys: int = KEYS) -> DataFrame:
     """The estimates of all groups; rows: lang, source, x0.. of documents that pass the base rules.
 
-    Estimates of up to keys_limit groups are broadcast to the rows; beyond that they are joined by a shuffle.
+    Estimates of up to `keys` groups are broadcast to the rows; beyond that they are joined by a shuffle.
     """
     level = lambda k, lang, source: F.struct(F.lit(k).alias("level"), lang.cast("string").alias("lang"), source.cast("string").alias("source"))
     none = F.lit(None)
-    x = [f"x{i}" for i in range(_D)]
-    rows = rows.select(F.explode(F.array(level(0, F.col("lang"), F.col("source")), level(1, F.col("lang"), none), level(2, none, none))).alias("key"), *x)
-    middle = rows.groupBy("key").agg(F.count("*").alias("n"), *[F.percentile(c, F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(x)])
-    middle = written(middle, "medians")
-    few = middle.count()
-    off = rows.join(sized(middle.drop("n"), few, keys_limit), "key").select("key", *[F.abs(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"x{i}") for i in range(_D)])
-    spread = off.groupBy("key").agg(*[F.percentile(c, F.lit(0.5)).alias(f"d{i}") for i, c in enumerate(x)])
-    start = middle.join(spread, "key")
-    inverse = [(1 / (F.pow(1.4826 * F.col(f"d{i}"), 2) + (f * SCALE) ** 2) if i == j else F.lit(0.0)) for i, (_, f) in enumerate(FEATURES) for j in range(_D)]
-    model = written(start.select("key", "n", F.array(*[f"m{i}" for i in range(_D)]).alias("mean"), F.array(*inverse).alias("inverse")), "model")
-    for _ in range(STEPS):
-        near = rows.join(sized(model, few, keys_limit), "key").select("key", "n", *x, F.floor(BINS * F.log1p(_distance(x))).alias("bin"))
-        sums = near.groupBy("key", "n", "bin").agg(F.count("*").alias("c"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)], *[F.sum(F.col(x[i]) * F.col(x[j])).alias(f"p{i}{j}") for i, j in _PAIRS])
-        before = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        kept = sums.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0))).where(F.col("before") < H * F.col("n"))
-        kept = kept.groupBy("key", "n").agg(*[F.sum(c).alias(c) for c in ["c", *[f"s{i}" for i in range(_D)], *[f"p{i}{j}" for i, j in _PAIRS]]])
-        model = written(_estimates(kept), "model")
-    return model
-
-
-def judged(stats: DataFrame, model: DataFrame, keys_limit: int = 200_000) -> DataFrame:
+    rows = rows.select(F.explode(F.array(level(0, F.col("lang"), F.col("source")), level(1, F.col("lang"), none), level(2, none, none))).alias("key"), *_X)
+    model, few = _starts(rows, keys)
+    model, found = written(model, "starts"), []
+    # ends: each step lowers the log determinant by FALL at least, and the floor bounds it from below
+    while not model.isEmpty():
+        near = rows.join(sized(model, few, keys), "key").select("key", "n", "start", "determinant", *_X, F.floor(BINS * F.log1p(_distance(_X))).alias("bin"))
+        # the starts' own determinants are of another kind and don't count
+        last = F.col("determinant") if found else F.lit(float("inf"))
+        sums = near.groupBy("key", "n", "start", last.alias("last"), "bin").agg(*_sums())
+        before = Window.partitionBy("key", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        nearest = sums.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0))).where("before < (n + 6) div 2")
+        nearest = nearest.groupBy("key", "n", "start", "last").agg(*[F.sum(c).alias(c) for c in ("c", *_SUMS)])
+        found.append(written(_estimates(nearest, HALF), "model"))
+        model = found[-1].where(F.col("determinant") < F.col("last") - FALL)
+    if not found:
+        return model
+    steps = found[0].withColumn("step", F.lit(0))
+    for k, step in enumerate(found[1:], 1):
+        steps = steps.unionByName(step.withColumn("step", F.lit(k)))
+    best = steps.groupBy("key", "n").agg(F.min_by(F.struct("mean", "inverse"), F.struct("determinant", "start", "step")).alias("e")).select("key", "n", "e.mean", "e.inverse")
+    best = written(best, "model")
+    weighed = rows.join(sized(best, few, keys), "key").where(_distance(_X) <= WEIGHED)
+    sums = weighed.groupBy("key", "n", F.lit(0).alias("start"), F.lit(0.0).alias("last")).agg(*_sums())
+    return written(_estimates(sums, MOST).select("key", "n", "mean", "inverse"), "model")
+
+
+def judged(stats: DataFrame, model: DataFrame, keys: int = KEYS) -> DataFrame:
     """stats (a frame of with_stats) with the column _kept."""
     pick = lambda k, least: model.where((F.col("key.level") == k) & (F.col("n") >= least)).select(F.col("key.lang").alias(f"l{k}"), F.col("key.source").alias(f"s{k}"), F.struct("mean", "inverse").alias(f"e{k}"))
     groups = model.where("key.level = 0").select(F.col("key.lang").alias("_lang"), F.col("key.source").alias("_source"))
@@ -187,7 +256,7 @@ def judged(stats: DataFrame, model: DataFrame, keys_limit: int = 200_000) -> Dat
     x = [f"_x{i}" for i in range(_D)]
     rows = stats.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("lang").cast("string").alias("_l"), F.col("source").cast("string").alias("_s"), F.col("_stats"), F.col("_failed"))
     rows = rows.select("*", *[F.when(~F.col("_failed"), c).alias(a) for c, a in zip(_rounded(), x, strict=True)])
-    rows = rows.join(sized(g, g.count(), keys_limit), F.col("_l").eqNullSafe(F.col("_lang")) & F.col("_s").eqNullSafe(F.col("_source")), "left")
+    rows = rows.join(sized(g, g.count(), keys), F.col("_l").eqNullSafe(F.col("_lang")) & F.col("_s").eqNullSafe(F.col("_source")), "left")
     kept = F.when(F.col("_failed"), False).otherwise(F.coalesce(_distance(x) <= CUTOFF, F.lit(True)))
     return rows.select("_row.*", kept.alias("_kept"))
 
