@@ -5,8 +5,13 @@ letters, with a space at either end). A text's own most frequent TEXT_GRAMS n-gr
 with each profile: an n-gram counts the distance between its two ranks, one that the profile lacks the greatest
 distance. The language with the least sum is predicted; ties go to the first by name, equal counts rank by n-gram.
 
-Profiles are fitted on at most SAMPLE labelled rows of each language, those with the least hash of their doc_id. What
-reaches the driver is the profiles: LANGUAGE_GRAMS rows for each of at most LANGUAGES languages.
+Profiles are fitted on at most SAMPLE labelled rows of each language, those with the least hash of their doc_id; rows
+without a doc_id aren't learned from. What reaches the driver is the profiles: LANGUAGE_GRAMS rows for each language.
+More than LANGUAGES languages are an error, none is left out.
+
+The stage rejects what is in no known language: a score under the language's own bar, which is NEAR times the LOWEST
+quantile of what that language's sampled rows score themselves. Other languages in the same letters, and long runs of
+random letters, match frequent letters but not their ranks, and stay far below it.
 
 Defined results: a null text or one without a letter is `und` with score 0; so is every text if there is no labelled
 row. The score is 1 minus the distance over the greatest possible. Only the text decides. Repeated rows are judged
@@ -23,10 +28,9 @@ from pyspark.sql import functions as F
 from flowlens.llm._shared import read_table, sized, small_batches, written
 from flowlens.llm._words import slices, utf8
 
-SAMPLE, LANGUAGES = 4000, 400
+SAMPLE, LANGUAGES = 4000, 2000
 LANGUAGE_GRAMS, TEXT_GRAMS = 400, 300
-#: A text whose nearest profile scores less is in no known language. The least score of 10,000 test documents is 0.42.
-LEAST_SCORE = 0.2
+LOWEST, NEAR = 0.001, 0.85
 _BITS, _MASK = np.int64(21), np.int64((1 << 21) - 1)
 _letters: list[np.ndarray] = []
 
@@ -35,7 +39,7 @@ def _lower_table() -> np.ndarray:
     """Code point to that of its lower-case letter, 0 for what isn't a letter; built once in a process."""
     if not _letters:
         table = np.zeros(0x110000, np.int64)
-        for c in range(0x30000):
+        for c in range(0x110000):
             x = chr(c)
             if x.isalpha():
                 low = x.lower()
@@ -75,16 +79,28 @@ def _ranked(grams: np.ndarray, most: int) -> np.ndarray:
     return found[np.lexsort((found, -counts))[:most]]
 
 
-def learned(docs: DataFrame) -> dict[str, list[int]]:
-    """The profiles, from doc_id, text and lang of labelled documents."""
+def sampled(docs: DataFrame) -> DataFrame:
+    """lang, text of at most SAMPLE labelled rows of each language, chosen by the hash of their doc_id."""
     small_batches(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    share = written(rows.groupBy("lang").agg(F.least(F.lit(1.0), 2.0 * SAMPLE / F.count("*")).alias("share")), "shares")
+    if share.count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages: raise LANGUAGES, or mend the labels")
     # twice as many by hash first, so that the ranking of a language is small wherever it is done
-    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), 2.0 * SAMPLE / F.count("*")).alias("share"))
-    ids = rows.select("doc_id", "lang").join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
-    rank = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id")
-    picked = written(ids.select("doc_id", "lang").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= SAMPLE).select("doc_id", "lang").distinct(), "sample")
-    sample = rows.join(sized(picked, picked.count(), LANGUAGES * SAMPLE), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    ids = rows.select("doc_id", "lang").join(F.broadcast(share), "lang").where(place < F.col("share") * (1 << 30)).select("doc_id", "lang")
+    rank = Window.partitionBy("lang").orderBy(place, "doc_id")
+    picked = written(ids.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= SAMPLE).select("doc_id", "lang").distinct(), "sample")
+    return rows.join(sized(picked, picked.count(), 100 * SAMPLE), ["doc_id", "lang"], "left_semi").select("lang", "text")
+
+
+def learned(docs: DataFrame) -> dict[str, list[int]]:
+    """The profiles, from doc_id, text and lang of labelled documents."""
+    return profiled(sampled(docs))
+
+
+def profiled(sample: DataFrame) -> dict[str, list[int]]:
+    """The profiles, from lang and text of a bounded sample."""
 
     def count(batches):
         for batch in batches:
@@ -98,7 +114,7 @@ def learned(docs: DataFrame) -> dict[str, list[int]]:
 
     counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    rows = counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= LANGUAGE_GRAMS).orderBy("lang", "rank").limit(LANGUAGES * LANGUAGE_GRAMS).collect()
+    rows = counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= LANGUAGE_GRAMS).orderBy("lang", "rank").collect()
     profiles: dict[str, list[int]] = {}
     for row in rows:
         profiles.setdefault(row.lang, []).append(row.gram)
@@ -143,13 +159,22 @@ def op1_language_id(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+def bars(sample: DataFrame, predict) -> dict[str, float]:
+    """The least score with which a text counts as in a language, from lang and text of a bounded sample."""
+    own = sample.select("lang", predict("text").alias("p")).where("p.lang_pred = lang")
+    return {r.lang: NEAR * r.low for r in own.groupBy("lang").agg(F.percentile("p.score", F.lit(LOWEST)).alias("low")).collect()}
+
+
 def language_kept(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose language can be told stay; without a letter or near any profile they go."""
+    """Pipeline stage: documents whose language can be told stay; without a letter or near no profile they go."""
     columns = docs.columns
-    predict = predictor(docs, learned(docs))
+    sample = sampled(docs)
+    profiles = profiled(sample)
     # without a labelled row there is nothing to tell by, and all stay
+    if not profiles:
+        return docs
+    predict = predictor(docs, profiles)
+    bar = F.create_map(*[F.lit(x) for pair in bars(sample, predict).items() for x in pair])
     told = docs.withColumn("_told", predict("text"))
-    known = F.col("_told.lang_pred") != "und"
-    if not docs.where("lang is not null and text is not null").isEmpty():
-        told = told.where(known & (F.col("_told.score") >= LEAST_SCORE))
+    told = told.where((F.col("_told.lang_pred") != "und") & (F.col("_told.score") >= F.coalesce(F.try_element_at(bar, F.col("_told.lang_pred")), F.lit(0.0))))
     return told.select(*[F.col(f"`{c}`") for c in columns])

@@ -124,30 +124,80 @@ def test_quality_stats(spark, documents, odd):
         assert r._failed == (r._stats.n_words < 50 or 100 * r._stats.n_repeat_words > 50 * r._stats.n_words)
 
 
+def robust(x):
+    """The estimate of `fit` in plain numpy: three starts, concentration to the end, reweighting."""
+    q = quality_rules
+    n, p = x.shape
+    middle = np.median(x, axis=0)
+    sd = np.sqrt((1.4826 * np.median(abs(x - middle), axis=0)) ** 2 + np.diag(q._FLOOR))
+    z = (x - middle) / sd
+    t, u = np.tanh(z), z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+    squared = lambda m, s: np.maximum(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m), 0)
+    best = None
+    for start in (np.diag(sd**2), np.cov(t.T, bias=True) / 0.394 * np.outer(sd, sd) + q._FLOOR, p * (u.T @ u / n) * np.outer(sd, sd) + q._FLOOR):
+        mean, cov, last = middle, start, np.inf
+        while True:
+            bins = np.floor(q.BINS * np.log1p(squared(mean, cov)))
+            kept = x[bins <= np.sort(bins)[(n + 6) // 2 - 1]]
+            mean, cov = kept.mean(axis=0), q.HALF * np.cov(kept.T, bias=True) + q._FLOOR
+            now = np.linalg.slogdet(cov)[1]
+            if best is None or now < best[0]:
+                best = now, mean, cov
+            if not now < last - q.FALL:
+                break
+            last = now
+    kept = x[squared(*best[1:]) <= q.WEIGHED]
+    return kept.mean(axis=0), q.MOST * np.cov(kept.T, bias=True) + q._FLOOR
+
+
 def test_quality_verdicts(spark):
+    """Whole verdicts against brute force: counts, groups, estimates and distances in plain Python and numpy."""
     out = quality_rules.op3_quality_rules(spark, SF).collect()
-    assert len(out) == spark.read.parquet(f"{SF}/documents.parquet").count()
-    for r in out:  # the test tables' junk is full of symbols, their prose has none
-        assert r.kept == (not r.base_failed and r.n_symbols <= 0.05 * r.word_chars)
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert len(out) == len(docs)
+    vectors = {}
+    for r in out:
+        n, chars, symbols, lines, repeats = plain_stats(docs[r.doc_id].text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, lines, repeats)
+        assert r.base_failed == (n < 50 or 100 * repeats > 50 * n)
+        if not r.base_failed:
+            vectors[r.doc_id] = np.rint(256 * np.array([np.log(n), np.log(chars / n), np.log1p(100 * symbols / chars), np.log1p(lines), repeats / n]))
+    groups = collections.defaultdict(list)
+    for d in vectors:
+        for key in ((docs[d].lang, docs[d].source), docs[d].lang, None):
+            groups[key].append(d)
+    estimates = {k: robust(np.stack([vectors[d] for d in ids])) for k, ids in groups.items() if len(ids) >= (50 if k else 20)}
+    for r in out:
+        if r.base_failed:
+            assert not r.kept
+            continue
+        mean, cov = next(estimates[k] for k in ((docs[r.doc_id].lang, docs[r.doc_id].source), docs[r.doc_id].lang, None) if k in estimates)
+        v = vectors[r.doc_id] - mean
+        distance = v @ np.linalg.inv(cov) @ v
+        assert abs(distance - quality_rules.CUTOFF) < 1e-6 or r.kept == (distance <= quality_rules.CUTOFF), r.doc_id
 
 
-def test_mcd_steps(spark):
-    """The estimate of all rows against the same steps in numpy, without histograms."""
+def test_planted_outliers(spark):
+    """Junk of one kind, up to nearly half of a group, goes; the rest of the group stays."""
     rng = np.random.default_rng(5)
-    x = np.rint(rng.normal(0, 300, (400, 5)))
-    x[:60] += 4000
-    rows = spark.createDataFrame([("en", "s", *map(float, r)) for r in x], "lang string, source string, x0 double, x1 double, x2 double, x3 double, x4 double").repartition(3)
-    model = quality_rules.fit(rows).where("key.level = 2").first()
-    floor = np.diag([(f * quality_rules.SCALE) ** 2 for _, f in quality_rules.FEATURES])
-    mean = np.median(x, axis=0)
-    inverse = np.diag(1 / ((1.4826 * np.median(abs(x - mean), axis=0)) ** 2 + np.diag(floor)))
-    for _ in range(quality_rules.STEPS):
-        d = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
-        bins = np.floor(quality_rules.BINS * np.log1p(d))
-        kept = x[bins <= np.sort(bins)[int(np.ceil(quality_rules.H * len(x))) - 1]]
-        mean, inverse = kept.mean(axis=0), np.linalg.inv(quality_rules.CONSISTENT * np.cov(kept.T, bias=True) + floor)
-    assert np.allclose(model["mean"], mean) and np.allclose(np.array(model["inverse"]).reshape(5, 5), inverse)
-    assert abs(np.array(model["mean"])).max() < 100  # the sixty outliers have no say
+    n, rows, groups = 600, [], {}
+    good = np.stack([rng.normal(5.7, 0.9, n), rng.normal(1.61, 0.04, n), np.zeros(n), np.log1p(rng.random(n) < 0.05), np.where(rng.random(n) < 0.1, rng.random(n) / 5, 0)], axis=1)
+    for share in (0.1, 0.3, 0.45):
+        for feature, value in ((0, 11.5), (1, 2.3), (2, 2.5), (3, 2.2), (4, 0.6)):
+            x = good.copy()
+            x[: int(share * n), feature] = value
+            groups[f"{share} {feature}"] = x = np.rint(quality_rules.SCALE * x)
+            rows += [("en", f"{share} {feature}", *map(float, r)) for r in x]
+    rows = spark.createDataFrame(rows, "lang string, source string, x0 double, x1 double, x2 double, x3 double, x4 double").repartition(3)
+    models = {r.key.source: r for r in quality_rules.fit(rows).where("key.level = 0").collect()}
+    for source, x in groups.items():
+        mean, cov = robust(x)
+        assert np.allclose(models[source]["mean"], mean) and np.allclose(np.array(models[source]["inverse"]).reshape(5, 5), np.linalg.inv(cov)), source
+        off = x - mean
+        distance = np.einsum("ij,jk,ik->i", off, np.linalg.inv(cov), off)
+        junk = np.arange(n) < int(float(source[:-2]) * n)
+        assert (distance[junk] > quality_rules.CUTOFF).mean() >= 0.95, source
+        assert (distance[~junk] <= quality_rules.CUTOFF).mean() >= 0.99, source
 
 
 def test_quality_stage(spark, odd, empty):
@@ -192,10 +242,69 @@ def test_language_distance():
     assert got == plain
 
 
+def plain_grams(text):
+    grams = collections.Counter()
+    word = ""
+    for c in (text or "") + " ":
+        if c.isalpha():
+            word += c.lower() if len(c.lower()) == 1 else c
+        elif word:
+            padded = f" {word} "
+            grams.update(word)
+            for k in (2, 3):
+                grams.update(padded[i : i + k] for i in range(len(padded) - k + 1))
+            word = ""
+    return grams
+
+
+def plain_ranks(grams, most):
+    return {g: i for i, (g, _) in enumerate(sorted(grams.items(), key=lambda x: (-x[1], language_id_key(x[0])))[:most])}
+
+
+def language_id_key(gram):
+    """The packed number of a gram."""
+    out = 0
+    for c in gram:
+        out = out << 21 | ord(c)
+    return out
+
+
+def test_language_predictions(spark, odd):
+    """Ranks, distances, predictions and scores against the plain definition, with ties, long texts and high planes."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the hat sat on the mat", "en"), ("the dog and a fog", "en"), ("der Hund und die Katze", "de"), ("ÄÖÜ ßtraße", "de"), ("ab ab", "x"), ("ab ab", "y"), ("\U00030000\U00031000 \U00030000", "han")])]
+    docs = spark.createDataFrame([(i, t, lang) for i, t, lang in rows], "doc_id long, text string, lang string")
+    profiles = language_id.learned(docs)
+    grams = collections.defaultdict(collections.Counter)
+    for _, t, lang in rows:
+        grams[lang].update(plain_grams(t))
+    want = {lang: plain_ranks(g, language_id.LANGUAGE_GRAMS) for lang, g in grams.items()}
+    assert {k: [language_id_key(g) for g in sorted(v, key=v.get)] for k, v in want.items()} == profiles
+    texts = odd.select("doc_id", "text").union(docs.select("doc_id", "text")).union(spark.createDataFrame([(50, "ba"), (51, "\U00031000"), (52, "the und " * 20_000)], "doc_id long, text string"))
+    for r in texts.select("text", language_id.predictor(docs, profiles)("text").alias("p")).collect():
+        own = plain_ranks(plain_grams(r.text), language_id.TEXT_GRAMS)
+        if not own:
+            assert (r.p.lang_pred, r.p.score) == ("und", 0)
+            continue
+        worst = language_id.LANGUAGE_GRAMS
+        far = {lang: sum(min(abs(ranks[g] - i), worst) if g in ranks else worst for g, i in own.items()) for lang, ranks in want.items()}
+        best = min(far, key=lambda lang: (far[lang], lang))  # x and y are equal: the first by name
+        assert r.p.lang_pred == best and abs(r.p.score - (1 - far[best] / (worst * len(own)))) < 1e-12
+
+
 def test_language_stage(spark, documents, odd, empty):
-    kept = language_id.language_kept(spark, odd, SF)
-    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()).count("1") == 0
-    assert language_id.language_kept(spark, documents, SF).count() == documents.where("text rlike '[A-Za-z]'").count()
+    import random
+
+    rng = random.Random(3)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (80, 400, 3000)]
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä " * 4
+    other = spark.createDataFrame([(9000 + i, t) for i, t in enumerate([*noise, finnish])], "doc_id long, text string")
+    docs = documents.unionByName(other, allowMissingColumns=True)
+    kept = language_id.language_kept(spark, docs, SF)
+    assert kept.columns == docs.columns
+    ids = collections.Counter(r.doc_id for r in kept.select("doc_id").collect())
+    told = [r.doc_id for r in documents.where("text rlike '[A-Za-z]' and size(split(text, ' ')) >= 50").select("doc_id").collect()]
+    assert not set(range(9000, 9004)) & set(ids) and set(told) <= set(ids)
+    assert language_id.language_kept(spark, odd, SF).columns == odd.columns
     assert language_id.language_kept(spark, empty, SF).count() == 0
 
 
