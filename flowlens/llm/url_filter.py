@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from flowlens.llm._shared import read_table
 
-#: (verdict, host, path prefix without the slash): the longest path that fits wins, then the longest host.
+#: (verdict, host, path prefix without the slash): of the rules that fit, the one with the longest host and path wins.
 RULES = [
     ("allow", "org", ""),
     ("block", "example.org", "es/"),
@@ -26,37 +26,37 @@ RULES = [
 ]
 BUCKETS, SIZES, REGULAR, EMPTY = 4096, (3, 4, 5), 0.0001, "allow"
 
-#: The labelled URL table: names of unwanted hosts, and of ordinary ones. Fixed values.
-UNWANTED = """adult-x adult-video adult-chat adults-only xxx-tube xxx-video porn-hub porn-free sex-cam sex-chat live-cams hot-girls nude-pics erotic-x
-casino-win casino-royal casino-bonus online-casino win-casino lucky-slots slots-win mega-jackpot jackpot-win poker-win poker-room roulette-win
-free-bets free-spins best-bets bets-now sport-bets betting-tips bet-bonus free-money free-gift free-prize win-prize
+#: The labelled URL table: names of unwanted hosts, and of ordinary ones. Fixed values. Both kinds have names with and
+#: without hyphens; each compound name also occurs written as one word.
+UNWANTED = """adult-x adult-video adult-chat adults-only xxx-tube xxx-video porn-hub porn-free sex-cam sex-chat live-cams hot-girls nude-pics erotic-x escort
+casino-win casino-royal casino-bonus online-casino win-casino lucky-slots slots-win mega-jackpot jackpot-win poker-win poker-room roulette gambling
+free-bets free-spins best-bets bets-now sport-bets betting-tips bet-bonus free-money free-gift free-prize win-prize lottery-win
 cheap-pills cheap-meds cheap-watches cheap-loans buy-pills pills-shop diet-pills viagra-shop pharma-deal meds-online payday-loan fast-loan quick-cash
-spam-farm spam-mail spam-links link-farm farm-links seo-links seo-boost mass-mail click-bait click-farm bot-clicks
-ads-track ads-serve ad-tracker ad-server track-pixel pixel-track track-user popup-ads banner-ads ads-click click-track
-hack-tool crack-keys keygen-free warez-dl torrent-x fake-id fake-news phish-bank malware-x""".split()
+spam-farm spam-mail spam-links link-farm farm-links seo-links seo-boost mass-mail click-bait click-farm bot-clicks spammer
+ads-track ads-serve ad-tracker ad-server track-pixel pixel-track track-user popup-ads banner-ads ads-click click-track adware
+hack-tool crack-keys keygen-free warez-dl torrent-x fake-id phish-bank malware-x keylogger""".split()
 ORDINARY = """the there other then than that this these those thing think thread theory thrive earth north south weather father brother
-nation station motion fiction edition tradition position ration relation mention lotion option
-heron baron iron person reason season lesson prison inner dinner winter summer hammer letter better matter river silver
-running morning evening spring string bring ring king wing sting building meaning hearing landing rating
-garden harden warden golden wooden kitchen children women oven raven seven eleven heaven even
-hand sand land band brand stand grand island england holland poland finland friend legend
-shore store score core more ore before adore explore ignore restore history memory factory victory story
-forum science journal library museum school college university academy research health hospital council city town village
-recipes cooking travel hotel music guitar piano physics biology chemistry math astronomy geology gazette herald tribune daily
+nation station motion fiction edition tradition position ration relation mention lotion option heron baron iron person reason season lesson
+running morning evening spring string bring ring king wing building meaning hand sand land band brand stand grand island england holland legend
+shore store score core more before explore restore history memory factory forum science journal library museum school college university
+new-york san-marino open-source city-news daily-herald town-hall health-care well-being book-club art-house film-review early-music
+free-software free-press winter-sports market-watch track-and-field link-library farm-shop village-farm mail-order post-office
+old-books world-atlas blue-river green-garden rail-way sea-side home-school wood-work stone-age north-wind long-walk
+recipes cooking travel hotel guitar piano physics biology chemistry math astronomy geology gazette tribune daily
 code python linux kernel compiler database wiki archive docs manual tutorial review report paper blogger notes diary""".split()
 _PREFIXES = ("", "www.", "blog.", "m.", "news.", "shop.")
-_SUFFIXES = ("example.com", "example.net", "example.org")
-_PATHS = ("/en/{}", "/de/{}/", "/fr/{}.html", "/es/{}", "/")
+_SUFFIXES = ("com", "net", "org", "info", "io", "co.uk", "de", "fr")
+_PATHS = ("/en/{}", "/de/{}/", "/fr/{}.html", "/es/{}", "/", "/articles/{}", "/index.php")
 
 
 def labelled_urls() -> list[tuple[str, str, float]]:
-    """(host, path, label): each name with one or another prefix, domain and path, taken in turn; 1 is unwanted."""
+    """(host, path, label): each name with and without its hyphen, with prefixes, domains and paths taken in turn; 1 is unwanted."""
     rows = []
     for names, label in ((UNWANTED, 1.0), (ORDINARY, 0.0)):
         for i, name in enumerate(names):
-            for k in range(2):
+            for k, written in enumerate((name, name.replace("-", ""))):
                 at = 2 * i + k
-                rows.append((f"{_PREFIXES[at % 6]}{name}.{_SUFFIXES[at % 3]}", _PATHS[at % 5].format(37 * at % 997), label))
+                rows.append((f"{_PREFIXES[at % 6]}{written}.{_SUFFIXES[at % 8]}", _PATHS[at % 7].format(37 * at % 997), label))
     return rows
 
 
