@@ -50,32 +50,39 @@ GONE_NAMES = frozenset("ad ads advert adverts advertisement advertising banner p
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th"), "option": ("option",)}
 STOPS = frozenset("ul ol dl table article section main div body".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>\s+|[/=]|[^\s=>/]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)?)?)*+)>?", re.S)
+#: A quote counts only where a value begins, as in browsers: title=it's is a whole value.
+_ATTRIBUTE = re.compile(r"""([^\s=>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
+#: Of these, words that inside a declared article name its own parts as often: its head, its picture, what it relates to.
+SOFT_NAMES = frozenset("header masthead banner related recommended".split())
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
     """A block element, or one that goes with all it holds. parts: texts and child nodes in page order."""
 
-    __slots__ = ("children", "gone", "main", "named", "parts", "tag", "text")
+    __slots__ = ("children", "gone", "main", "named", "parts", "soft", "tag", "text")
 
-    def __init__(self, tag: str, gone: bool = False, main: bool = False, named: bool = False):
-        self.tag, self.gone, self.main, self.named, self.parts = tag, gone, main, named, []
+    def __init__(self, tag: str, gone: bool = False, main: bool = False, named: bool = False, soft: bool = False):
+        self.tag, self.gone, self.main, self.named, self.soft, self.parts = tag, gone, main, named, soft, []
         self.children: list[Node] = []
         self.text = ""
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
-    """(boilerplate, declared to be the article, declared so with a name of boilerplate) by tag and attributes."""
-    gone, main, named = tag in GONE_TAGS, tag in ("article", "main"), False
+def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
+    """(boilerplate, declared to be the article, declared so with a name of boilerplate, boilerplate only outside a
+    declared article) by tag and attributes."""
+    gone, main, named, soft = tag in GONE_TAGS, tag in ("article", "main"), False, False
     for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            marked = any(w.lower() in GONE_NAMES for w in _WORD.findall(value))
-            gone |= marked and tag not in ("body", "html", "article", "main")
-            named |= marked and tag in ("article", "main")
+            words = GONE_NAMES.intersection(w.lower() for w in _WORD.findall(value))
+            if tag in ("article", "main"):
+                named |= bool(words)
+            elif words and tag not in ("body", "html"):
+                gone |= not words <= SOFT_NAMES
+                soft = True
         elif name == "role":
             gone |= value.lower() in GONE_ROLES
             main |= value.lower() in ("main", "article")
@@ -83,9 +90,9 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
             gone = True
         elif name == "aria-hidden":
             gone |= value.lower() == "true"
-        else:
+        elif name == "style":
             gone |= "display:none" in value.replace(" ", "").lower()
-    return gone, main and not gone, named and not gone
+    return gone, main and not gone, named and not gone, soft and not gone
 
 
 def tree(page: str) -> Node:
@@ -125,21 +132,21 @@ def tree(page: str) -> Node:
         if tag in VOID:
             words("\n" if tag in ("br", "hr", "wbr") and tag != "wbr" else "")
             continue
-        gone, main, named = _marks(tag, token[3])
+        gone, main, named, soft = _marks(tag, token[3])
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
             at = close.end() if close else len(page)
             continue
         if tag in ("html", "body") and len(stack) == 1:
             continue
-        if tag in BLOCKS or gone or main:
+        if tag in BLOCKS or gone or main or soft:
             if tag in BLOCKS:
                 end(("p",), frozenset(("article", "section", "main", "div", "td", "th", "li", "blockquote", "body", "button")))
             if tag in ENDS:
                 end(ENDS[tag], STOPS - frozenset(ENDS[tag]))
             if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 end(("h1", "h2", "h3", "h4", "h5", "h6"), STOPS)
-            node = Node(tag, gone, main, named)
+            node = Node(tag, gone, main, named, soft)
             stack[-1].parts.append(node)
             stack[-1].children.append(node)
             if not token[3].rstrip().endswith("/") or tag in BLOCKS:
@@ -381,7 +388,7 @@ def extract(root: Node, template: set[int]) -> str:
                 whole.append(x)
                 if slot:
                     own.append(x)
-            elif not (x.gone or (x.named and plain) or (x.tag == "header" and not declared)):
+            elif not (x.gone or (x.named and plain) or ((x.soft or x.tag == "header") and not declared)):
                 todo += [(p, id(x) not in template) for p in reversed(x.parts)]
         # a declared article that is template throughout is a copy of the host's other articles
         blocks += own or (whole if declared else [])

@@ -141,6 +141,14 @@ def test_html_blocks(spark):
     got = extract(spark, pages)
     assert got == {1: "T & U\n\nOne two three.\n\nFour five", 2: "", 3: "", 4: "plain < text & more", 5: "kept x", 6: "a\n\ni\n\nj\n\nk\n\nl", 7: "t\n\nx", 8: "q", 9: "deep"}
     assert extract(spark, [(1, "http://a", page("<p>a</p>"))] * 2) == {1: "a"}
+    pages = [
+        (1, "http://a", "<article><p title=it's>Body one</p><p>Don't lose</p></article>"), (2, "http://a", "<article><div class='post-header'><h1>Title</h1></div><p class='lead' data-x='class=ad'>x</p><div class='related-work'>r</div><div class='share-bar'>s</div></article>"),
+        (3, "http://a", "<article><p title=\"never closed>a</p><p>b</p></article>"), (4, "http://a", "<div class='site-header'>s</div><div>kept</div>"), (5, "http://a", "<article><p a = \"x>y\" b='1' c>z</p><br/>w</article>"),
+        (6, "http://a", "<article>" + "<p>word</p>" * 30_000 + "</article>"),
+    ]
+    got = extract(spark, pages)
+    assert got.pop(6) == "\n\n".join(["word"] * 30_000)
+    assert got == {1: "Body one\n\nDon't lose", 2: "Title\n\nx\n\nr", 3: "a\n\nb", 4: "kept", 5: "z\n\nw"}
     assert html_extract.extracted(spark.createDataFrame([], PAGES)).count() == 0
 
 
