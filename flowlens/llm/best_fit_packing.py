@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from flowlens.llm._shared import read_table, small_batches, written
 
 LENGTH, END = 1024, 2
-#: Pieces that one partition packs at once, and rounds of exchange at most.
-PART_ROWS, ROUNDS = 100_000, 6
-#: Words that one worker remembers; then it starts anew. About 100 MB.
-WORDS = 400_000
+#: Pieces that one partition packs at once.
+PART_ROWS = 100_000
+#: Words that one worker remembers; then it starts anew. About 25 MB.
+WORDS = 100_000
 
 
 def _public(name: str) -> str:
@@ -211,18 +211,19 @@ def _pack(rows: DataFrame, parts: int, number: int, length: int, final: bool) ->
 
 
 def packed(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """rows (a frame of `pieces`) with sequence_id and offset; two shuffles of a row of numbers for each piece at most."""
+    """rows (a frame of `pieces`) with sequence_id, offset and gap (bins over the lower bound in the
+    partition that settled it, 0: certified); two shuffles of a row of numbers for each piece at most."""
     rows = written(rows, "pieces")
-    out = rows.where(F.col("length") == length).select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    out = rows.where(F.col("length") == length).select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("gap"))
     pool, count, number = rows.where(F.col("length") < length), None, 1
     while True:
         left = pool.count()
         if not left:
             break
         parts = max(1, -(-left // PART_ROWS)) if number == 1 else max(1, min(parts - 1, -(-left // PART_ROWS)))
-        final = parts == 1 or number == ROUNDS or (count is not None and left >= count)
+        final = parts == 1 or (count is not None and left >= count)
         tried = written(_pack(pool, parts, number, length, final), "packed")
-        done = tried.where("settled").select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("part") * (1 << 26) - F.col("bin")).alias("sequence_id"), "offset")
+        done = tried.where("settled").select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("part") * (1 << 26) - F.col("bin")).alias("sequence_id"), "offset", "gap")
         out = out.unionByName(done)
         if final:
             break
