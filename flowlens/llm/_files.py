@@ -14,6 +14,11 @@ def located(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def attempt(name: str) -> str:
+    """name with a mark of its own for each try of a task: of two tries, neither can overwrite what the other wrote."""
+    return f"{name}-{uuid.uuid4().hex[:12]}"
+
+
 class Renamed:
     """A file under a temporary name that gets its own name when it is complete; a lost task leaves only the former."""
 

@@ -69,9 +69,12 @@ def forget(spark: SparkSession, paths: list[str]) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker holds at once, whatever the texts' lengths."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bounds what a Python worker holds at once, whatever the texts' lengths. These are settings of the session, read
+    when a plan runs, so there is no narrower place for them; a session's own smaller bounds are left as they are."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("bB")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def sized(df: DataFrame, rows: int, limit: int) -> DataFrame:

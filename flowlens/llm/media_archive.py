@@ -1,7 +1,8 @@
 """Operator 10, media columns: a Spark data source over folders of archives of media members.
 
 `write_archives` stores each text as a PNG image (64 RGB pixels, 192 samples of 8 bits, a row) in tar archives, with
-a file of member offsets beside each. `MediaArchive` is the data source `media_archive`: it plans partitions of
+a file of member offsets beside each, and then a list of the archives of the tasks that counted: what a lost task or a
+second try left is not read. `MediaArchive` is the data source `media_archive`: it plans partitions of
 RANGE_BYTES of the archives' bytes; a member belongs to the range in which its header begins, found by binary search
 in the offsets. Members are read one by one by offset; a failed read or a damaged member is tried again by itself
 with a new handle, and if it stays so, becomes a row with an error and no media, while its neighbours come whole.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from flowlens.llm._files import Ranges, Renamed, located
+from flowlens.llm._files import Ranges, Renamed, attempt, located
 from flowlens.llm._shared import new_path, read_table, small_batches, written
 
 ROW, ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES, TRIES = 192, 128 << 20, 16 << 20, 4 << 20, 3
@@ -46,16 +47,24 @@ def to_png(text: bytes) -> bytes:
     return _SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"tEXt", b"bytes\0%d" % len(text)) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
-def from_png(image: bytes) -> tuple[bytes, int]:
-    """(payload, bytes before padding); checks every chunk."""
+def _chunks(image: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """(kind, body) of every chunk, each checked by its sum."""
     if image[:8] != _SIGNATURE:
         raise ValueError("not a PNG image")
-    at, rows, n, data = 8, 0, 0, b""
+    at = 8
     while at < len(image):
         size, kind = struct.unpack_from(">I4s", image, at)
         body = image[at + 8 : at + 8 + size]
         if len(body) != size or zlib.crc32(body, zlib.crc32(kind)) != struct.unpack_from(">I", image, at + 8 + size)[0]:
             raise ValueError(f"damaged chunk at {at}")
+        yield kind, body
+        at += 12 + size
+
+
+def from_png(image: bytes) -> tuple[bytes, int]:
+    """(payload, bytes before padding)."""
+    rows, n, data = 0, 0, b""
+    for kind, body in _chunks(image):
         if kind == b"IHDR":
             width, rows, *rest = struct.unpack(">IIBBBBB", body)
             if (width, rest) != (ROW // 3, [8, 2, 0, 0, 0]):
@@ -64,7 +73,6 @@ def from_png(image: bytes) -> tuple[bytes, int]:
             n = int(body.partition(b"\0")[2])
         elif kind == b"IDAT":
             data += body
-        at += 12 + size
     lines = np.frombuffer(zlib.decompress(data), np.uint8).reshape(rows, ROW + 1)
     if lines[:, 0].any():
         raise ValueError("filtered lines")
@@ -101,12 +109,12 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
     def store(batches):
         from pyspark import TaskContext
 
-        part, number, archive, offsets = TaskContext.get().partitionId(), 0, None, []
+        part, number, archive, offsets, name = TaskContext.get().partitionId(), 0, None, [], ""
 
         def close():
             archive.write(bytes(1024))
             # the offsets first: an archive that can be seen has them
-            index = Renamed(folder, f"part-{part:06d}-{number:04d}.offsets")
+            index = Renamed(folder, f"{name}.offsets")
             index.write(np.array(offsets, "<i8").tobytes())
             index.done()
             return pa.RecordBatch.from_arrays([pa.array([archive.done()]), pa.array([len(offsets)], pa.int64()), pa.array([archive.size], pa.int64())], ["path", "members", "bytes"])
@@ -114,7 +122,8 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 if archive is None:
-                    archive, offsets = Renamed(folder, f"part-{part:06d}-{number:04d}.tar"), []
+                    name = attempt(f"part-{part:06d}-{number:04d}")
+                    archive, offsets = Renamed(folder, f"{name}.tar"), []
                 image = to_png((text.as_py() or "").encode())
                 offsets.append(archive.write(_tar_header(f"{doc_id}.png".encode(), len(image)) + image + bytes(-len(image) % 512)))
                 if archive.size >= archive_bytes:
@@ -123,7 +132,12 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
         if archive is not None:
             yield close()
 
-    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(store, "path string, members long, bytes long"), "archives")
+    archives = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(store, "path string, members long, bytes long"), "archives")
+    listed = Renamed(folder, attempt("_archives"))
+    for row in archives.select("path").toLocalIterator():  # a name for each archive_bytes
+        listed.write(row.path.encode() + b"\n")
+    listed.done()
+    return archives
 
 
 class _Range(InputPartition):
@@ -141,6 +155,10 @@ class MediaArchiveReader(DataSourceReader):
         fs, path = located(self.folder)
         found = fs.get_file_info(pafs.FileSelector(path, recursive=True, allow_not_found=True))
         archives = sorted((x.path, x.size) for x in found if x.path.endswith(".tar") and "/_" not in x.path[len(path) :])
+        lists = [x.path for x in found if x.path[len(path) :].startswith("/_archives-")]
+        if lists:  # a folder without lists is read as it is
+            known = {line for x in lists for line in fs.open_input_file(x).read().decode().split("\n")}
+            archives = [x for x in archives if x[0] in known]
         return [_Range(p, at, min(at + self.bytes, size)) for p, size in archives for at in range(0, size, self.bytes)]
 
     def read(self, partition: _Range | None) -> Iterator[pa.RecordBatch]:
@@ -168,7 +186,8 @@ class MediaArchiveReader(DataSourceReader):
             try:
                 name, size = _tar_member(files.read(path, at, 512))
                 media = files.read(path, at + 512, size)
-                from_png(media)
+                for _ in _chunks(media):  # sums only; the samples are decoded once, by who wants them
+                    pass
                 return path, at, name, media, None
             except (OSError, ValueError, zlib.error) as e:
                 problem = f"{path} at {at}: {e}"

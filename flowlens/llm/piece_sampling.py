@@ -12,7 +12,7 @@ in whatever batch or task. THETA = inf is the most probable path in effect; smal
 
 Decoding joins pieces and bytes and drops the space in front. It is lossless: characters without a piece, and
 U+2581 itself (which pieces use for the space), are spelled in byte pieces. Null texts are empty, empty texts have no
-ids, a null key is a key of its own; repeated rows get equal ids. Other columns are ignored.
+ids, a null key draws as NULL_KEY does, and null ids decode to a null text; repeated rows get equal ids. Other columns are ignored.
 
 Work is by whole arrays: one lattice for each distinct word, one draw for each occurrence.
 """
@@ -30,6 +30,8 @@ from flowlens.llm._shared import read_table, small_batches
 from flowlens.llm._words import mix, slices
 
 THETA, RANK, SEED = 1.5, 50.0, 1
+#: A number far from the ids that tables count up from.
+NULL_KEY = -0x6E756C6C20646F63
 #: Characters that one slice of texts has, about; bounds a worker's arrays.
 SLICE = 1 << 20
 #: Lattice slots (a character each, about) that a worker keeps for words that come again: 128 bytes a slot.
@@ -296,7 +298,7 @@ def _encoded(column: pa.Array, keys: np.ndarray, pieces: Pieces):
 
 
 def _keys(column: pa.Array) -> np.ndarray:
-    return column.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.uint64)
+    return column.cast(pa.int64()).fill_null(NULL_KEY).to_numpy(zero_copy_only=False).astype(np.uint64)
 
 
 def encode(docs: DataFrame, model_path: str | None = None, theta: float = THETA) -> DataFrame:
@@ -319,7 +321,7 @@ def decode(rows: DataFrame, model_path: str | None = None) -> DataFrame:
     @F.arrow_udf("string")
     def join(ids: pa.Array) -> pa.Array:
         pieces = _pieces(path, THETA)
-        return pa.array([pieces.decode(np.array(x, np.int64))[1:].decode() for x in ids.to_pylist()], pa.string())
+        return pa.array([None if x is None else pieces.decode(np.array(x, np.int64))[1:].decode() for x in ids.to_pylist()], pa.string())
 
     return rows.withColumn("text", join("ids")).drop("ids")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm._files import Ranges, Renamed
+from flowlens.llm._files import Ranges, Renamed, attempt
 from flowlens.llm._shared import new_path, read_table, sized, small_batches, written
 
 SAME_BYTES, ARCHIVE_BYTES, BLOCK_LINES, PART_LINES, INDEX_PARTS = 1000, 128 << 20, 1024, 100_000, 4096
@@ -100,7 +100,7 @@ def write_warc(rows: DataFrame, folder: str) -> DataFrame:
 
         for batch in batches:
             for page_id, url, sha1, html, keeper, key in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "sha1", "html", "keeper", "key")], strict=True):
-                archive = archive or Renamed(folder, f"part-{part:06d}-{number:04d}.warc.gz")
+                archive = archive or Renamed(folder, attempt(f"part-{part:06d}-{number:04d}") + ".warc.gz")
                 member = record(page_id, url, sha1, html.encode(), keeper)
                 lines.append((key, page_id, archive.write(member), len(member)))
                 if archive.size >= ARCHIVE_BYTES:
@@ -126,7 +126,7 @@ def write_index(records: DataFrame, folder: str) -> list[tuple]:
     def write(batches):
         from pyspark import TaskContext
 
-        name = f"index-{TaskContext.get().partitionId():06d}"
+        name = attempt(f"index-{TaskContext.get().partitionId():06d}")
         blocks, held, sparse, first = None, [], [], None
 
         def flush():
@@ -215,8 +215,10 @@ def lookup(wanted: DataFrame, folder: str, index: list[tuple]) -> DataFrame:
     found = written(dealt.mapInArrow(read, "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long"), "found")
     # a revisit's length is that of the stored payload it names
     stored = found.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("digest"), F.col("payload_bytes").alias("bytes")).dropDuplicates(["refers_to", "digest"])
-    again = found.where("record_type = 'revisit'").join(stored, "refers_to", "left").where("digest is null or digest = payload_digest")
-    again = again.select("page_id", "record_type", F.col("bytes").alias("payload_bytes"), "payload_digest", "refers_to")
+    revisits = found.where("record_type = 'revisit'").withColumnRenamed("payload_digest", "digest")
+    lost = F.raise_error(F.concat(F.lit("no stored payload for the revisit of page "), F.col("page_id").cast("string"))).cast("long")
+    again = revisits.join(stored, ["refers_to", "digest"], "left")
+    again = again.select("page_id", "record_type", F.coalesce("bytes", lost).alias("payload_bytes"), F.col("digest").alias("payload_digest"), "refers_to")
     return found.where("record_type = 'response'").unionByName(again)
 
 
