@@ -136,11 +136,8 @@ class _Join:
         tokens = firsts.select("gid", "classes", "size", F.posexplode("prefix").alias("pos", "token"))
         tokens = tokens.select("token", "gid", F.expr("shiftleft(size, 32) + pos").alias("at"), F.expr("classes > 1 and pos = 0").alias("inner"))
         # most shingles are in one group only; classes of a group share its whole prefix and meet at its first token at least
-        size = F.shiftright("at", 32)
-        met = tokens.groupBy("token").agg(F.count("*").alias("met"), F.max("inner").alias("shared"), F.min(size).alias("least"), F.max(size).alias("most"))
-        far = 100 * F.col("least") < self.percent * F.col("most")
-        met = met.select("token", "met", ((F.col("met") > 2) | ((F.col("met") == 2) & ~far)).alias("pairs"), "shared").where("pairs or shared")
-        entries = written(tokens.join(met, "token").where("pairs or inner").select("token", "gid", "at", "met"), "entries", self.paths)
+        met = tokens.groupBy("token").agg(F.count("*").alias("met"), F.max("inner").alias("shared")).where("met > 1 or shared").drop("shared")
+        entries = written(tokens.join(met, "token").where("met > 1 or inner").drop("inner"), "entries", self.paths)
         weights = entries.groupBy("gid").agg(F.sum("met").alias("weight"))
         rows = entries.select("token", "gid", "at").join(sized(self.classes.select("gid", "cid"), self.few, BROADCAST_IDS), "gid").join(sized(weights, self.few, BROADCAST_IDS), "gid")
         return written(rows.select("token", "cid", "at", "weight"), "rows")
@@ -280,7 +277,12 @@ def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component exactly one row stays; rows without a word stay.
 
     It is the row with the smallest doc_id, one without a doc_id only if all lack it, and one of those by row id.
+    Where doc_id is a key, it is the row id; otherwise the rows are written once more with numbers of their own.
     """
+    sums = docs.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if sums.rows == sums.ids and dict(docs.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint"):
+        gone = written(jaccard_components(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id"), "gone")
+        return docs.join(sized(gone, gone.count(), BROADCAST_IDS), "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = written(docs.select(F.monotonically_increasing_id().alias("id"), F.struct(*columns).alias("doc")), "numbered")
     found = jaccard_components(rows.select(F.col("id").alias("doc_id"), F.col("doc.text").alias("text"))).select(F.col("doc_id").alias("id"), F.col("component_id").alias("part"))
