@@ -123,6 +123,18 @@ def profiled(sample: DataFrame) -> dict[str, list[int]]:
 
 def predictor(docs: DataFrame, profiles: dict[str, list[int]]):
     """A column function: text to struct<lang_pred:string,score:double>."""
+    judge = _judge(docs, profiles)
+
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def predict(text: pa.Array) -> pa.Array:
+        lang, score = judge(text)
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang_pred", "score"])
+
+    return predict
+
+
+def _judge(docs: DataFrame, profiles: dict[str, list[int]]):
+    """A function of an Arrow column of texts to lists of languages and scores."""
     names = sorted(profiles)
     grams = np.unique(np.concatenate([np.array(profiles[x], np.int64) for x in names])) if names else np.zeros(0, np.int64)
     ranks = np.full((len(names), len(grams)), -1, np.int64)
@@ -131,8 +143,7 @@ def predictor(docs: DataFrame, profiles: dict[str, list[int]]):
     small_batches(docs.sparkSession)
     worst = LANGUAGE_GRAMS
 
-    @F.arrow_udf("struct<lang_pred:string,score:double>")
-    def predict(text: pa.Array) -> pa.Array:
+    def judge(text: pa.Array) -> tuple[list[str], np.ndarray]:
         lang, score = ["und"] * len(text), np.zeros(len(text))
         if names:
             for i, found in _grams(text):
@@ -143,9 +154,9 @@ def predictor(docs: DataFrame, profiles: dict[str, list[int]]):
                 distance = np.where(theirs >= 0, np.minimum(np.abs(theirs - np.arange(len(own))), worst), worst).sum(axis=1)
                 k = int(distance.argmin())
                 lang[i], score[i] = names[k], 1 - distance[k] / (worst * len(own))
-        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang_pred", "score"])
+        return lang, score
 
-    return predict
+    return judge
 
 
 def _held_out(doc_id: str = "doc_id") -> F.Column:
@@ -161,7 +172,8 @@ def op1_language_id(spark, sf_dir: str) -> DataFrame:
 
 def bars(sample: DataFrame, predict) -> dict[str, float]:
     """The least score with which a text counts as in a language, from lang and text of a bounded sample."""
-    own = sample.select("lang", predict("text").alias("p")).where("p.lang_pred = lang")
+    # written, as a filter on predictions would have each text predicted twice
+    own = written(sample.select("lang", predict("text").alias("p")), "scores").where("p.lang_pred = lang")
     return {r.lang: NEAR * r.low for r in own.groupBy("lang").agg(F.percentile("p.score", F.lit(LOWEST)).alias("low")).collect()}
 
 
@@ -173,8 +185,13 @@ def language_kept(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     # without a labelled row there is nothing to tell by, and all stay
     if not profiles:
         return docs
-    predict = predictor(docs, profiles)
-    bar = F.create_map(*[F.lit(x) for pair in bars(sample, predict).items() for x in pair])
-    told = docs.withColumn("_told", predict("text"))
-    told = told.where((F.col("_told.lang_pred") != "und") & (F.col("_told.score") >= F.coalesce(F.try_element_at(bar, F.col("_told.lang_pred")), F.lit(0.0))))
-    return told.select(*[F.col(f"`{c}`") for c in columns])
+    bar = bars(sample, predictor(docs, profiles))
+    judge = _judge(docs, profiles)
+
+    # named once in the plan, so that no text is judged twice
+    @F.arrow_udf("boolean")
+    def near(text: pa.Array) -> pa.Array:
+        lang, score = judge(text)
+        return pa.array([x != "und" and s >= bar.get(x, 0.0) for x, s in zip(lang, score.tolist(), strict=True)], pa.bool_())
+
+    return docs.where(near("text")).select(*[F.col(f"`{c}`") for c in columns])
