@@ -219,7 +219,12 @@ _add_events("sessions_idle", lambda e, t: sessions.idle_sessions(e.select("user_
 SELECT user_id, s AS session, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS rows FROM (
   SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS s FROM (
     SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL OR epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 43200 THEN 1 ELSE 0 END AS new FROM events)) GROUP BY user_id, s""")
-_add_events("sessions_lifetime", lambda e, t: sessions.capped_sessions(e.select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "event_id"), ["user_id"], "at", "event_id", 12 * 3600, 48 * 3600))
+_add_events("sessions_lifetime", lambda e, t: sessions.capped_sessions(e.select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "event_id"), ["user_id"], "at", "event_id", 12 * 3600, 48 * 3600), """
+WITH RECURSIVE o AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS n FROM events),
+r AS (SELECT user_id, n, sec, sec AS begun, 1 AS part FROM o WHERE n = 1 UNION ALL
+  SELECT o.user_id, o.n, o.sec, CASE WHEN o.sec - r.sec > 43200 OR o.sec - r.begun > 172800 THEN o.sec ELSE r.begun END, r.part + CASE WHEN o.sec - r.sec > 43200 OR o.sec - r.begun > 172800 THEN 1 ELSE 0 END
+  FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)
+SELECT user_id, min(begun) AS first_at, max(sec) AS last_at, count(*) AS rows FROM r GROUP BY user_id, part""")
 _W = """, d AS (SELECT event_id, timestamp, src_ip, bytes, duration_ms, hour(timestamp) AS h, CASE WHEN sni <> '' THEN sni ELSE dns_domain END AS domain FROM base),
 f1 AS (SELECT *, row_number() OVER w - 1 AS n, domain <> '' AND row_number() OVER (PARTITION BY src_ip, domain ORDER BY timestamp, event_id) = 1 AS is_new, bytes / greatest(duration_ms / 1000, 0.1) AS rate,
   count(*) OVER (PARTITION BY src_ip, h ORDER BY timestamp, event_id) - 1 AS hour_count FROM d WINDOW w AS (PARTITION BY src_ip ORDER BY timestamp, event_id)),
@@ -232,4 +237,14 @@ _raw = lambda e: projections.flows_from_events(e, classified=False)  # noqa: E73
 for _part in ("novelty", "volume", "timing"):
     _add_events(f"anomaly_{_part}", lambda e, t, c=_part: anomaly.scored(_raw(e)).select("event_id", F.round(c, 4).alias(c)), f"WITH {BASE}{_W} SELECT event_id, CAST(round({_part}, 4) AS DOUBLE) AS {_part} FROM s")
 _add_events("anomaly_risk", lambda e, t: anomaly.scored(_raw(e)).groupBy("src_ip").agg(F.sum(F.col("risk_score").cast("bigint")).alias("risk"), F.max("risk_score").cast("bigint").alias("top")), f"WITH {BASE}{_W} SELECT src_ip, CAST(sum(floor(novelty + volume + timing)) AS BIGINT) AS risk, CAST(max(floor(novelty + volume + timing)) AS BIGINT) AS top FROM s GROUP BY src_ip")
-_add_events("anomaly_alerts_cooled", lambda e, t: anomaly.alerts(anomaly.scored(_raw(e)), 25))
+_add_events("anomaly_alerts_cooled", lambda e, t: anomaly.alerts(anomaly.scored(_raw(e)), 25).withColumn("risk_score", _score()), f"""
+WITH RECURSIVE {BASE}{_W}, a AS (
+  SELECT s.event_id, s.timestamp, s.src_ip, b.src_mac, CAST(floor(least(novelty + volume + timing, 100)) AS BIGINT) AS risk_score,
+    CASE WHEN novelty <= 15 AND volume <= 15 AND timing <= 15 THEN 'behaviour deviates from the baseline'
+      ELSE concat_ws('; ', CASE WHEN novelty > 15 THEN 'new domain: ' || domain END, CASE WHEN volume > 15 THEN 'unusual traffic volume' END, CASE WHEN timing > 15 THEN 'unusual time' END) END AS reason
+  FROM s JOIN base b ON b.event_id = s.event_id
+), o AS (SELECT *, row_number() OVER (PARTITION BY src_ip, reason ORDER BY timestamp, event_id) AS n FROM a WHERE risk_score >= 25),
+r AS (SELECT *, timestamp AS last, true AS keep FROM o WHERE n = 1 UNION ALL
+  SELECT o.*, CASE WHEN o.timestamp - r.last >= INTERVAL 300 SECOND THEN o.timestamp ELSE r.last END, o.timestamp - r.last >= INTERVAL 300 SECOND
+  FROM r JOIN o ON o.src_ip = r.src_ip AND o.reason = r.reason AND o.n = r.n + 1)
+SELECT event_id, timestamp, src_ip, src_mac, risk_score, reason FROM r WHERE keep""")
