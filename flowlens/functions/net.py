@@ -77,6 +77,6 @@ def merge_histograms(a: Column, b: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """1.5G, 2.0M, 3.1K, 7."""
+    """1.5G, 2.0M, 3.1K, 7; half a tenth rounds up."""
     one = lambda unit, name: F.concat(F.format_string("%.1f", (n / unit).cast("double")), F.lit(name))
     return F.when(n >= 1e9, one(1e9, "G")).when(n >= 1e6, one(1e6, "M")).when(n >= 1e3, one(1e3, "K")).otherwise(n.cast("long").cast("string"))

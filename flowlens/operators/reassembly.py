@@ -5,12 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 
-MAX_BYTES, MAX_HELD = 32_778, 64
+#: What a parser of a stream's head asks for: bytes of the stream, segments that wait for a gap to close.
+HEAD_BYTES, HEAD_HELD = 32_778, 64
 
 
-def joined(segments, most: int = MAX_BYTES, held: int = MAX_HELD) -> bytes:
-    """Bytes in sequence order. segments: (seq, data) as they came; seq 0 appends. Overlaps are cut, at most `held`
-    segments wait for a gap to close, and the stream ends at `most` bytes."""
+def joined(segments, most: int | None = None, held: int | None = None) -> bytes:
+    """Bytes in sequence order. segments: (seq, data) as they came; seq 0 appends. Overlaps are cut. The first segment
+    that comes begins the stream; what lies before it is not part of it. With `held`, only so many segments wait for a
+    gap to close (the furthest goes); with `most`, the stream ends there."""
     out, base, waiting = bytearray(), None, {}
     for seq, data in segments:
         if seq == 0:
@@ -20,7 +22,7 @@ def joined(segments, most: int = MAX_BYTES, held: int = MAX_HELD) -> bytes:
             out += data
         else:
             waiting.setdefault(seq, data)
-            if len(waiting) > held:
+            if held is not None and len(waiting) > held:
                 waiting.pop(max(waiting))
         while base is not None and waiting:
             first = min(waiting)
@@ -28,19 +30,20 @@ def joined(segments, most: int = MAX_BYTES, held: int = MAX_HELD) -> bytes:
             if gap > 0:
                 break
             out += waiting.pop(first)[-gap:]  # without overlap, -0 keeps all
-        if len(out) >= most:
+        if most is not None and len(out) >= most:
             break
     return bytes(out[:most])
 
 
-def streams(packets: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
-    """keys and stream (binary); packets: keys, order of arrival, tcp_seq, payload."""
+def streams(packets: DataFrame, keys: list[str], order: str = "seq", most: int | None = None, held: int | None = None) -> DataFrame:
+    """keys and stream (binary); packets: keys, order of arrival, tcp_seq, payload. most, held: see `joined`; HEAD_BYTES
+    and HEAD_HELD give a stream's head."""
     fields = [f for f in packets.schema.fields if f.name in keys]
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         row = {k: [pdf[k].iloc[0]] for k in keys}
-        return pd.DataFrame(row | {"stream": [joined(zip(pdf["tcp_seq"], pdf["payload"], strict=True))]})
+        return pd.DataFrame(row | {"stream": [joined(zip(pdf["tcp_seq"], pdf["payload"], strict=True), most, held)]})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", stream binary"
     return packets.select(*keys, order, "tcp_seq", "payload").groupBy(*keys).applyInPandas(build, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from flowlens.functions import net
+from flowlens.operators.layers import last_told
 
 IDLE_S, LIFETIME_S, GAP_NS, HEADER_BYTES = 15, 60, 10_000_000_000, 74
 FIN, RST = 1, 4
@@ -66,17 +67,18 @@ def capped_sessions(rows: DataFrame, keys: list[str], at: str, tie: str, idle: i
     return rows.groupBy(*keys, "_run", "_part").agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count("*").alias("rows")).drop("_run", "_part")
 
 
-def flows_from_packets(packets: DataFrame) -> DataFrame:
+def flows_from_packets(packets: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
     """Flow rows of packets (PACKETS): sessions of each undirected five-tuple, closed by idleness, age, FIN or RST.
 
-    Up is the direction of the session's first packet. Sums, histograms and gaps are built-in aggregates; only the
+    Up is the direction of the session's first packet. fields: text columns of packets (as `layers.fields` adds them), of
+    which a flow has the last that isn't ''. Sums, histograms and gaps are built-in aggregates; only the
     times and flags of a key are taken in order in Python, payloads never are.
     """
     ips = packets.withColumn("src", net.ip_text(F.col("src_ip"))).withColumn("dst", net.ip_text(F.col("dst_ip")))
     rows = ips.select(
         "seq", "timestamp_ns", "src", "dst", "src_port", "dst_port", "protocol", net.mac_text(F.col("src_mac")).alias("mac"),
         (F.length("payload") + HEADER_BYTES).cast("long").alias("size"), F.coalesce(F.col("tcp_flags").bitwiseAND(FIN | RST) > 0, F.lit(False)).alias("ends"),
-        F.to_json(net.flow_key(F.col("src"), F.col("src_port"), F.col("dst"), F.col("dst_port"), F.col("protocol"))).alias("key"),
+        F.to_json(net.flow_key(F.col("src"), F.col("src_port"), F.col("dst"), F.col("dst_port"), F.col("protocol"))).alias("key"), *fields,
     )
     # what follows a FIN or RST is a flow of its own
     order = Window.partitionBy("key").orderBy("timestamp_ns", "seq")
@@ -95,4 +97,5 @@ def flows_from_packets(packets: DataFrame) -> DataFrame:
         F.count_if(F.col("up")).alias("packets_up"), F.count_if(~F.col("up")).alias("packets_down"),
         F.coalesce(F.sum(F.when(F.col("up"), F.col("size"))), F.lit(0)).alias("bytes_up"), F.coalesce(F.sum(F.when(~F.col("up"), F.col("size"))), F.lit(0)).alias("bytes_down"),
         net.size_histogram(F.col("size")).alias("pkt_size_hist"), F.coalesce(F.avg(counted) / 1000, F.lit(0.0)).alias("pkt_iat_mean_us"),
+        *[last_told(f, F.struct("timestamp_ns", "seq")) for f in fields],
     ).withColumn("duration_ms", F.expr("(last_seen - first_seen) div 1000000")).drop(*flow)

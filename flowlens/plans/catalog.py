@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions import classify, net
 from flowlens.operators import anomaly, devices, sessions, traffic
+from flowlens.plans import messages
 from flowlens.plans.oracle import BASE, FLOWS, before, since
 from flowlens.sources import projections
 from flowlens.timerange import latest, window
@@ -248,3 +249,6 @@ r AS (SELECT *, timestamp AS last, true AS keep FROM o WHERE n = 1 UNION ALL
   SELECT o.*, CASE WHEN o.timestamp - r.last >= INTERVAL 300 SECOND THEN o.timestamp ELSE r.last END, o.timestamp - r.last >= INTERVAL 300 SECOND
   FROM r JOIN o ON o.src_ip = r.src_ip AND o.reason = r.reason AND o.n = r.n + 1)
 SELECT event_id, timestamp, src_ip, src_mac, risk_score, reason FROM r WHERE keep""")
+
+QUERIES |= messages.QUERIES
+ORACLE |= messages.ORACLE

@@ -94,6 +94,12 @@ def test_flows_from_packets(spark):
     assert list(rows[0].pkt_size_hist) == [0, 1, 1, 0, 0, 1, 0] and rows[0].pkt_iat_mean_us == pytest.approx((1000 + 4_999_000) / 2)
 
 
+def test_flows_have_last_fields(spark):
+    rows = packets(spark).withColumn("sni", F.when(F.col("seq") == 1, "a.example").when(F.col("seq") == 2, "b.example").otherwise(""))
+    got = {(r.src_ip, r.first_seen): r.sni for r in sessions.flows_from_packets(rows, ("sni",)).collect()}
+    assert sorted(v for v in got.values() if v) == ["b.example"] and len(got) == 6
+
+
 def test_streams_equal_batches(spark, tmp_path):
     path = str(tmp_path / "in")
     late = (99, 4000.0, 9, 9, 1, 1, 17, 1, 0)  # moves the watermark past the last flow
