@@ -8,9 +8,9 @@ with a gap put their other bins' pieces into a pool, certified ones the pieces o
 dealt to fewer partitions and packed again, until one partition's worth is left or a round gains nothing.
 
 Ids are those of the tokenizers library for the same vocabulary (tests hold them against it), by way of a faster
-library: texts are split at single spaces, where the vocabulary's pattern always splits as well, and a word's ids are
-looked up if it was met before. The query and the stage cut texts at the added tokens of the vocabulary's json first,
-as that library does by default; `pieces` takes their strings as ordinary text unless it is given them.
+library that is given whole texts: to remember words' ids takes more time, as most words are met once. The query and
+the stage cut texts at the added tokens of the vocabulary's json first, as that library does by default; `pieces` takes
+their strings as ordinary text unless it is given them.
 
 Defined results: a null text is an empty one, so its only id is the end id. Equal rows are packed one by one. Of a
 stage's or query's other columns none is used.
@@ -22,6 +22,7 @@ import base64
 import json
 import re
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,6 @@ from flowlens.llm._shared import read_table, small_batches, written
 LENGTH, END = 1024, 2
 #: Pieces that one partition packs at once.
 PART_ROWS = 100_000
-#: Words that one worker remembers; then it starts anew. About 25 MB.
-WORDS = 100_000
 
 
 def _public(name: str) -> str:
@@ -52,8 +51,8 @@ def added_tokens(path: str | None = None) -> dict[str, int]:
     return {t["content"]: t["id"] for t in added}
 
 
-class _Words(dict):
-    """Word (with the space before it) to its ids as little-endian unsigned 32-bit numbers."""
+class _Ids:
+    """A text's ids as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, ranks_path: str, pattern: str):
         import tiktoken
@@ -62,44 +61,30 @@ class _Words(dict):
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
         self.encoding = tiktoken.Encoding("flowlens", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encoding.encode_ordinary(word), "<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+    def __call__(self, text: str) -> bytes:
+        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
-    def ids(self, text: str) -> bytes:
-        if "  " in text or "\0" in text or text.endswith(" "):
-            return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").split("\0")))
 
-
-def _with_added(words: _Words, added: dict[str, int]):
+def _with_added(plain: _Ids, added: dict[str, int]):
     """A function of a text to its ids; of added tokens that begin at one place the longest is taken."""
     if not added:
-        return words.ids
+        return plain
     found = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
     whole = {token: np.array([i], "<u4").tobytes() for token, i in added.items()}
 
     def ids(text: str) -> bytes:
         if not any(token in text for token in whole):
-            return words.ids(text)
+            return plain(text)
         # odd parts are the tokens
-        return b"".join(whole[part] if k % 2 else words.ids(part) for k, part in enumerate(found.split(text)) if part)
+        return b"".join(whole[part] if k % 2 else plain(part) for k, part in enumerate(found.split(text)) if part)
 
     return ids
 
 
-_tokenizers: dict[tuple, _Words] = {}
-
-
-def _words(ranks_path: str, pattern: str) -> _Words:
-    key = (ranks_path, pattern)
-    if key not in _tokenizers:
-        _tokenizers[key] = _Words(*key)
-    return _tokenizers[key]
+@cache
+def _ids(ranks_path: str, pattern: str) -> _Ids:
+    """One for each worker."""
+    return _Ids(ranks_path, pattern)
 
 
 def pieces(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, length: int = LENGTH, end: int = END, added: dict[str, int] | None = None) -> DataFrame:
@@ -114,7 +99,7 @@ def pieces(docs: DataFrame, ranks_path: str | None = None, pattern: str | None =
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def cut(batches):
-        ids_of = _with_added(_words(ranks_path, pattern), added or {})
+        ids_of = _with_added(_ids(ranks_path, pattern), added or {})
         for batch in batches:
             rows: list[list[int]] = [[], [], [], []]
             owner = []
