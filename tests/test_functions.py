@@ -167,7 +167,7 @@ def test_reassembly(spark):
     assert reassembly.joined([(1, b"abc"), (9, b"x")]) == b"abc"
     assert reassembly.joined([(0, b"a"), (0, b"b")]) == b"ab"
     assert reassembly.joined([(1, b"abc"), (4, b"def")], most=4) == b"abcd"
-    assert reassembly.joined([(1, b"a"), (4, b"d"), (3, b"c"), (2, b"b")], held=1) == b"abc"
+    assert reassembly.joined([(1, b"a"), (4, b"d"), (3, b"c"), (2, b"b")], held=1) == b"ab"
     rows = spark.createDataFrame([("f", 1, 10, bytearray(b"he")), ("f", 3, 14, bytearray(b"o")), ("f", 2, 12, bytearray(b"ll"))], "k string, seq long, tcp_seq long, payload binary")
     assert bytes(reassembly.streams(rows, ["k"]).first().stream) == b"hello"
 
