@@ -12,30 +12,61 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WARM, SAMPLES, FULL_DOMAINS = 20, 60, 2000
+#: Positive rates of a device that one task averages over; at least SAMPLES.
+BLOCK = 65_536
 THRESHOLD, COOLDOWN_S = 50, 300
 
 
-def features(flows: DataFrame) -> DataFrame:
-    """n, known (names met before), is_new, rate, mean_rate (of the last positive ones), hour_count."""
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """A left join on keys that may be null; the right side holds a key once."""
+    right = right.select(*[F.col(c).alias(f"_{c}") for c in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    return left.join(right, on, "left").drop(*[f"_{c}" for c in keys])
+
+
+def features(flows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """n, known (names met before), is_new, rate, mean_rate (of the last positive ones), hour_count.
+
+    No window spans a device's history, as one device may hold a large share of all flows. Counts run within a device's
+    clock hour and start from the totals of the hours before, which are aggregated first. Mean rates run within `block`
+    positive rates, which get the last SAMPLES of the block before as well. Null domains are never new.
+    """
     domain = F.when(F.col("sni") != "", F.col("sni")).otherwise(F.col("dns_domain"))
-    rows = flows.select("event_id", "timestamp", "src_ip", "src_mac", "bytes_up", "bytes_down", "duration_ms", domain.alias("domain"), F.hour("timestamp").alias("hour"))
+    rate = (F.col("bytes_up") + F.col("bytes_down")) / F.greatest(F.col("duration_ms") / 1000, F.lit(0.1))
+    hour = F.hour("timestamp")
+    slot = F.datediff(F.to_date("timestamp"), F.lit("1970-01-01")) * 24 + hour
+    rows = flows.select("event_id", "timestamp", "src_ip", "src_mac", "bytes_up", "bytes_down", "duration_ms", domain.alias("domain"), hour.alias("hour"), rate.alias("rate"), slot.alias("slot"))
+    positive = (F.col("rate") > 0).cast("long")
+
+    first = rows.where("domain != ''").groupBy("src_ip", "domain").agg(F.min("slot").alias("slot"))
+    slots = rows.groupBy("src_ip", "slot", "hour").agg(F.count("*").alias("flows"), F.sum(positive).alias("rates"))
+    slots = _same(slots, first.groupBy("src_ip", "slot").agg(F.count("*").alias("names")), ["src_ip", "slot"])
+    past = Window.partitionBy("src_ip").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    hours = Window.partitionBy("src_ip", "hour").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    totals = [("flows", past, "n0"), ("names", past, "known0"), ("rates", past, "positives0"), ("flows", hours, "hour0")]
+    slots = slots.select("src_ip", "slot", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(name) for c, w, name in totals])
+
     order = [F.col("timestamp"), F.col("event_id")]
-    device = Window.partitionBy("src_ip").orderBy(*order)
+    same = Window.partitionBy("src_ip", "slot", "domain").orderBy(*order)
+    rows = _same(rows.withColumn("nth", F.row_number().over(same)), first.withColumn("met", F.lit(True)), ["src_ip", "slot", "domain"])
+    rows = rows.withColumn("is_new", F.coalesce(F.col("met") & (F.col("nth") == 1), F.lit(False))).drop("met", "nth")
+    device = Window.partitionBy("src_ip", "slot").orderBy(*order)
     earlier = device.rowsBetween(Window.unboundedPreceding, -1)
-    same = Window.partitionBy("src_ip", "domain").orderBy(*order)
-    hours = Window.partitionBy("src_ip", "hour").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("n", F.row_number().over(device) - 1)
-    rows = rows.withColumn("is_new", (F.col("domain") != "") & (F.row_number().over(same) == 1))
-    rows = rows.withColumn("known", F.coalesce(F.sum(F.col("is_new").cast("long")).over(earlier), F.lit(0)))
-    rows = rows.withColumn("rate", (F.col("bytes_up") + F.col("bytes_down")) / F.greatest(F.col("duration_ms") / 1000, F.lit(0.1)))
+    count = lambda x: F.coalesce(F.sum(x).over(earlier), F.lit(0))
+    rows = rows.select("*", (F.row_number().over(device) - 1).alias("nth"), count(F.col("is_new").cast("long")).alias("names"), count(positive).alias("rates"))
+    rows = _same(rows, slots, ["src_ip", "slot"])
+    rows = rows.select("*", (F.col("n0") + F.col("nth")).alias("n"), (F.col("known0") + F.col("names")).alias("known"), (F.col("positives0") + F.col("rates")).alias("positives"), (F.col("hour0") + F.col("nth")).alias("hour_count"))
+
     # positive samples only: their ranks make the frame
-    rows = rows.withColumn("positives", F.coalesce(F.sum((F.col("rate") > 0).cast("long")).over(earlier), F.lit(0)))
-    ranked = Window.partitionBy("src_ip").orderBy("positives").rangeBetween(-SAMPLES, -1)
-    rows = rows.withColumn("mean_rate", F.avg(F.when(F.col("rate") > 0, F.col("rate"))).over(ranked))
-    return rows.withColumn("hour_count", F.count("*").over(hours))
+    own = F.floor(F.col("positives") / block)
+    late = (F.col("rate") > 0) & (F.col("positives") % block >= block - SAMPLES)
+    rows = rows.withColumn("block", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
+    ranked = Window.partitionBy("src_ip", "block").orderBy("positives").rangeBetween(-SAMPLES, -1)
+    rows = rows.withColumn("mean_rate", F.avg(F.when(F.col("rate") > 0, F.col("rate"))).over(ranked)).where(F.col("block") == own)
+    return rows.select("event_id", "timestamp", "src_ip", "src_mac", "bytes_up", "bytes_down", "duration_ms", "domain", "hour", "rate", "n", "is_new", "known", "positives", "mean_rate", "hour_count")
 
 
-def scored(flows: DataFrame) -> DataFrame:
+def scored(flows: DataFrame, block: int = BLOCK) -> DataFrame:
     n, hour = F.col("n"), F.col("hour")
     total_bytes = F.col("bytes_up") + F.col("bytes_down")
     ratio = F.col("rate") / F.col("mean_rate")
@@ -53,7 +84,7 @@ def scored(flows: DataFrame) -> DataFrame:
         .when((share < 1 / 48) & (F.col("hour_count") < 3), 8.0)
         .otherwise(0.0)
     )
-    rows = features(flows).select("*", novelty.alias("novelty"), volume.alias("volume"), timing.alias("timing"))
+    rows = features(flows, block).select("*", novelty.alias("novelty"), volume.alias("volume"), timing.alias("timing"))
     score = F.least(F.greatest(F.col("novelty") + F.col("volume") + F.col("timing"), F.lit(0.0)), F.lit(100.0)).cast("int")
     reason = F.array_join(F.filter(F.array(F.when(F.col("novelty") > 15, F.concat(F.lit("new domain: "), "domain")), F.when(F.col("volume") > 15, F.lit("unusual traffic volume")), F.when(F.col("timing") > 15, F.lit("unusual time"))), lambda x: x.isNotNull()), "; ")
     return rows.withColumn("risk_score", score).withColumn("reason", F.when(reason == "", "behaviour deviates from the baseline").otherwise(reason))

@@ -60,6 +60,27 @@ def test_lifetime_sessions(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_behaviour_of_one_hot_device(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    flows = projections.flows_from_events(events, classified=False).withColumn("src_ip", F.lit("10.0.0.1"))
+    flows = flows.withColumn("bytes_up", F.expr("if(event_id % 5 = 0, 0, bytes_up)")).withColumn("bytes_down", F.expr("if(event_id % 5 = 0, 0, bytes_down)"))
+    got = {r.event_id: r for r in anomaly.features(flows, block=64).collect()}
+    raw = sorted(flows.select("event_id", "timestamp", "sni", "dns_domain", "bytes_up", "bytes_down", "duration_ms").collect(), key=lambda r: (r.timestamp, r.event_id))
+    assert len(got) == len(raw) > 200
+    names, rates, hours = set(), [], {}
+    for n, r in enumerate(raw):
+        domain, rate = r.sni or r.dns_domain, (r.bytes_up + r.bytes_down) / max(r.duration_ms / 1000, 0.1)
+        x = got[r.event_id]
+        assert (x.n, x.known, x.is_new, x.hour_count) == (n, len(names), domain != "" and domain not in names, hours.get(r.timestamp.hour, 0))
+        last = rates[-anomaly.SAMPLES :]
+        assert x.mean_rate is None if not last else abs(x.mean_rate - sum(last) / len(last)) <= 1e-9 * x.mean_rate
+        hours[r.timestamp.hour] = hours.get(r.timestamp.hour, 0) + 1
+        if domain:
+            names.add(domain)
+        if rate > 0:
+            rates.append(rate)
+
+
 def test_cooldown(spark):
     rows = anomaly.scored(projections.flows_from_events(spark.read.parquet(f"{SF}/events.parquet"), classified=False))
     over = rows.where("risk_score >= 10").select("event_id", "timestamp", "src_ip", "reason").orderBy("timestamp", "event_id").collect()
