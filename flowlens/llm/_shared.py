@@ -52,10 +52,10 @@ def scratch(spark: SparkSession):
         forget(spark, _scopes.pop())
 
 
-def written(df: DataFrame, name: str, drop_after: list[str] | None = None, outlive: bool = False) -> DataFrame:
-    """Cuts the lineage: writes df to the shared folder and reads it back, so a lost executor costs no recomputation."""
+def written(df: DataFrame, name: str, drop_after: list[str] | None = None, outlive: bool = False, **options) -> DataFrame:
+    """Cuts the lineage: writes df to the shared folder and reads it back, so a lost executor costs no recomputation. options: the writer's."""
     path = new_path(df.sparkSession, name, outlive)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     if drop_after is not None:
         drop_after.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

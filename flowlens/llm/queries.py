@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowlens.llm import best_fit_packing, chat_format, embedding_whitening, html_extract, jaccard_join, language_id, media_archive, piece_sampling, quality_rules, url_filter, warc
+from flowlens.llm import best_fit_packing, chat_format, collocations, embedding_whitening, html_extract, jaccard_join, language_id, media_archive, piece_sampling, quality_rules, url_filter, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_media_archive": media_archive.op10_media_archive,
     "op11_embedding_whitening": embedding_whitening.op11_embedding_whitening,
+    "op12_collocations": collocations.op12_collocations,
 }
 
 ORACLE_SQL = {
     "op7_warc": warc.ORACLE,
     "op9_chat_format": chat_format.ORACLE,
+    "op12_collocations": collocations.ORACLE,
 }
