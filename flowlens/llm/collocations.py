@@ -8,7 +8,9 @@ all the parts that a cut leaves, and the longer phrases that hold a phrase, are
 
 Texts are held as blocks: local codes of a few megabytes of text of one language, and the local codes' global names. Per
 level, distinct pairs of a block are counted in the block, summed over all blocks, and the frequent ones come back to the
-block by a join on the pair. No row stands for an occurrence, so a word in every text costs a row for each block.
+block by a join on the pair. No row stands for an occurrence, so a word in every text costs a row for each block. Pairs
+that a filter of BITS bits shows to be rare aren't sent to that join; the filter's size is fixed, and it never holds back
+a frequent pair.
 
 The best phrases of a language are taken from a range-partitioned sort by the totals before each partition, so that no
 task holds a language.
@@ -24,17 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm._shared import forget, read_table, sized, small_batches, written
+from flowlens.llm._shared import forget, read_table, small_batches, written
 from flowlens.llm._words import _FOLDED, _factors, mix, slices, utf8
 
 LONGEST, LEAST, SHARE, TOP = 3, 10, 50, 2000
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
-#: Rows and bytes up to which a level's names are broadcast; beyond, both sides are shuffled.
-FEW_ROWS, FEW_BYTES = 500_000, 16 << 20
+#: Bits of the filter of frequent pairs, whatever their number.
+BITS = 1 << 27
 #: A row is a whole block: few of them to a row group.
 _ROW_GROUPS = {"parquet.block.size": 16 << 20}
 
@@ -74,6 +77,29 @@ def _texts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(_LOWER[data[at]].tobytes())).cast(pa.string())
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    """Codes (frequent ones small) by planes of bytes, compressed."""
+    width = max(1, (int(codes.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T)
+    return len(codes).to_bytes(8, "little") + bytes([width]) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), data[8]
+    planes = np.frombuffer(pa.decompress(data[9:], n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
+    codes = np.zeros((n, 4), np.uint8)
+    codes[:, :width] = planes.T
+    return codes.view("<u4").ravel()
+
+
+def _by_count(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in falling order of their counts, and each number's place in that order."""
+    order = np.argsort(-counts, kind="stable")
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order), dtype=np.uint32)
+    return order, place
+
+
 _BLOCK = "block long, lang string, words array<string>, counts array<long>, codes binary"
 
 
@@ -98,9 +124,11 @@ def _blocks_of(text: pa.Array, lang: pa.Array) -> Iterator[tuple[str, pa.Array,
             continue
         _, first, number, counts = np.unique(hashes[mine], return_index=True, return_inverse=True, return_counts=True)
         cut = np.concatenate([[False], piece[mine[1:]] != piece[mine[:-1]]])
+        order, place = _by_count(counts)
         codes = np.zeros(len(mine) + int(cut.sum()), np.uint32)
-        codes[np.arange(len(mine)) + np.cumsum(cut)] = number + 1
-        yield name, _texts(data, starts[mine[first]], ends[mine[first]]), counts, codes
+        codes[np.arange(len(mine)) + np.cumsum(cut)] = place[number] + 1
+        first = mine[first[order]]
+        yield name, _texts(data, starts[first], ends[first]), counts[order], codes
 
 
 def _one(*values) -> pa.RecordBatch:
@@ -122,7 +150,7 @@ def word_blocks(docs: DataFrame) -> DataFrame:
             text, lang = (c.chunk(0) if c.num_chunks == 1 else c.combine_chunks() for c in (table["text"], table["lang"]))
             for name, words, counts, codes in _blocks_of(text, lang):
                 whole = pa.array([0, len(words)], pa.int32())
-                yield _one(number, name, pa.ListArray.from_arrays(whole, words), pa.ListArray.from_arrays(whole, pa.array(counts.astype(np.int64))), codes.tobytes())
+                yield _one(number, name, pa.ListArray.from_arrays(whole, words), pa.ListArray.from_arrays(whole, pa.array(counts.astype(np.int64))), _packed(codes))
                 number += 1
 
         held, size = [], 0
@@ -148,59 +176,80 @@ def _pairs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, places, number
 
 
-def _read(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """The global names of the local codes of row i (code 1 first), and its codes."""
-    return np.asarray(batch.column("names")[i].values, np.int64), np.frombuffer(batch.column("codes")[i].as_buffer(), np.uint32)
+def _bit(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """The place of a pair of names in a filter."""
+    return mix(mix(a.astype(np.uint64)) + b.astype(np.uint64)) % np.uint64(bits)
+
 
+def _filter(node: DataFrame) -> Broadcast:
+    """BITS bits as 64-bit words: those of the pairs a, b of node are set."""
+    bits = BITS
+
+    def words(batches):
+        for batch in batches:
+            if len(batch):
+                places = np.unique(_bit(batch.column("a").to_numpy(), batch.column("b").to_numpy(), bits))
+                at, first = np.unique(places >> np.uint64(6), return_index=True)
+                set_ = np.bitwise_or.reduceat(np.uint64(1) << (places & np.uint64(63)), first)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(set_.view(np.int64))], ["at", "bits"])
+
+    rows = node.select("a", "b").mapInArrow(words, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(BITS // 64, np.uint64)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return node.sparkSession.sparkContext.broadcast(out)
 
-def block_pairs(blocks: DataFrame) -> DataFrame:
-    """block, lang, k (the pair's number in its block), a, b (names), n: a block's pairs, each once."""
+
+def block_pairs(blocks: DataFrame, known: Broadcast | None = None) -> DataFrame:
+    """block, k (the pair's number in its block), a, b (names), n: a block's pairs, each once; with a filter, those it knows."""
 
     def count(batches):
         for batch in batches:
             for i in range(len(batch)):
-                names, codes = _read(batch, i)
-                keys, _, number = _pairs(codes)
-                n = np.bincount(number, minlength=len(keys))
+                # code 1 is the first name's
+                names = np.asarray(batch.column("names")[i].values, np.int64)
+                keys, _, number = _pairs(_unpacked(batch.column("codes")[i].as_py()))
+                k, n = np.arange(len(keys)), np.bincount(number, minlength=len(keys))
                 a, b = names[(keys >> np.uint64(32)).astype(np.int64) - 1], names[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1]
-                for at in range(0, len(keys), 1 << 16):
-                    part = slice(at, min(at + (1 << 16), len(keys)))
-                    size = part.stop - part.start
-                    same = lambda c: batch.column(c).take(pa.array(np.full(size, i)))  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([same("block"), same("lang"), pa.array(np.arange(part.start, part.stop)), pa.array(a[part]), pa.array(b[part]), pa.array(n[part])], ["block", "lang", "k", "a", "b", "n"])
+                if known is not None:
+                    bit = _bit(a, b, 64 * len(known.value))
+                    near = (known.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+                    k, a, b, n = k[near], a[near], b[near], n[near]
+                for at in range(0, len(k), 1 << 16):
+                    part = slice(at, at + (1 << 16))
+                    block = batch.column("block").take(pa.array(np.full(len(k[part]), i)))
+                    yield pa.RecordBatch.from_arrays([block, *[pa.array(x[part]) for x in (k, a, b, n)]], ["block", "k", "a", "b", "n"])
 
-    return blocks.mapInArrow(count, "block long, lang string, k long, a long, b long, n long")
+    return blocks.mapInArrow(count, "block long, k long, a long, b long, n long")
 
 
-_NAMED = "block long, lang string, names array<long>, codes binary"
+_NAMED = "block long, names array<long>, codes binary"
 
 
 def _renamed(blocks: DataFrame, found: DataFrame, pairs: bool) -> DataFrame:
     """Blocks in which the named entries (found: block, k, id) have their names' codes and all others 0."""
-    names = found.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("k", "id"))).alias("found"))
+    # both lists are of the same rows in the same order
+    names = found.groupBy("block").agg(F.collect_list("k").alias("k"), F.collect_list("id").alias("id"))
 
     def rename(batches):
         for batch in batches:
             for i in range(len(batch)):
-                found = batch.column("found")[i].values
-                at, ids = (np.asarray(found.field(c), np.int64) for c in ("k", "id"))
-                codes = np.frombuffer(batch.column("codes")[i].as_buffer(), np.uint32)
+                at, ids = (np.asarray(batch.column(c)[i].values, np.int64) for c in ("k", "id"))
+                codes = _unpacked(batch.column("codes")[i].as_py())
                 if pairs:
                     _, places, number = _pairs(codes)
-                    own = np.zeros(int(number.max()) + 1, np.uint32)
-                    own[at] = np.arange(1, len(at) + 1)
-                    # a pair stands at the place of its left half
-                    new = np.zeros(len(codes), np.uint32)
-                    new[places] = own[number]
                 else:
-                    own = np.zeros(int(codes.max()) + 1, np.uint32)
-                    own[at + 1] = np.arange(1, len(at) + 1)
-                    new = own[codes]
-                whole = pa.array([0, len(ids)], pa.int32())
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, 1) for c in ("block", "lang")], pa.ListArray.from_arrays(whole, pa.array(ids)), pa.array([new.tobytes()])], ["block", "lang", "names", "codes"])
+                    places = np.flatnonzero(codes)
+                    number = codes[places].astype(np.int64) - 1
+                counts = np.bincount(number)
+                order, _ = _by_count(counts[at])
+                own = np.zeros(len(counts), np.uint32)
+                own[at[order]] = np.arange(1, len(at) + 1)
+                # a pair stands at the place of its left half
+                new = np.zeros(len(codes), np.uint32)
+                new[places] = own[number]
+                yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids[order])), pa.array([_packed(new)])], ["block", "names", "codes"])
 
-    joined = blocks.select("block", "lang", "codes").join(names, "block")
-    return joined.select("block", "lang", "codes", "found").mapInArrow(rename, _NAMED)
+    return blocks.select("block", "codes").join(names, "block").select("block", "codes", "k", "id").mapInArrow(rename, _NAMED)
 
 
 def _with_ids(df: DataFrame) -> DataFrame:
@@ -208,12 +257,6 @@ def _with_ids(df: DataFrame) -> DataFrame:
     return df.withColumn("id", F.monotonically_increasing_id() + 1)
 
 
-def _known(names: DataFrame, text: Column | None = None) -> DataFrame:
-    """names with a broadcast hint if their rows, and the bytes of their text, are few."""
-    size = names.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)) if text is not None else F.lit(0), F.lit(0))).first()
-    return sized(names, int(size[0]) if size[1] <= FEW_BYTES else FEW_ROWS + 1, FEW_ROWS)
-
-
 def levels(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[list[DataFrame], DataFrame]:
     """For each length from 1: id, lang, f, phrase, last (its last word), a, b (its parents' ids), firsts and lasts (frequencies
     of its first and last 1, 2, ... words, itself included); and lang, n, the words of each language."""
@@ -226,16 +269,15 @@ def levels(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple
     node = written(_with_ids(words.where(F.col("f") >= least)), "names")
     frequency = F.array("f")
     nodes = [node.select("id", "lang", "f", "phrase", F.col("phrase").alias("last"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), frequency.alias("firsts"), frequency.alias("lasts"))]
-    found = raw.select("block", "lang", F.posexplode("words").alias("k", "phrase")).join(_known(node.select("lang", "phrase", "id"), F.col("phrase")), ["lang", "phrase"])
+    found = raw.select("block", "lang", F.posexplode("words").alias("k", "phrase")).join(node.select("lang", "phrase", "id"), ["lang", "phrase"])
     blocks = _renamed(raw, found.select("block", F.col("k").cast("long").alias("k"), "id"), pairs=False)
     while True:
         before, drop_next = drop, []
         blocks = written(blocks, "blocks", drop_next, **_ROW_GROUPS)
         forget(docs.sparkSession, before)
         drop = drop_next
-        pairs = block_pairs(blocks)
         # names belong to a language, so a pair of names does
-        counted = pairs.groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        counted = block_pairs(blocks).groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         node = written(_with_ids(counted), "names")
         up = nodes[-1]
         left = up.select(F.col("id").alias("a"), "lang", F.col("phrase").alias("_phrase"), F.col("firsts").alias("_firsts"))
@@ -246,7 +288,7 @@ def levels(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple
         if len(nodes) == longest:
             forget(docs.sparkSession, drop)
             return nodes, totals
-        found = pairs.drop("n", "lang").join(_known(node.select("a", "b", "id")), ["a", "b"])
+        found = block_pairs(blocks, _filter(node)).drop("n").join(node.select("a", "b", "id"), ["a", "b"])
         blocks = _renamed(blocks, found.select("block", "k", "id"), pairs=True)
 
 
