@@ -12,7 +12,8 @@ library that is given whole texts: to remember words' ids takes more time, as mo
 the stage cut texts at the added tokens of the vocabulary's json first, as that library does by default; `pieces` takes
 their strings as ordinary text unless it is given them.
 
-Defined results: a null text is an empty one, so its only id is the end id. Equal rows are packed one by one. Of a
+Defined results: a null text is an empty one, so its only id is the end id. Any text has its ids, runs of millions of
+spaces, line feeds or letters too. Equal rows are packed one by one. Of a
 stage's or query's other columns none is used.
 """
 
@@ -51,8 +52,17 @@ def added_tokens(path: str | None = None) -> dict[str, int]:
     return {t["content"]: t["id"] for t in added}
 
 
+#: Runs of white space that are too long for the pattern's look-ahead, which keeps a state for each character.
+LONG_RUN = 10_000
+_SPACES = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_RUN},}}")
+
+
 class _Ids:
-    """A text's ids as little-endian unsigned 32-bit numbers."""
+    """A text's ids as little-endian unsigned 32-bit numbers.
+
+    The pattern takes a run of white space as one piece, but for its last character if a word follows; long runs are
+    given to the merges in just that way.
+    """
 
     def __init__(self, ranks_path: str, pattern: str):
         import tiktoken
@@ -62,7 +72,13 @@ class _Ids:
         self.encoding = tiktoken.Encoding("flowlens", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+        ids, at = [], 0
+        for run in _SPACES.finditer(text) if len(text) >= LONG_RUN else ():
+            last = run.end() if run.end() == len(text) else run.end() - 1
+            ids += self.encoding.encode_ordinary(text[at : run.start()])
+            ids += self.encoding._encode_single_piece(text[run.start() : last])
+            at = last
+        return np.array(ids + self.encoding.encode_ordinary(text[at:]), "<u4").tobytes()
 
 
 def _with_added(plain: _Ids, added: dict[str, int]):
@@ -173,7 +189,7 @@ def _pack(rows: DataFrame, parts: int, number: int, length: int, final: bool) ->
     def pack(batches):
         from pyspark import TaskContext
 
-        part = (number << 32) + TaskContext.get().partitionId()
+        part = (number << 24) + TaskContext.get().partitionId()
         table = pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=schema) for b in batches], schema)
         if not len(table):
             return
@@ -206,7 +222,8 @@ def packed(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         if not left:
             break
         parts = max(1, -(-left // PART_ROWS)) if number == 1 else max(1, min(parts - 1, -(-left // PART_ROWS)))
-        final = parts == 1 or (count is not None and left >= count)
+        # sequence ids have 13 bits for rounds, 24 for partitions and 26 for bins
+        final = parts == 1 or (count is not None and left >= count) or number == (1 << 13) - 1
         tried = written(_pack(pool, parts, number, length, final), "packed")
         done = tried.where("settled").select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("part") * (1 << 26) - F.col("bin")).alias("sequence_id"), "offset", "gap")
         out = out.unionByName(done)

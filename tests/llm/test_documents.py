@@ -313,11 +313,10 @@ def test_packing(spark, documents, odd):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     texts = ["a  b", " lead", "trail ", "x\n y", "don't  stop\t\tnow", "tab\t x\n\n  y", "  ", "é ü\u00a0 z"]
     extra = spark.createDataFrame([(5000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     docs = documents.select("doc_id", "text").union(odd.select("doc_id", "text")).union(extra)
-    out = best_fit_packing.packed(best_fit_packing.pieces(docs)).collect()
+    out = best_fit_packing.packed(best_fit_packing.pieces(docs, added=best_fit_packing.added_tokens())).collect()
     ids = collections.defaultdict(list)
     for r in docs.collect():
         ids[r.doc_id].append(np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4"))
