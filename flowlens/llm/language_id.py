@@ -5,9 +5,10 @@ letters, with a space at either end). A text's own most frequent TEXT_GRAMS n-gr
 with each profile: an n-gram counts the distance between its two ranks, one that the profile lacks the greatest
 distance. The language with the least sum is predicted; ties go to the first by name, equal counts rank by n-gram.
 
-Profiles are fitted on at most SAMPLE labelled rows of each language, those with the least hash of their doc_id; rows
-without a doc_id aren't learned from. What reaches the driver is the profiles: LANGUAGE_GRAMS rows for each language.
-More than LANGUAGES languages are an error, none is left out.
+Profiles are fitted on at most SAMPLE labelled rows of each language, those with the least hash of their doc_id and text;
+rows with the same of both count once, so neither a repeated row nor an id on many rows can crowd a language out, or make
+it vanish. What reaches the driver is the profiles: LANGUAGE_GRAMS rows for each language. More than LANGUAGES languages
+are an error, none is left out.
 
 The stage rejects what is in no known language: a score under the language's own bar, which is NEAR times the LOWEST
 quantile of what that language's sampled rows score themselves. Other languages in the same letters, and long runs of
@@ -80,18 +81,20 @@ def _ranked(grams: np.ndarray, most: int) -> np.ndarray:
 
 
 def sampled(docs: DataFrame) -> DataFrame:
-    """lang, text of at most SAMPLE labelled rows of each language, chosen by the hash of their doc_id."""
+    """lang, text of at most SAMPLE labelled rows of each language, chosen by the hash of their doc_id and text; repeated rows are one."""
     small_batches(docs.sparkSession)
-    rows = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    share = written(rows.groupBy("lang").agg(F.least(F.lit(1.0), 2.0 * SAMPLE / F.count("*")).alias("share")), "shares")
+    rows = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"), "text")
+    keys = written(rows.select("lang", "h").distinct(), "keys")
+    share = written(keys.groupBy("lang").agg(F.least(F.lit(1.0), 2.0 * SAMPLE / F.count("*")).alias("share")), "shares")
     if share.count() > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages: raise LANGUAGES, or mend the labels")
-    # twice as many by hash first, so that the ranking of a language is small wherever it is done
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    ids = rows.select("doc_id", "lang").join(F.broadcast(share), "lang").where(place < F.col("share") * (1 << 30)).select("doc_id", "lang")
-    rank = Window.partitionBy("lang").orderBy(place, "doc_id")
-    picked = written(ids.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= SAMPLE).select("doc_id", "lang").distinct(), "sample")
-    return rows.join(sized(picked, picked.count(), 100 * SAMPLE), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    # twice as many by hash first, so that the ranking of a language is small wherever it is done; keys are distinct, so no language can vanish
+    place = F.pmod(F.col("h"), F.lit(1 << 30))
+    near = keys.join(F.broadcast(share), "lang").where(place < F.col("share") * (1 << 30)).select("lang", "h")
+    rank = Window.partitionBy("lang").orderBy(place, "h")
+    picked = written(near.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= SAMPLE).select("lang", "h"), "sample")
+    found = rows.join(sized(picked, picked.count(), 100 * SAMPLE), ["lang", "h"], "left_semi")
+    return found.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
 
 
 def learned(docs: DataFrame) -> dict[str, list[int]]:
@@ -136,10 +139,13 @@ def predictor(docs: DataFrame, profiles: dict[str, list[int]]):
 def _judge(docs: DataFrame, profiles: dict[str, list[int]]):
     """A function of an Arrow column of texts to lists of languages and scores."""
     names = sorted(profiles)
-    grams = np.unique(np.concatenate([np.array(profiles[x], np.int64) for x in names])) if names else np.zeros(0, np.int64)
-    ranks = np.full((len(names), len(grams)), -1, np.int64)
-    for k, x in enumerate(names):
-        ranks[k, np.searchsorted(grams, np.array(profiles[x], np.int64))] = np.arange(len(profiles[x]))
+    # an entry for each n-gram of each language, by n-gram: grams[i] has the entries from begin[i] to begin[i + 1]
+    entries = np.concatenate([np.array(profiles[x], np.int64) for x in names]) if names else np.zeros(0, np.int64)
+    order = np.argsort(entries, kind="stable")
+    owner = np.repeat(np.arange(len(names)), [len(profiles[x]) for x in names])[order] if names else order
+    rank = np.concatenate([np.arange(len(profiles[x])) for x in names])[order] if names else order
+    grams, begin = np.unique(entries[order], return_index=True)
+    begin = np.append(begin, len(entries))
     small_batches(docs.sparkSession)
     worst = LANGUAGE_GRAMS
 
@@ -149,9 +155,12 @@ def _judge(docs: DataFrame, profiles: dict[str, list[int]]):
             for i, found in _grams(text):
                 own = _ranked(found, TEXT_GRAMS)
                 at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
-                known = grams[at] == own
-                theirs = np.where(known, ranks[:, at], -1)
-                distance = np.where(theirs >= 0, np.minimum(np.abs(theirs - np.arange(len(own))), worst), worst).sum(axis=1)
+                known = np.flatnonzero(grams[at] == own)
+                counts = begin[at[known] + 1] - begin[at[known]]
+                each = np.repeat(begin[at[known]] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum()) if len(known) else known
+                # what an n-gram that the profile has saves of the greatest distance
+                saved = worst - np.minimum(np.abs(rank[each] - np.repeat(known, counts)), worst)
+                distance = worst * len(own) - np.bincount(owner[each], saved, len(names))
                 k = int(distance.argmin())
                 lang[i], score[i] = names[k], 1 - distance[k] / (worst * len(own))
         return lang, score
