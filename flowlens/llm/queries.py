@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowlens.llm import best_fit_packing, chat_format, collocations, embedding_whitening, html_extract, jaccard_join, language_id, media_archive, piece_sampling, quality_rules, url_filter, warc
+from flowlens.llm import best_fit_packing, chat_format, collocations, embedding_whitening, hash_forest, html_extract, jaccard_join, language_id, media_archive, piece_sampling, quality_rules, url_filter, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_media_archive": media_archive.op10_media_archive,
     "op11_embedding_whitening": embedding_whitening.op11_embedding_whitening,
     "op12_collocations": collocations.op12_collocations,
+    "op13_hash_forest": hash_forest.op13_hash_forest,
 }
 
 ORACLE_SQL = {
