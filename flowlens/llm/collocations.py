@@ -35,7 +35,7 @@ from flowlens.llm._words import _FOLDED, _factors, mix, slices, utf8
 
 LONGEST, LEAST, SHARE, TOP = 3, 10, 50, 2000
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 #: Bits of the filter of frequent pairs, whatever their number.
 BITS = 1 << 27
 #: A row is a whole block: few of them to a row group.
@@ -200,19 +200,24 @@ def _filter(node: DataFrame) -> Broadcast:
 
 
 def block_pairs(blocks: DataFrame, known: Broadcast | None = None) -> DataFrame:
-    """block, k (the pair's number in its block), a, b (names), n: a block's pairs, each once; with a filter, those it knows."""
+    """block, k (the pair's number in its block), a, b (names), n: a block's pairs, each once; with a filter, those it knows and
+    that stand beside another that it knows: others are part of nothing longer."""
 
     def count(batches):
         for batch in batches:
             for i in range(len(batch)):
                 # code 1 is the first name's
                 names = np.asarray(batch.column("names")[i].values, np.int64)
-                keys, _, number = _pairs(_unpacked(batch.column("codes")[i].as_py()))
+                keys, places, number = _pairs(_unpacked(batch.column("codes")[i].as_py()))
                 k, n = np.arange(len(keys)), np.bincount(number, minlength=len(keys))
                 a, b = names[(keys >> np.uint64(32)).astype(np.int64) - 1], names[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1]
                 if known is not None:
                     bit = _bit(a, b, 64 * len(known.value))
                     near = (known.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+                    at = near[number]
+                    beside = np.flatnonzero(at[1:] & at[:-1] & (np.diff(places) == 1))
+                    near = np.zeros(len(keys), bool)
+                    near[number[beside]] = near[number[beside + 1]] = True
                     k, a, b, n = k[near], a[near], b[near], n[near]
                 for at in range(0, len(k), 1 << 16):
                     part = slice(at, at + (1 << 16))
