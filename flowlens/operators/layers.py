@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions import parsers
+from flowlens.operators import reassembly
 
 TCP, UDP = 6, 17
 # Ports of the protocols.
@@ -34,6 +35,26 @@ def fields(packets: DataFrame) -> DataFrame:
     return rows.select(*packets.columns, *[F.coalesce(c, F.lit("")).alias(name) for name, c in found.items()])
 
 
+#: What TLS hellos tell.
+HELLO_FIELDS = ("sni", "ja3", "tls_signature_hash", "ja3s", "tls_version")
+
+
+def hellos(packets: DataFrame) -> DataFrame:
+    """seq and HELLO_FIELDS of hellos in several segments, by the packet that completes them; others are read by `fields`."""
+    rows = reassembly.heads(packets).select("seq", parsers.tls_client_hello(F.col("head")).alias("_client"), parsers.tls_server_hello(F.col("head")).alias("_server"))
+    found = {"sni": F.col("_client.sni"), "ja3": F.col("_client.ja3"), "tls_signature_hash": F.col("_client.signature"), "ja3s": F.col("_server.ja3s"), "tls_version": parsers.tls_label(F.col("_server.version"))}
+    rows = rows.where("_client is not null or _server is not null")
+    # one packet may complete several records
+    return rows.select("seq", *[F.coalesce(c, F.lit("")).alias(name) for name, c in found.items()]).groupBy("seq").agg(*[F.max(name).alias(name) for name in found])
+
+
+def told(rows: DataFrame, hellos: DataFrame, fields: tuple[str, ...] = HELLO_FIELDS) -> DataFrame:
+    """rows (with seq and fields) and what hellos tell of their packets, where that isn't ''."""
+    late = hellos.select(F.col("seq"), *[F.col(f).alias(f"_{f}") for f in fields])
+    rows = rows.join(late, "seq", "left")
+    return rows.withColumns({f: F.when(F.col(f"_{f}") != "", F.col(f"_{f}")).otherwise(F.col(f)) for f in fields}).drop(*[f"_{f}" for f in fields])
+
+
 def last_told(name: str, order: Column) -> Column:
     """An aggregate: the last value that isn't ''."""
     told = F.when(F.col(name) != "", order)
