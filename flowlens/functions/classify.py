@@ -6,7 +6,7 @@ floats, and thresholds compare in that type.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.lookup import first_suffix, let, lookup
@@ -115,6 +115,15 @@ def manufacturer(sni: Column, dns: Column, mac: Column, table=None) -> Column:
     return F.coalesce(own, named)
 
 
+def with_manufacturer(rows: DataFrame, registry: DataFrame, sni: str = "sni", dns: str = "dns_domain", mac: str = "src_mac", name: str = "device_manufacturer") -> DataFrame:
+    """rows and their manufacturer by a registry (prefix, vendor) of any size, such as `dimensions.registry` reads; by names
+    where it has none. The first vendor by name counts of a prefix that stands twice."""
+    known = registry.groupBy(F.lower("prefix").alias("_prefix")).agg(F.min("vendor").alias("_vendor"))
+    found = rows.withColumn("_prefix", F.lower(F.substring(F.col(mac), 1, 8))).join(known, "_prefix", "left")
+    by_name = manufacturer(F.col(sni), F.col(dns), F.lit(""))
+    return found.withColumn(name, F.coalesce("_vendor", by_name)).select(*[c for c in rows.columns if c != name], name)
+
+
 def vendor_of_device(vendor_class: Column, mac: Column, table=None) -> Column:
     """DHCP vendor class first, then the MAC address."""
     v = F.lower(F.coalesce(vendor_class, F.lit("")))

@@ -46,6 +46,25 @@ def ip_bytes(ip: Column) -> Column:
     return F.unhex(F.lpad(F.hex(ipv4_number(ip)), 8, "0"))
 
 
+def address_bits(ip: Column) -> Column:
+    """A dotted quad as 32 binary digits, hex groups (with or without ::) as 128; null for anything else."""
+    v4 = F.lpad(F.conv(ipv4_number(ip).cast("string"), 10, 2), 32, "0")
+    groups = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
+    short = F.position(F.lit("::"), ip) > 0
+    head, tail = groups(F.substring_index(ip, "::", 1)), F.when(short, groups(F.substring_index(ip, "::", -1))).otherwise(F.array().cast("array<string>"))
+    zeros = F.array_repeat(F.lit("0"), F.when(short, F.greatest(8 - F.size(head) - F.size(tail), F.lit(0))).otherwise(0))
+    whole = F.concat(head, zeros, tail)
+    v6 = F.array_join(F.transform(whole, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), "")
+    valid = ip.contains(":") & (F.size(whole) == 8) & F.forall(whole, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$")) & (F.size(F.split(ip, "::")) <= 2)
+    return F.coalesce(v4, F.when(valid, v6))
+
+
+def network_bits(cidr: Column) -> Column:
+    """The binary digits that all addresses of a network (`10.0.0.0/8`, `2001:db8::/32`) share; null for anything else."""
+    bits, length = address_bits(F.substring_index(cidr, "/", 1)), F.get(F.split(cidr, "/"), F.lit(1)).try_cast("int")
+    return F.when((length >= 0) & (length <= F.length(bits)), F.substring(bits, F.lit(1), length))
+
+
 def mac_text(mac: Column) -> Column:
     return F.lower(F.regexp_replace(F.hex(mac), "(..)(?!$)", "$1:"))
 

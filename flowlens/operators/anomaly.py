@@ -11,19 +11,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.operators.chunks import same
+
 WARM, SAMPLES, FULL_DOMAINS = 20, 60, 2000
 #: Positive rates of a device that one task averages over; at least SAMPLES.
 BLOCK = 65_536
 THRESHOLD, COOLDOWN_S = 50, 300
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """A left join on keys that may be null; the right side holds a key once."""
-    right = right.select(*[F.col(c).alias(f"_{c}") for c in keys], *[c for c in right.columns if c not in keys])
-    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
-    return left.join(right, on, "left").drop(*[f"_{c}" for c in keys])
-
-
 def features(flows: DataFrame, block: int = BLOCK) -> DataFrame:
     """n, known (names met before), is_new, rate, mean_rate (of the last positive ones), hour_count.
 
@@ -40,21 +35,21 @@ def features(flows: DataFrame, block: int = BLOCK) -> DataFrame:
 
     first = rows.where("domain != ''").groupBy("src_ip", "domain").agg(F.min("slot").alias("slot"))
     slots = rows.groupBy("src_ip", "slot", "hour").agg(F.count("*").alias("flows"), F.sum(positive).alias("rates"))
-    slots = _same(slots, first.groupBy("src_ip", "slot").agg(F.count("*").alias("names")), ["src_ip", "slot"])
+    slots = same(slots, first.groupBy("src_ip", "slot").agg(F.count("*").alias("names")), ["src_ip", "slot"])
     past = Window.partitionBy("src_ip").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     hours = Window.partitionBy("src_ip", "hour").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     totals = [("flows", past, "n0"), ("names", past, "known0"), ("rates", past, "positives0"), ("flows", hours, "hour0")]
     slots = slots.select("src_ip", "slot", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(name) for c, w, name in totals])
 
     order = [F.col("timestamp"), F.col("event_id")]
-    same = Window.partitionBy("src_ip", "slot", "domain").orderBy(*order)
-    rows = _same(rows.withColumn("nth", F.row_number().over(same)), first.withColumn("met", F.lit(True)), ["src_ip", "slot", "domain"])
+    of_name = Window.partitionBy("src_ip", "slot", "domain").orderBy(*order)
+    rows = same(rows.withColumn("nth", F.row_number().over(of_name)), first.withColumn("met", F.lit(True)), ["src_ip", "slot", "domain"])
     rows = rows.withColumn("is_new", F.coalesce(F.col("met") & (F.col("nth") == 1), F.lit(False))).drop("met", "nth")
     device = Window.partitionBy("src_ip", "slot").orderBy(*order)
     earlier = device.rowsBetween(Window.unboundedPreceding, -1)
     count = lambda x: F.coalesce(F.sum(x).over(earlier), F.lit(0))
     rows = rows.select("*", (F.row_number().over(device) - 1).alias("nth"), count(F.col("is_new").cast("long")).alias("names"), count(positive).alias("rates"))
-    rows = _same(rows, slots, ["src_ip", "slot"])
+    rows = same(rows, slots, ["src_ip", "slot"])
     rows = rows.select("*", (F.col("n0") + F.col("nth")).alias("n"), (F.col("known0") + F.col("names")).alias("known"), (F.col("positives0") + F.col("rates")).alias("positives"), (F.col("hour0") + F.col("nth")).alias("hour_count"))
 
     # positive samples only: their ranks make the frame
@@ -66,7 +61,8 @@ def features(flows: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.select("event_id", "timestamp", "src_ip", "src_mac", "bytes_up", "bytes_down", "duration_ms", "domain", "hour", "rate", "n", "is_new", "known", "positives", "mean_rate", "hour_count")
 
 
-def scored(flows: DataFrame, block: int = BLOCK) -> DataFrame:
+def scored(flows: DataFrame, block: int = BLOCK, memory: int | None = None) -> DataFrame:
+    """features, scores and reasons. memory: how many names a device remembers (see `remembered`); all without it."""
     n, hour = F.col("n"), F.col("hour")
     total_bytes = F.col("bytes_up") + F.col("bytes_down")
     ratio = F.col("rate") / F.col("mean_rate")
@@ -84,12 +80,73 @@ def scored(flows: DataFrame, block: int = BLOCK) -> DataFrame:
         .when((share < 1 / 48) & (F.col("hour_count") < 3), 8.0)
         .otherwise(0.0)
     )
-    rows = features(flows, block).select("*", novelty.alias("novelty"), volume.alias("volume"), timing.alias("timing"))
+    found = features(flows, block)
+    if memory is not None:
+        late = remembered(flows, memory).select("event_id", F.col("is_new").alias("_new"))
+        found = found.join(late, "event_id", "left").withColumns({"is_new": F.coalesce("_new", "is_new"), "known": F.least("known", F.lit(memory))}).drop("_new")
+    rows = found.select("*", novelty.alias("novelty"), volume.alias("volume"), timing.alias("timing"))
     score = F.least(F.greatest(F.col("novelty") + F.col("volume") + F.col("timing"), F.lit(0.0)), F.lit(100.0)).cast("int")
     reason = F.array_join(F.filter(F.array(F.when(F.col("novelty") > 15, F.concat(F.lit("new domain: "), "domain")), F.when(F.col("volume") > 15, F.lit("unusual traffic volume")), F.when(F.col("timing") > 15, F.lit("unusual time"))), lambda x: x.isNotNull()), "; ")
     return rows.withColumn("risk_score", score).withColumn("reason", F.when(reason == "", "behaviour deviates from the baseline").otherwise(reason))
 
 
+def parts(n: int, is_new: bool, known: int, rate: float, mean: float | None, hour_count: int, hour: int, total_bytes: int) -> tuple[float, float, float]:
+    """novelty, volume and timing of one flow, as `scored` has them; for streams."""
+    novelty = 0.0 if not is_new else 10.0 if n < WARM else 10 + 25 * min(known / FULL_DOMAINS, 1.0)
+    if n < WARM:
+        return novelty, 0.0, 0.0
+    volume, timing = 0.0, 0.0
+    if mean is not None and mean >= 1:
+        ratio = rate / mean
+        if ratio > 5:
+            volume = min(15 + 10 * min((ratio - 5) / 5, 1.0), 25.0)
+        elif ratio < 0.1 and total_bytes > 100_000:
+            volume = 10.0
+    share = hour_count / n
+    if share < 1 / 240 and n > 100:
+        timing = 20.0 if hour < 6 or hour >= 23 else 10.0
+    elif share < 1 / 48 and hour_count < 3:
+        timing = 8.0
+    return novelty, volume, timing
+
+
+def reasons(novelty: float, volume: float, timing: float, domain: str | None) -> str:
+    found = [f"new domain: {domain}"] * (novelty > 15) + ["unusual traffic volume"] * (volume > 15) + ["unusual time"] * (timing > 15)
+    return "; ".join(found) or "behaviour deviates from the baseline"
+
+
+def remembered(flows: DataFrame, memory: int = FULL_DOMAINS) -> DataFrame:
+    """event_id, is_new of the named flows of devices with more than `memory` names, of which a device remembers so many and
+    forgets the first taken in. For all other devices a name is new when it is first met.
+
+    What is remembered depends on all that was taken in before, so these flows are taken in order, by a pass over sorted
+    rows that holds the names of one device and no more, whatever its flows.
+    """
+    domain = F.when(F.col("sni") != "", F.col("sni")).otherwise(F.col("dns_domain"))
+    rows = flows.select("event_id", "timestamp", "src_ip", domain.alias("domain")).where("domain <> '' and src_ip is not null")
+    many = rows.groupBy("src_ip").agg(F.count_distinct("domain").alias("names")).where(F.col("names") > memory).select("src_ip")
+
+    def in_order(batches):
+        import pyarrow as pa
+
+        device, numbers, taken = None, {}, 0
+        for batch in batches:
+            new = []
+            for ip, name in zip(batch.column("src_ip").to_pylist(), batch.column("domain").to_pylist(), strict=True):
+                if ip != device:
+                    device, numbers, taken = ip, {}, 0
+                new.append(name not in numbers or taken - numbers[name] >= memory)
+                if new[-1]:
+                    taken += 1
+                    numbers[name] = taken
+                    if len(numbers) > 2 * memory:
+                        numbers = {k: v for k, v in numbers.items() if taken - v < memory}
+            yield pa.RecordBatch.from_arrays([batch.column("event_id"), pa.array(new, pa.bool_())], ["event_id", "is_new"])
+
+    ordered = rows.join(many, "src_ip", "left_semi").repartition("src_ip").sortWithinPartitions("src_ip", "timestamp", "event_id")
+    return ordered.select("src_ip", "event_id", "domain").mapInArrow(in_order, "event_id long, is_new boolean")
+
+
 def cooled(pdf: pd.DataFrame) -> pd.DataFrame:
     """Keeps an alert if the last one kept came COOLDOWN_S before or earlier."""
     pdf = pdf.sort_values(["timestamp", "event_id"])

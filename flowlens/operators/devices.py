@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions import classify
 from flowlens.functions.net import is_private_wide
 from flowlens.operators.traffic import minute, named, total, volume
-from flowlens.timerange import window
+from flowlens.timerange import ago, parse_since, window
 
 #: MAC prefixes of proxies, whose traffic is not their own.
 PROXIES = ("e2:08:f4", "5a:e2:02", "ea:0c:af")
@@ -34,16 +34,10 @@ def new_destinations(flows: DataFrame, as_of: datetime, recent: str = "5m", base
 
 def first_seen(flows: DataFrame, as_of: datetime, recent: str = "5m") -> DataFrame:
     """Names of the recent window that the device never met before it, in all history."""
-    now, before = destinations(window(flows, as_of, recent)).distinct(), destinations(flows.where(F.col("timestamp") < _at(as_of, recent))).distinct()
+    now, before = destinations(window(flows, as_of, recent)).distinct(), destinations(flows.where(F.col("timestamp") < ago(as_of, parse_since(recent)))).distinct()
     return now.join(before, ["src_ip", "dest"], "left_anti")
 
 
-def _at(as_of: datetime, since: str):
-    from flowlens.timerange import ntz, parse_since
-
-    return ntz(as_of - parse_since(since))
-
-
 def baseline_size(flows: DataFrame, as_of: datetime, recent: str = "5m", baseline: str = "1d") -> DataFrame:
     """Distinct TLS names and distinct DNS names of each device, '' among them."""
     return window(flows, as_of, baseline, until=recent).groupBy("src_ip").agg((F.count_distinct("sni") + F.count_distinct("dns_domain")).alias("size"))
@@ -154,5 +148,31 @@ def alert_summary(alerts: DataFrame, as_of: datetime, since: str | None = None)
     return window(alerts, as_of, since, default="24h").agg(F.count("*").alias("total"), F.avg("risk_score").alias("avg_risk"), F.max("risk_score").alias("max_risk"), F.count_distinct("src_ip").alias("affected_devices"))
 
 
+def mac_as_of(rows: DataFrame, sightings: DataFrame, life_s: int = 3600, chunk_s: int = 300) -> DataFrame:
+    """rows (ip, at, in seconds, and more) with mac: the last that sightings (ip, at, mac) tell of the address at that time
+    or up to life_s before it, else null; of sightings at one second the greatest mac.
+
+    An as-of join without pairs: rows and sightings are one stream by address and chunk of chunk_s seconds. Within a chunk the
+    last sighting is a running value; what was last before a chunk comes from the chunks' own last sightings, which are
+    aggregated first. So a busy address is as many tasks as it has chunks.
+    """
+    chunk = F.floor(F.col("at") / chunk_s).alias("_chunk")
+    # without an address or a mac there is nothing to sight
+    seen = sightings.where("ip is not null and mac is not null and mac <> ''").groupBy("ip", "at").agg(F.max("mac").alias("mac"))
+    last = seen.groupBy("ip", chunk).agg(F.max(F.struct("at", "mac")).alias("_last"))
+    # every chunk of rows asks for the last of the chunks before it
+    chunks = last.unionByName(rows.select("ip", chunk).distinct(), allowMissingColumns=True).groupBy("ip", "_chunk").agg(F.max("_last").alias("_last"))
+    earlier = Window.partitionBy("ip").orderBy("_chunk").rangeBetween(-(life_s // chunk_s) - 1, -1)
+    chunks = chunks.select("ip", "_chunk", F.max("_last").over(earlier).alias("_carried"))
+    tagged = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"), "ip", "at", F.lit(None).cast("string").alias("mac"), chunk)
+    both = tagged.unionByName(seen.select("ip", "at", "mac", chunk), allowMissingColumns=True)
+    # sightings of a second come before its rows
+    running = Window.partitionBy("ip", "_chunk").orderBy("at", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("_own", F.last(F.when(F.col("_row").isNull(), F.struct("at", "mac")), ignorenulls=True).over(running)).where(F.col("_row").isNotNull())
+    both = both.join(chunks.where("_carried is not null"), ["ip", "_chunk"], "left")
+    found = F.coalesce("_own", "_carried")
+    return both.select("_row.*", F.when(F.col("at") - found["at"] <= life_s, found["mac"]).alias("mac"))
+
+
 def affected(alerts: DataFrame, high: int = 75) -> DataFrame:
     return alerts.agg(F.count_distinct("src_ip").alias("devices"), F.count_if(F.col("risk_score") >= high).alias("critical"))

@@ -1,34 +1,40 @@
-"""Sessions, gaps and packet flows in batch."""
+"""Sessions, gaps and packet flows in batch.
+
+No window spans a key's whole history, as one key may hold a large share of all rows: see `chunks`. Chunks are CHUNK times
+as long as what is asked of their neighbours.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from flowlens.functions import net
-from flowlens.operators.layers import last_told
+from flowlens.operators import layers
+from flowlens.operators.chunks import chunked, with_latest, with_previous, with_running
+from flowlens.sources.shared import kept
 
 IDLE_S, LIFETIME_S, GAP_NS, HEADER_BYTES = 15, 60, 10_000_000_000, 74
 FIN, RST = 1, 4
+CHUNK = 64
 
 
-def interarrival(rows: DataFrame, keys: list[str], at: str, tie: str, longest: int = GAP_NS) -> DataFrame:
+def interarrival(rows: DataFrame, keys: list[str], at: str, tie: str, longest: int = GAP_NS, chunk: int | None = None) -> DataFrame:
     """Mean gap in microseconds (at: nanoseconds) of each key and how many gaps count; longer ones are left out."""
-    gap = F.col(at) - F.lag(at).over(Window.partitionBy(*keys).orderBy(at, tie))
-    rows = rows.select(*keys, gap.alias("gap"))
-    counts = F.when(F.col("gap") < longest, F.col("gap"))
+    rows = with_previous(chunked(rows.select(*keys, at, tie), at, chunk or CHUNK * longest), keys, at, tie)
+    counts = F.when(F.col(at) - F.col("_previous") < longest, F.col(at) - F.col("_previous"))
     return rows.groupBy(*keys).agg(F.coalesce(F.avg(counts) / 1000, F.lit(0.0)).alias("iat_mean_us"), F.count(counts).alias("gaps"))
 
 
-def idle_sessions(rows: DataFrame, keys: list[str], at: str, tie: str, idle_s: int = IDLE_S) -> DataFrame:
-    """Sessions (numbered from 1) that end with a gap of more than idle_s seconds: lag and a running sum."""
-    order = Window.partitionBy(*keys).orderBy(at, tie)
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    before = F.lag(at).over(order)
-    new = F.when(before.isNull() | (micros(F.col(at)) - micros(before) > idle_s * 1_000_000), 1).otherwise(0)
-    rows = rows.withColumn("_new", new).withColumn("session", F.sum("_new").over(order))
+def idle_sessions(rows: DataFrame, keys: list[str], at: str, tie: str, idle_s: int = IDLE_S, chunk: int | None = None) -> DataFrame:
+    """Sessions (numbered from 1) that end with a gap of more than idle_s seconds: gaps and a running sum."""
+    idle = idle_s * 1_000_000
+    rows = rows.select(*keys, at, tie, F.unix_micros(F.col(at).cast("timestamp")).alias("_at"))
+    rows = with_previous(chunked(rows, "_at", chunk or CHUNK * idle), keys, "_at", tie)
+    new = F.when(F.col("_previous").isNull() | (F.col("_at") - F.col("_previous") > idle), 1).otherwise(0)
+    rows = with_running(rows, keys, "_at", tie, new, "session")
     return rows.groupBy(*keys, "session").agg(F.min(at).alias("first_ts"), F.max(at).alias("last_ts"), F.count("*").alias("rows"))
 
 
@@ -43,35 +49,99 @@ def split_sessions(times, idle, lifetime) -> list[int]:
     return out
 
 
-def with_sessions(rows: DataFrame, keys: list[str], at: str, tie: str, idle: int, lifetime: int) -> DataFrame:
-    """rows and their session number. Whether a session's age ends it depends on where the last one ended, so a run
-    without an idle gap is taken in order; runs are told apart by a window first, so that a busy key is many groups."""
-    order = Window.partitionBy(*keys).orderBy(at, tie)
-    gap = F.col(at) - F.lag(at).over(order)
-    rows = rows.withColumn("_run", F.sum(F.when(gap.isNull() | (gap > idle), 1).otherwise(0)).over(order))
-    # a run no longer than lifetime is one session: only the others are taken in order
-    run = Window.partitionBy(*keys, "_run")
-    rows = rows.withColumn("_long", F.max(at).over(run) - F.min(at).over(run) > lifetime)
-    short, rows = rows.where("not _long").drop("_long").withColumn("_part", F.lit(1).cast("long")), rows.where("_long").drop("_long")
-    schema = StructType([*rows.schema.fields, StructField("_part", LongType())])
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, tie])
-        return pdf.assign(_part=split_sessions(pdf[at].tolist(), idle, lifetime))
-
-    return short.unionByName(rows.groupBy(*keys, "_run").applyInPandas(split, schema))
+def _successors(times: np.ndarray, breaks: np.ndarray, lifetime: int) -> np.ndarray:
+    """Of each time, were it the first of a session, the index of the next session's first time; len(times): none is known."""
+    n = len(times)
+    at = np.where(breaks, np.arange(n), n)
+    next_break = np.append(np.minimum.accumulate(at[::-1])[::-1], n)[1:]
+    return np.minimum(np.searchsorted(times, times + lifetime, "right"), next_break)
 
 
-def capped_sessions(rows: DataFrame, keys: list[str], at: str, tie: str, idle: int, lifetime: int) -> DataFrame:
-    rows = with_sessions(rows, keys, at, tie, idle, lifetime)
-    return rows.groupBy(*keys, "_run", "_part").agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count("*").alias("rows")).drop("_run", "_part")
+def session_starts(rows: DataFrame, keys: list[str], at: str, idle: int, lifetime: int, chunk: int | None = None) -> DataFrame:
+    """keys, _chunk, at: the first times of sessions that end with a gap over idle, or once they are older than lifetime.
 
-
-def flows_from_packets(packets: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
+    Where a session begins depends on where the last one began, back to the last gap over idle. So that a busy key isn't taken
+    in order as a whole, its times are cut into chunks. A chunk tells where a chain of sessions leaves it that begins after a
+    gap in it, and, for each of its first times, where one leaves that enters there: the next chunk's times that can follow are
+    few. Which of these entries are met is found by pointer doubling: the entries' jumps are joined with themselves, so a run
+    without a gap over 2^k chunks takes k rounds. Then each chunk follows the chains from its gaps and from the entry met.
+    """
+    chunk = chunk or CHUNK * max(idle, lifetime)
+    if chunk < idle + lifetime:
+        raise ValueError("a chunk must be as long as idle and lifetime together")
+    times = with_previous(chunked(rows.select(*keys, at).distinct(), at, chunk), keys, at, at)
+    times = times.withColumn("_break", F.col("_previous").isNull() | (F.col(at) - F.col("_previous") > idle)).drop("_previous")
+    # a chunk also sees the times that may follow its last session
+    near = F.col(at) - F.col("_chunk") * chunk < idle + lifetime
+    seen = times.withColumn("_in", F.explode(F.when(near, F.array("_chunk", F.col("_chunk") - 1)).otherwise(F.array("_chunk"))))
+    fields = [f for f in rows.schema.fields if f.name in keys]
+    key_ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
+    names = [f.name for f in fields]
+
+    def _frame(pdf: pd.DataFrame, n: int, columns: dict[str, list]) -> pd.DataFrame:
+        """n rows of the group's keys and columns of whole numbers."""
+        out = {k: pd.Series([None if pd.isna(pdf[k].iloc[0]) else pdf[k].iloc[0]] * n, dtype=object) for k in names}
+        return pd.DataFrame(out | {c: pd.array(v, dtype="Int64") for c, v in columns.items()})
+
+    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(at)
+        t, breaks, own = pdf[at].to_numpy(np.int64), pdf["_break"].to_numpy(bool), int((pdf["_chunk"] == pdf["_in"]).sum())
+        after = _successors(t, breaks, lifetime)
+        # where a chain leaves: the index of the first start beyond the chunk
+        leaves = np.append(np.arange(len(t)), len(t))
+        for i in range(own - 1, -1, -1):
+            leaves[i] = leaves[after[i]]
+        # a gap cuts what came before it: the last one's chain is the one that leaves, and without a gap those that enter
+        found = np.flatnonzero(breaks[:own])
+        begins = [int(found[-1])] if len(found) else np.flatnonzero(t[:own] % chunk < idle + lifetime).tolist()
+        ends = leaves[begins] if begins else np.zeros(0, np.int64)
+        # a start with a gap before it is its own chunk's
+        keep = [(b, e) for b, e in zip(begins, ends, strict=True) if e < len(t) and not breaks[e]]
+        return _frame(pdf, len(keep), {"entry": [None if breaks[b] else int(t[b]) for b, _ in keep], "to": [int(t[e]) for _, e in keep]})
+
+    jumps = kept(seen.groupBy(*keys, "_in").applyInPandas(leave, key_ddl + "entry long, to long"), "jumps")
+    met = kept(jumps.where("entry is null").select(*keys, F.col("to").alias("entry")), "entries")
+    jumps = jumps.where("entry is not null")
+    alike = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
+    while not jumps.isEmpty() and not met.isEmpty():
+        further = met.alias("m").join(jumps.alias("j"), [*alike(met, jumps), met["entry"] == jumps["entry"]]).select(*[met[k] for k in keys], jumps["to"].alias("entry"))
+        other = jumps.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("entry").alias("_entry"), F.col("to").alias("_to"))
+        twice = jumps.join(other, [*[F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col("to") == F.col("_entry")]).select(*keys, "entry", F.col("_to").alias("to"))
+        met, jumps = kept(met.unionByName(further).distinct(), "entries"), kept(twice, "jumps")
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(at)
+        t, roots = pdf[at].to_numpy(np.int64), pdf["_root"].to_numpy(bool)
+        after = np.append(_successors(t, pdf["_break"].to_numpy(bool), lifetime), len(t))
+        starts = np.append(roots, False)
+        for i in range(len(t)):
+            if starts[i]:
+                starts[after[i]] = True
+        begun = t[starts[:-1]].tolist()
+        return _frame(pdf, len(begun), {"_chunk": [int(pdf["_chunk"].iloc[0])] * len(begun), at: begun})
+
+    entered = chunked(met.withColumnRenamed("entry", at), at, chunk).distinct().withColumn("_met", F.lit(True))
+    marked = times.unionByName(entered, allowMissingColumns=True).groupBy(*keys, "_chunk", at).agg(F.max("_break").alias("_break"), F.max(F.coalesce("_met", "_break")).alias("_root"))
+    return marked.groupBy(*keys, "_chunk").applyInPandas(follow, key_ddl + f"_chunk long, `{at}` long")
+
+
+def with_sessions(rows: DataFrame, keys: list[str], at: str, idle: int, lifetime: int, chunk: int | None = None) -> DataFrame:
+    """rows and _start, the first time of their session; rows of one session are those of one start."""
+    chunk = chunk or CHUNK * max(idle, lifetime)
+    starts = session_starts(rows, keys, at, idle, lifetime, chunk)
+    return with_latest(chunked(rows, at, chunk), starts, keys, at, "_start").drop("_chunk")
+
+
+def capped_sessions(rows: DataFrame, keys: list[str], at: str, idle: int, lifetime: int, chunk: int | None = None) -> DataFrame:
+    rows = with_sessions(rows, keys, at, idle, lifetime, chunk)
+    return rows.groupBy(*keys, "_start").agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count("*").alias("rows")).drop("_start")
+
+
+def flows_from_packets(packets: DataFrame, fields: tuple[str, ...] = (), hellos: DataFrame | None = None) -> DataFrame:
     """Flow rows of packets (PACKETS): sessions of each undirected five-tuple, closed by idleness, age, FIN or RST.
 
     Up is the direction of the session's first packet. fields: text columns of packets (as `layers.fields` adds them), of
-    which a flow has the last that isn't ''. Sums, histograms and gaps are built-in aggregates; only the
+    which a flow has the last that isn't ''. hellos: what `layers.hellos` finds in several segments of the packets. Sums, histograms and gaps are built-in aggregates; only the
     times and flags of a key are taken in order in Python, payloads never are.
     """
     ips = packets.withColumn("src", net.ip_text(F.col("src_ip"))).withColumn("dst", net.ip_text(F.col("dst_ip")))
@@ -80,11 +150,13 @@ def flows_from_packets(packets: DataFrame, fields: tuple[str, ...] = ()) -> Data
         (F.length("payload") + HEADER_BYTES).cast("long").alias("size"), F.coalesce(F.col("tcp_flags").bitwiseAND(FIN | RST) > 0, F.lit(False)).alias("ends"),
         F.to_json(net.flow_key(F.col("src"), F.col("src_port"), F.col("dst"), F.col("dst_port"), F.col("protocol"))).alias("key"), *fields,
     )
+    if hellos is not None:
+        rows = layers.told(rows, hellos, tuple(f for f in layers.HELLO_FIELDS if f in fields))
     # what follows a FIN or RST is a flow of its own
-    order = Window.partitionBy("key").orderBy("timestamp_ns", "seq")
-    closed = F.coalesce(F.sum(F.col("ends").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = with_sessions(rows.withColumn("closed", closed), ["key", "closed"], "timestamp_ns", "seq", IDLE_S * 10**9, LIFETIME_S * 10**9)
-    flow = ["key", "closed", "_run", "_part"]
+    chunk = CHUNK * LIFETIME_S * 10**9
+    rows = with_running(chunked(rows, "timestamp_ns", chunk), ["key"], "timestamp_ns", "seq", F.col("ends").cast("long"), "closed", to=-1).drop("_chunk")
+    rows = with_sessions(rows, ["key", "closed"], "timestamp_ns", IDLE_S * 10**9, LIFETIME_S * 10**9, chunk)
+    flow = ["key", "closed", "_start"]
     own = Window.partitionBy(*flow).orderBy("timestamp_ns", "seq")
     first = F.first(F.struct("src", "src_port")).over(own)
     rows = rows.withColumn("up", F.struct("src", "src_port") == first).withColumn("gap", F.col("timestamp_ns") - F.lag("timestamp_ns").over(own))
@@ -97,5 +169,5 @@ def flows_from_packets(packets: DataFrame, fields: tuple[str, ...] = ()) -> Data
         F.count_if(F.col("up")).alias("packets_up"), F.count_if(~F.col("up")).alias("packets_down"),
         F.coalesce(F.sum(F.when(F.col("up"), F.col("size"))), F.lit(0)).alias("bytes_up"), F.coalesce(F.sum(F.when(~F.col("up"), F.col("size"))), F.lit(0)).alias("bytes_down"),
         net.size_histogram(F.col("size")).alias("pkt_size_hist"), F.coalesce(F.avg(counted) / 1000, F.lit(0.0)).alias("pkt_iat_mean_us"),
-        *[last_told(f, F.struct("timestamp_ns", "seq")) for f in fields],
+        *[layers.last_told(f, F.struct("timestamp_ns", "seq")) for f in fields],
     ).withColumn("duration_ms", F.expr("(last_seen - first_seen) div 1000000")).drop(*flow)

@@ -10,6 +10,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.functions import net
 from flowlens.functions.net import is_private_narrow
 from flowlens.timerange import window
 
@@ -192,6 +193,27 @@ def daily_rollup(flows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("flow_count"), F.sum(volume()).alias("total_bytes"), F.count_distinct("src_ip").alias("unique_devices"))
 
 
+#: Of a sketch of 2^k registers the relative error has a standard deviation of about 1.04 / sqrt(2^k): 1.6 per cent.
+SKETCH_BITS = 12
+
+
+def rollup_part(flows: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
+    """The daily rollup of one batch, in a form that adds up: sums, and a sketch of the devices."""
+    rows = flows.groupBy(F.to_date("timestamp").alias("date"), "app_id", "app_name", "app_category")
+    return rows.agg(F.count("*").alias("flow_count"), F.sum(volume()).alias("total_bytes"), F.hll_sketch_agg("src_ip", bits).alias("devices"))
+
+
+def rollup_merged(parts: DataFrame) -> DataFrame:
+    """The parts of several batches as one; it can be stored in their place."""
+    rows = parts.groupBy("date", "app_id", "app_name", "app_category")
+    return rows.agg(F.sum("flow_count").alias("flow_count"), F.sum("total_bytes").alias("total_bytes"), F.hll_union_agg("devices").alias("devices"))
+
+
+def rollup_read(parts: DataFrame) -> DataFrame:
+    """The daily rollup of parts: exact sums, devices by the merged sketches (a device that two batches met counts once)."""
+    return rollup_merged(parts).withColumn("unique_devices", F.hll_sketch_estimate("devices")).drop("devices")
+
+
 def health(flows: DataFrame, sessions: DataFrame) -> DataFrame:
     """Row counts and the last flow's time: two one-row aggregates side by side."""
     return flows.agg(F.count("*").alias("flows"), F.max("timestamp").alias("last_flow")).crossJoin(F.broadcast(sessions.agg(F.count("*").alias("http_sessions"))))
@@ -210,9 +232,31 @@ def geo_lookup(ips: str, geo: DataFrame) -> DataFrame:
     return geo.where(F.col("ip").isin(wanted)).select("ip", "country", "city", "lat", "lon") if wanted else geo.limit(0).select("ip", "country", "city", "lat", "lon")
 
 
+def network_of(rows: DataFrame, networks: DataFrame, address: str = "ip") -> DataFrame:
+    """rows and the columns of the network (networks: cidr and more) with the longest prefix that holds their address; of
+    networks given twice one row, by the greatest of the others; null columns for addresses in none.
+
+    Intervals become equality: an address is looked up by its prefix of each length that any network has (at most 162, one
+    row that Spark broadcasts), so neither side is compared with all of the other. Addresses are looked up once each.
+    """
+    bits = net.network_bits(F.col("cidr"))
+    other = [c for c in networks.columns if c != "cidr"]
+    # IPv4 and IPv6 prefixes are told apart by a first character
+    family = lambda ip: F.when(ip.contains(":"), "6").otherwise("4")
+    known = networks.select(F.concat(family(F.col("cidr")), bits).alias("_prefix"), F.struct(*other, "cidr").alias("_network")).where("_prefix is not null")
+    known = known.groupBy("_prefix").agg(F.max("_network").alias("_network"))
+    lengths = known.agg(F.collect_set(F.length("_prefix")).alias("_lengths"))
+    found = rows.select(F.col(address).alias("_ip")).where("_ip is not null").distinct().select("_ip", F.concat(family(F.col("_ip")), net.address_bits(F.col("_ip"))).alias("_bits")).where("_bits is not null")
+    found = found.crossJoin(F.broadcast(lengths)).select("_ip", "_bits", F.explode("_lengths").alias("_length")).where(F.col("_length") <= F.length("_bits"))
+    found = found.select("_ip", F.substring("_bits", F.lit(1), F.col("_length")).alias("_prefix")).join(known, "_prefix")
+    found = found.groupBy("_ip").agg(F.max_by("_network", F.length("_prefix")).alias("_network"))
+    return rows.join(found, rows[address] == found["_ip"], "left").select(*[rows[c] for c in rows.columns], "_network.*")
+
+
 def latest_version(flows: DataFrame) -> DataFrame:
     """Of flows with one (timestamp, src_ip, first_seen) the one seen last."""
-    rank = Window.partitionBy("timestamp", "src_ip", "first_seen").orderBy(F.desc("last_seen"), F.desc("event_id"))
+    ties = [F.desc(c) for c in ("event_id",) if c in flows.columns]
+    rank = Window.partitionBy("timestamp", "src_ip", "first_seen").orderBy(F.desc("last_seen"), *ties)
     return flows.withColumn("_rank", F.row_number().over(rank)).where("_rank = 1").drop("_rank")
 
 

@@ -109,6 +109,24 @@ def server_hellos(events: DataFrame) -> DataFrame:
     return _last_cut(rows.withColumn("d", _record(F.concat(F.lit("02"), _sized(body, 3)))))
 
 
+def split_hellos(events: DataFrame) -> DataFrame:
+    """PACKETS of client hellos in one to five segments, an address for each event; segments come out of order, in odd
+    events they overlap by three bytes, in every fourth event the first is sent again; 9: the last byte is missing."""
+    rows = numbered(events).withColumn("d", _record(_hello()))
+    rows = rows.withColumn("d", F.when(F.col("nth") == 9, F.substring("d", F.lit(1), F.length("d") - 2)).otherwise(F.col("d"))).withColumn("n", _bytes_in(F.col("d")))
+    event, parts = F.col("event_id"), (1 + F.col("k") % 5).cast("int")
+    rows = rows.withColumn("parts", parts).withColumn("j", F.explode(F.sequence(F.lit(0), parts - 1)))
+    begin, end = F.expr("n * j div parts"), F.least(F.expr("n * (j + 1) div parts") + 3 * (event % 2), F.col("n"))
+    turns = F.array((F.col("j") * 2 + event) % 5)
+    turns = F.when((F.col("j") == 0) & (event % 4 == 0), F.array_append(turns, F.lit(7).cast("long"))).otherwise(turns)
+    rows = rows.select("event_id", "first_seen", begin.alias("begin"), F.unhex(F.substring("d", (2 * begin + 1).cast("int"), (2 * (end - begin)).cast("int"))).alias("payload"), F.explode(turns).alias("turn"))
+    client = F.unhex(F.concat(F.lit("0B"), *[_n(F.shiftright("event_id", 8 * i).bitwiseAND(255), 1) for i in (2, 1, 0)]))
+    return rows.select(
+        (event * 10 + F.col("turn")).alias("seq"), (F.col("first_seen") + F.col("turn") * 1_000_000).alias("timestamp_ns"), client.alias("src_ip"), F.unhex(F.lit("C6336401")).alias("dst_ip"), F.lit(1000).alias("src_port"), F.lit(443).alias("dst_port"),
+        F.lit(6).cast("short").alias("protocol"), "payload", F.unhex(F.lit("AA80A0000001")).alias("src_mac"), F.lit(65535).alias("snaplen"), F.lit(0).cast("short").alias("tcp_flags"), (1_000_000 + event * 5000 + F.col("begin")).alias("tcp_seq"),
+    )
+
+
 def mysql_greetings(events: DataFrame) -> DataFrame:
     """Greetings with a named plugin (even k) or none; 9: another protocol version."""
     rows = numbered(events)

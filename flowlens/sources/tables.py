@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlens import schema
 from flowlens.functions import classify
+from flowlens.operators.traffic import latest_version
 from flowlens.timerange import parse_since, window
 
 
@@ -27,6 +28,95 @@ def write_flows(flows: DataFrame, path: str, mode: str = "append") -> None:
     rows.hint("rebalance", "yyyymm").write.partitionBy("yyyymm").mode(mode).parquet(path)
 
 
+def _paths(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def months(spark: SparkSession, path: str) -> list[int]:
+    """The months that a table has partitions of, from its folders alone."""
+    hadoop, files = _paths(spark, path)
+    found = files.listStatus(hadoop) if files.exists(hadoop) else []
+    return sorted(int(f.getPath().getName().removeprefix("yyyymm=")) for f in found if f.getPath().getName().startswith("yyyymm="))
+
+
+def merged_batches(spark: SparkSession, path: str) -> set[str]:
+    """The batches that merge_flows has taken into a table."""
+    hadoop, files = _paths(spark, f"{path}/_merged")
+    return {f.getPath().getName() for f in files.listStatus(hadoop)} if files.exists(hadoop) else set()
+
+
+def _replace_months(spark: SparkSession, rows: DataFrame, path: str, name: str) -> None:
+    """Puts rows (with yyyymm) in the place of their months; other months' files stay as they are. rows may read the table:
+    they are written beside it first."""
+    beside = f"{path}/_staged/{name}"
+    rows.hint("rebalance", "yyyymm").write.mode("overwrite").partitionBy("yyyymm").parquet(beside)
+    spark.read.parquet(beside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("yyyymm").parquet(path)
+    hadoop, files = _paths(spark, beside)
+    files.delete(hadoop, True)
+
+
+def merge_flows(flows: DataFrame, path: str, batch: str) -> bool:
+    """Takes a batch of flows into a table: of rows with one (timestamp, src_ip, first_seen) the one seen last stays.
+
+    Only the months that the batch touches are read and replaced, each as a whole. A batch has an identity, and one that was
+    taken in is not taken in again (False). One that failed before its mark was set can be: the rows that it had brought are
+    versions that lose to themselves. Batches of one table are merged one after another, in any order.
+    """
+    spark = flows.sparkSession
+    if batch in merged_batches(spark, path):
+        return False
+    new = flows.withColumn("yyyymm", F.date_format("timestamp", "yyyyMM").cast("int"))
+    # a row for each month, whatever the batch holds
+    touched = [r.yyyymm for r in new.select("yyyymm").distinct().collect()]
+    if touched:
+        there = [m for m in months(spark, path) if m in touched]
+        if there:
+            old = spark.read.parquet(path).where(F.col("yyyymm").isin(there))
+            new = new.unionByName(old, allowMissingColumns=True)
+        _replace_months(spark, latest_version(new), path, batch)
+    hadoop, files = _paths(spark, f"{path}/_merged/{batch}")
+    files.create(hadoop, True).close()
+    return True
+
+
+def expire(spark: SparkSession, path: str, as_of: datetime, days: int = 90) -> tuple[list[int], int | None]:
+    """Deletes what is older than `days` days. Months that are past as a whole go with their folders, unread; the month of
+    the boundary alone is written anew, and only if it has rows that are too old. Returns the months deleted and that one."""
+    begin = as_of - parse_since(f"{days}d")
+    first, gone = int(begin.strftime("%Y%m")), []
+    for month in months(spark, path):
+        if month < first:
+            hadoop, files = _paths(spark, f"{path}/yyyymm={month}")
+            files.delete(hadoop, True)
+            gone.append(month)
+    if first not in months(spark, path):
+        return gone, None
+    rows = spark.read.parquet(path).where(F.col("yyyymm") == first)
+    old = F.col("timestamp") < F.lit(begin.isoformat(" ")).cast("timestamp_ntz")
+    if rows.where(old).isEmpty():
+        return gone, None
+    kept = rows.where(~old)
+    if kept.isEmpty():
+        hadoop, files = _paths(spark, f"{path}/yyyymm={first}")
+        files.delete(hadoop, True)
+    else:
+        _replace_months(spark, kept, path, f"expire-{first}")
+    return gone, first
+
+
+def append_alerts(alerts: DataFrame, path: str) -> None:
+    """Alerts without an address are left out."""
+    rows = alerts.where("coalesce(src_ip, '') <> ''").withColumn("yyyymm", F.date_format("timestamp", "yyyyMM").cast("int"))
+    rows.hint("rebalance", "yyyymm").write.partitionBy("yyyymm").mode("append").parquet(path)
+
+
+def append_sessions(records: DataFrame, path: str) -> None:
+    """Requests of the JSON source as rows of the sessions table."""
+    rows = session_records(records).where("type = 'http_request'").drop("type").withColumn("yyyymm", F.date_format("timestamp", "yyyyMM").cast("int"))
+    rows.hint("rebalance", "yyyymm").write.partitionBy("yyyymm").mode("append").parquet(path)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).option("quote", "").mode("overwrite").csv(path)
 

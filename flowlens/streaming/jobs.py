@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from flowlens import schema
 from flowlens.functions import net
-from flowlens.operators import anomaly, sessions
+from flowlens.operators import anomaly, reassembly, sessions
 from flowlens.operators.traffic import volume
+from flowlens.sources import tables
 
 _FLOW = "key string, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, src_mac string, first_seen long, last_seen long, packets_up long, packets_down long, bytes_up long, bytes_down long, pkt_size_hist array<long>, pkt_iat_mean_us double, duration_ms long"
 _STATE = "src_ip string, dst_ip string, src_port int, dst_port int, protocol string, src_mac string, first_seen long, last_seen long, packets_up long, packets_down long, bytes_up long, bytes_down long, hist array<long>, gap_ns long, gaps long"
@@ -86,6 +88,47 @@ def flows(packets: DataFrame, watermark: str = "10 seconds") -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(_flows_of, _FLOW, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+_HELD_STATE = "whole boolean, places array<long>, pieces array<binary>, times array<long>, seqs array<long>"
+
+
+def _record_of(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    whole, held = False, {}
+    if state.exists:
+        whole, *lists = state.get
+        held = {int(p): (bytes(d), int(t), int(s)) for p, d, t, s in zip(*lists, strict=True)}
+    if state.hasTimedOut:
+        state.remove()
+        return
+    found, latest = [], 0
+    for p in pd.concat(batches).sort_values(["timestamp_ns", "seq"]).itertuples():
+        latest = max(latest, p.timestamp_ns)
+        if whole:
+            continue
+        data, place = bytes(p.payload), int(p.tcp_seq)
+        if place not in held or len(held[place][0]) < len(data):
+            held[place] = data, int(p.timestamp_ns), int(p.seq)
+        held = {x: v for x, v in held.items() if p.timestamp_ns - v[1] <= reassembly.RECORD_S * 10**9}
+        pieces = {x: v[0] for x, v in held.items()}
+        for base in (x for x, d in pieces.items() if reassembly.begins_record(d)):
+            got = reassembly.record_head(pieces, base)
+            if got and len(pieces[base]) < len(got[0]):
+                found.append((int(p.seq), got[0]))
+                whole, held = True, {}
+                break
+    # nothing is held once a record is whole; the mark goes when the direction is quiet
+    state.update((whole, list(held), [v[0] for v in held.values()], [v[1] for v in held.values()], [v[2] for v in held.values()]))
+    state.setTimeoutTimestamp(max(latest // 10**6 + 1000 * reassembly.RECORD_S, state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame(found, columns=["seq", "head"])
+
+
+def heads(packets: DataFrame, watermark: str = "10 seconds") -> DataFrame:
+    """seq, head of a stream of packets (PACKETS), as `reassembly.heads`: of each direction the first record that takes
+    several segments. What a direction holds is what came in the last RECORD_S, and nothing once its record is whole."""
+    rows = packets.where("protocol = 6 and tcp_seq <> 0 and length(payload) > 0").withColumn("ts", F.expr("timestamp_micros(timestamp_ns div 1000)")).withWatermark("ts", watermark)
+    rows = rows.select("ts", "src_ip", "src_port", "dst_ip", "dst_port", "seq", "timestamp_ns", "tcp_seq", "payload")
+    return rows.groupBy(*reassembly.DIRECTION).applyInPandasWithState(_record_of, "seq long, head binary", _HELD_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def _cooled(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
@@ -115,3 +158,33 @@ def write_tables(stream: DataFrame, path: str, checkpoint: str, **trigger):
         rows.write.mode("overwrite").partitionBy("yyyymm").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+#: The tables that records of the JSON source go to, and the rows that each takes.
+BRANCHES = {"flows": tables.flow_records, "devices": tables.device_records, "sessions": tables.session_records}
+
+
+def fan_out_batch(lines: DataFrame, number: int, path: str) -> None:
+    """One micro-batch of lines (value) to the branches' tables and `quarantine`, which takes what isn't a record.
+
+    Each table has a folder for each batch, which a repeated batch writes anew: whatever failed between two tables, a replay
+    leaves every record once. `read_branch` reads a table.
+    """
+    parsed = lines.select("value", F.from_json("value", schema.UDP_JSON + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    parsed = parsed.persist()
+    try:
+        good = parsed.where("r is not null and r._corrupt is null").select("r.*").drop("_corrupt")
+        for name, branch in BRANCHES.items():
+            branch(good).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        parsed.where("trim(value) <> '' and (r is null or r._corrupt is not null)").select("value").write.mode("overwrite").parquet(f"{path}/quarantine/batch={number}")
+    finally:
+        parsed.unpersist()
+
+
+def fan_out(lines: DataFrame, path: str, checkpoint: str, **trigger):
+    """Writes a stream of JSON lines (value) to the tables of BRANCHES and the quarantine under path."""
+    return lines.writeStream.foreachBatch(lambda batch, number: fan_out_batch(batch, number, path)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_branch(spark, path: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{name}")
