@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from flowlens.functions import classify, net
 from flowlens.operators import anomaly, devices, sessions, traffic
-from flowlens.plans import messages
+from flowlens.plans import messages, stored
 from flowlens.plans.oracle import BASE, FLOWS, before, since
 from flowlens.sources import projections
-from flowlens.timerange import latest, window
+from flowlens.timerange import newest, window
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,7 +33,7 @@ def _add(name: str, build: Callable, sql: str | None = None) -> None:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         flows = projections.flows_from_events(_events(spark, sf_dir))
-        return build(flows, latest(_events(spark, sf_dir), "ts"))
+        return build(flows, newest(_events(spark, sf_dir), "ts"))
 
     QUERIES[name] = run
     if sql:
@@ -42,7 +42,7 @@ def _add(name: str, build: Callable, sql: str | None = None) -> None:
 
 def _add_events(name: str, build: Callable, sql: str | None = None) -> None:
     """build: (events, as_of) to a frame; sql: a whole statement."""
-    QUERIES[name] = lambda spark, sf_dir: build(_events(spark, sf_dir), latest(_events(spark, sf_dir), "ts"))
+    QUERIES[name] = lambda spark, sf_dir: build(_events(spark, sf_dir), newest(_events(spark, sf_dir), "ts"))
     if sql:
         ORACLE[name] = sql
 
@@ -145,13 +145,30 @@ prim AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mac ORDER BY b
 _sized = lambda d: d.select("src_ip", "mac", "bytes", "flows", F.size("apps").cast("bigint").alias("n_apps"), F.size("domains").cast("bigint").alias("n_domains"))
 _add("insights_devices", lambda f, t: _sized(devices.recent_devices(f, t, DAY)), _DEVICES + " SELECT dev.*, coalesce(n_domains, 0) AS n_domains FROM dev LEFT JOIN doms USING (src_ip)")
 _add("insights_primary_ip", lambda f, t: devices.primary_addresses(devices.recent_devices(f, t, DAY)).select("src_ip", "mac", "bytes"), _DEVICES + " SELECT src_ip, mac, bytes FROM prim")
-_add("insights_scores", lambda f, t: devices.insights(f, t, DAY, WEEK).select("src_ip", "new_count", "size", F.round("raw_score", 6).alias("raw_score"), "alert"), _DEVICES + f""",
-nw AS (SELECT src_ip, count(*) AS new_count FROM ({_DEST.format(d='DISTINCT', w=since())} EXCEPT ({_DEST.format(d='DISTINCT', w=before())})) GROUP BY src_ip),
+_SCORES = f"""nw AS (SELECT src_ip, count(*) AS new_count FROM ({_DEST.format(d='DISTINCT', w=since())} EXCEPT ({_DEST.format(d='DISTINCT', w=before())})) GROUP BY src_ip),
 sz AS (SELECT src_ip, count(DISTINCT sni) + count(DISTINCT dns_domain) AS size FROM flows WHERE {since(7)} AND {before()} GROUP BY src_ip),
 x AS (SELECT src_ip, coalesce(new_count, 0) AS new_count, coalesce(size, 0) AS size, coalesce(n_domains, 0) AS total, n_apps, flows FROM prim LEFT JOIN nw USING (src_ip) LEFT JOIN sz USING (src_ip) LEFT JOIN doms USING (src_ip)),
-y AS (SELECT *, CASE WHEN total = 0 THEN 0.0 ELSE least(100, CASE WHEN size > 0 THEN new_count / total ELSE 1.0 END * 50 + CASE WHEN n_apps > 0 THEN ln(n_apps) / ln(5) ELSE 0 END * 25 + least(flows / 300, 1.0) * 25) END AS s FROM x)
-SELECT src_ip, new_count, size, CAST(round(s, 6) AS DOUBLE) AS raw_score, s > 50 AS alert FROM y""")
-_add("insights_os_breakdown", lambda f, t: devices.insight_summary(devices.insights(f, t, DAY, WEEK)))
+y AS (SELECT *, CASE WHEN total = 0 THEN 0.0 ELSE least(100, CASE WHEN size > 0 THEN new_count / total ELSE 1.0 END * 50 + CASE WHEN n_apps > 0 THEN ln(n_apps) / ln(5) ELSE 0 END * 25 + least(flows / 300, 1.0) * 25) END AS s FROM x)"""
+_add("insights_scores", lambda f, t: devices.insights(f, t, DAY, WEEK).select("src_ip", "new_count", "size", F.round("raw_score", 6).alias("raw_score"), "alert"), f"{_DEVICES}, {_SCORES} SELECT src_ip, new_count, size, CAST(round(s, 6) AS DOUBLE) AS raw_score, s > 50 AS alert FROM y")
+_SEES = lambda *parts: "coalesce(bool_or(" + " OR ".join(f"contains(dest, '{p}')" for p in parts) + "), false)"
+_PROFILES = f"""
+, seen AS (SELECT src_ip, {_SEES("apple.com", "icloud.com", "appsto.re")} AS apple, {_SEES("miui.com", "xiaomi.net", "micloud.xiaomi", "mi.com")} AS xiaomi, {_SEES("huawei.com", "hicloud.com")} AS huawei,
+  {_SEES("wns.windows.com", "windowsupdate.com", "update.microsoft.com", "edge.microsoft.com")} AS windows, {_SEES("googleapis.com", "firebase")} AS android, {_SEES("guzzoni", "configuration.apple.com")} AS mac_only,
+  {_SEES("iphone-ld", "courier.push")} AS phone_only, {_SEES("miui.com", "micloud.xiaomi")} AS mi_model, {_SEES("sys.miui.com")} AS mi_sys, {_SEES("samsung.com")} AS samsung FROM ({_DEST.format(d='DISTINCT', w=since())}) GROUP BY src_ip),
+named AS (SELECT src_ip, bool_or(contains(app_name, 'WeChat')) AS chat, bool_or(contains(app_name, 'Apple') OR contains(app_name, 'iCloud')) AS apple_app, bool_or(contains(app_name, 'Windows')) AS windows_app
+  FROM flows WHERE {since()} AND {_PRIVATE} AND app_name NOT IN ('', 'Unknown') GROUP BY src_ip),
+marks AS (SELECT p.src_ip, p.mac, substr(p.mac, 1, 8) AS pre, {", ".join(f"coalesce({c}, false) AS {c}" for c in ("apple", "xiaomi", "huawei", "windows", "android", "mac_only", "phone_only", "mi_model", "mi_sys", "samsung", "chat", "apple_app", "windows_app"))}
+  FROM prim p LEFT JOIN seen s ON s.src_ip = p.src_ip LEFT JOIN named n ON n.src_ip = p.src_ip),
+profiles AS (SELECT src_ip, string_split(CASE WHEN pre IN ('aa:80:a0', 'de:2c:28') THEN 'Xiaomi|Android' WHEN pre IN ('5e:8f:c9', '6c:1f:f7', 'fc:25:3f', 'f0:18:98') THEN 'Apple 设备|iOS/macOS' WHEN pre = 'ea:0c:af' THEN 'NRadio 路由器|OpenWrt'
+    WHEN pre IN ('b4:6e:10', '3a:a4:28') THEN 'Vivo|Android' WHEN pre IN ('e2:08:f4', '5a:e2:02') THEN '代理客户端|Clash/Surge' WHEN pre = 'd6:cb:c4' THEN 'Apple 设备|iOS' WHEN xiaomi THEN 'Xiaomi|Android' WHEN huawei THEN 'Huawei|Android'
+    WHEN windows AND NOT apple AND NOT chat THEN 'Windows PC|Windows' WHEN apple AND mac_only THEN 'Mac|macOS' WHEN apple AND phone_only THEN 'iPhone/iPad|iOS' WHEN apple THEN 'Apple Device|iOS/macOS' WHEN android AND chat THEN 'Android 手机|Android'
+    WHEN apple_app THEN 'Apple Device|iOS/macOS' WHEN windows_app THEN 'Windows PC|Windows' WHEN chat THEN '手机|移动端' ELSE '未知设备|Unknown' END, '|') AS told,
+  CASE WHEN mi_model AND mi_sys AND mac = 'aa:80:a0:29:4e:0a' THEN 'Xiaomi 13 Pro' WHEN mi_model THEN 'Xiaomi 手机' WHEN huawei THEN 'Huawei 手机' WHEN samsung THEN 'Samsung Galaxy' ELSE '' END AS model FROM marks)"""
+_add("insights_profiles", lambda f, t: devices.insights(f, t, DAY, WEEK).select("src_ip", "kind", "os", "model"), f"{_DEVICES}{_PROFILES} SELECT src_ip, told[1] AS kind, told[2] AS os, model FROM profiles")
+_add("insights_os_breakdown", lambda f, t: devices.insight_summary(devices.insights(f, t, DAY, WEEK)), f"""{_DEVICES}{_PROFILES}, {_SCORES}
+SELECT count(*) AS devices, count(*) FILTER (told[2] = 'Android') AS android, count(*) FILTER (told[2] = 'iOS') AS ios, count(*) FILTER (told[2] = 'macOS') AS macos, count(*) FILTER (told[2] = 'Windows') AS windows,
+  count(*) FILTER (told[2] NOT IN ('Android', 'iOS', 'macOS', 'Windows')) AS other, count(*) FILTER (told[2] IN ('iOS', 'macOS', 'iOS/macOS')) AS apple_corrected, count(*) FILTER (floor(s) > 50) AS high_risk
+FROM profiles JOIN y ON y.src_ip = profiles.src_ip""")
 _add("alerts_traffic", lambda f, t: devices.traffic_alerts(f, t, DAY, most=200_000), f"""
 SELECT src_ip, count(DISTINCT sni) + count(DISTINCT dns_domain) AS dests, count(DISTINCT app_name) AS apps, {_B} AS bytes FROM flows WHERE {since()} AND src_ip LIKE '192.168.%'
 GROUP BY src_ip HAVING dests > 10 OR bytes > 200000 ORDER BY bytes DESC, src_ip LIMIT 20""")
@@ -220,7 +237,7 @@ _add_events("sessions_idle", lambda e, t: sessions.idle_sessions(e.select("user_
 SELECT user_id, s AS session, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS rows FROM (
   SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS s FROM (
     SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL OR epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 43200 THEN 1 ELSE 0 END AS new FROM events)) GROUP BY user_id, s""")
-_add_events("sessions_lifetime", lambda e, t: sessions.capped_sessions(e.select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "event_id"), ["user_id"], "at", "event_id", 12 * 3600, 48 * 3600), """
+_add_events("sessions_lifetime", lambda e, t: sessions.capped_sessions(e.select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "event_id"), ["user_id"], "at", 12 * 3600, 48 * 3600), """
 WITH RECURSIVE o AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS n FROM events),
 r AS (SELECT user_id, n, sec, sec AS begun, 1 AS part FROM o WHERE n = 1 UNION ALL
   SELECT o.user_id, o.n, o.sec, CASE WHEN o.sec - r.sec > 43200 OR o.sec - r.begun > 172800 THEN o.sec ELSE r.begun END, r.part + CASE WHEN o.sec - r.sec > 43200 OR o.sec - r.begun > 172800 THEN 1 ELSE 0 END
@@ -250,5 +267,5 @@ r AS (SELECT *, timestamp AS last, true AS keep FROM o WHERE n = 1 UNION ALL
   FROM r JOIN o ON o.src_ip = r.src_ip AND o.reason = r.reason AND o.n = r.n + 1)
 SELECT event_id, timestamp, src_ip, src_mac, risk_score, reason FROM r WHERE keep""")
 
-QUERIES |= messages.QUERIES
-ORACLE |= messages.ORACLE
+QUERIES |= messages.QUERIES | stored.QUERIES
+ORACLE |= messages.ORACLE | stored.ORACLE

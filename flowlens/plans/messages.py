@@ -133,6 +133,19 @@ SELECT CASE WHEN first_back THEN '198.51.100.1' ELSE client END AS src_ip, CASE
   CAST(floor(coalesce(avg(gap) FILTER (gap < 10000000000), 0) / 1000) AS BIGINT) AS iat_mean_us
 FROM f GROUP BY client, part, first_back""",
 )
+def _split_hellos(events: DataFrame) -> DataFrame:
+    packets = payloads.split_hellos(events)
+    flows = sessions.flows_from_packets(layers.fields(packets), ("sni", "ja3", "tls_signature_hash"), layers.hellos(packets))
+    return flows.select("src_ip", "first_seen", "packets_up", "sni", "ja3", "tls_signature_hash")
+
+
+_ADDRESS = "'11.' || (event_id // 65536 % 256) || '.' || (event_id // 256 % 256) || '.' || (event_id % 256)"
+_add(
+    "packet_flows_split_hellos",
+    _split_hellos,
+    f"{NUMBERED} {_CLIENT} SELECT {_ADDRESS} AS src_ip, first_seen + 1000000 * list_min([(j * 2 + event_id) % 5 FOR j IN range(1 + k % 5)]) AS first_seen, 1 + k % 5 + CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END AS packets_up, "
+    f"CASE WHEN nth < 9 THEN sni ELSE '' END AS sni, CASE WHEN nth < 9 THEN {_JA3} ELSE '' END AS ja3, CASE WHEN nth < 9 THEN {_SIGNATURE} ELSE '' END AS tls_signature_hash FROM t",
+)
 _add("tcp_streams", lambda e: reassembly.streams(payloads.segments(e), ["user_id"]).select("user_id", F.col("stream").cast("string").alias("stream")), "SELECT user_id, string_agg('e' || event_id || ';', '' ORDER BY event_id) AS stream FROM events GROUP BY user_id")
 
 # JSON records

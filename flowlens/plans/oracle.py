@@ -46,6 +46,9 @@ RULES = f"rules(ord, app_id, app_name, app_category, domain) AS (VALUES {_values
 SERVICES = f"services(port, app_id, app_name, app_category) AS (VALUES {_values((int(p), *r) for p, r in dimensions.ports().items())})"
 VENDORS = f"vendors(prefix, vendor) AS (VALUES {_values((p, *r) for p, r in dimensions.manufacturers().items())})"
 
+#: The manufacturer that names tell.
+BY_NAME = """CASE WHEN lower(base.sni || ' ' || base.dns_domain) LIKE '%miui%' OR lower(base.sni || ' ' || base.dns_domain) LIKE '%micloud%' THEN 'Xiaomi' WHEN lower(base.sni) = 'apple.com' OR lower(base.sni) LIKE '%.apple.com' OR lower(base.dns_domain) = 'icloud.com' OR lower(base.dns_domain) LIKE '%.icloud.com' THEN 'Apple' WHEN lower(base.sni) LIKE '%huawei%' OR lower(base.dns_domain) LIKE '%hicloud%' THEN 'Huawei' WHEN lower(base.sni || ' ' || base.dns_domain) LIKE '%windowsupdate%' OR lower(base.sni || ' ' || base.dns_domain) LIKE '%wns.windows%' THEN 'Microsoft Windows' WHEN lower(base.sni || ' ' || base.dns_domain) LIKE '%samsung%' THEN 'Samsung' ELSE '' END"""
+
 FLOWS = f"""WITH {BASE}, {RULES}, {SERVICES}, {VENDORS}, names AS (
   SELECT DISTINCT sni, dns_domain, lower(sni) AS s, lower(dns_domain) AS d FROM base
 ), matched AS (
@@ -55,12 +58,7 @@ FLOWS = f"""WITH {BASE}, {RULES}, {SERVICES}, {VENDORS}, names AS (
   SELECT base.*, CAST(coalesce(r.app_id, p.app_id, 0) AS BIGINT) AS app_id, coalesce(r.app_name, p.app_name, 'Unknown') AS app_name,
     coalesce(r.app_category, p.app_category, 'Unknown') AS app_category,
     CASE WHEN r.ord IS NOT NULL THEN 0.85 WHEN p.port IS NOT NULL THEN 0.6 ELSE 0.0 END AS confidence,
-    coalesce(v.vendor, CASE
-      WHEN lower(base.sni || ' ' || base.dns_domain) LIKE '%miui%' OR lower(base.sni || ' ' || base.dns_domain) LIKE '%micloud%' THEN 'Xiaomi'
-      WHEN lower(base.sni) = 'apple.com' OR lower(base.sni) LIKE '%.apple.com' OR lower(base.dns_domain) = 'icloud.com' OR lower(base.dns_domain) LIKE '%.icloud.com' THEN 'Apple'
-      WHEN lower(base.sni) LIKE '%huawei%' OR lower(base.dns_domain) LIKE '%hicloud%' THEN 'Huawei'
-      WHEN lower(base.sni || ' ' || base.dns_domain) LIKE '%windowsupdate%' OR lower(base.sni || ' ' || base.dns_domain) LIKE '%wns.windows%' THEN 'Microsoft Windows'
-      WHEN lower(base.sni || ' ' || base.dns_domain) LIKE '%samsung%' THEN 'Samsung' ELSE '' END) AS device_manufacturer
+    coalesce(v.vendor, {BY_NAME}) AS device_manufacturer
   FROM base LEFT JOIN matched m ON base.sni = m.sni AND base.dns_domain = m.dns_domain LEFT JOIN rules r ON r.ord = m.ord
     LEFT JOIN services p ON p.port = base.dst_port LEFT JOIN vendors v ON v.prefix = substr(base.src_mac, 1, 8)
 ), now AS (SELECT max(timestamp) AS t FROM base)

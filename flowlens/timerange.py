@@ -27,12 +27,23 @@ def ntz(when: datetime) -> Column:
     return F.lit(when.isoformat(" ")).cast("timestamp_ntz")
 
 
-def window(df: DataFrame, as_of: datetime, since: str | None, until: str | None = None, default: str = "1h", column: str = "timestamp") -> DataFrame:
+def ago(as_of: datetime | Column, delta: timedelta) -> Column:
+    """as_of - delta as a column. as_of: a time, or a column of one (see `newest`)."""
+    return as_of - F.lit(delta) if isinstance(as_of, Column) else ntz(as_of - delta)
+
+
+def window(df: DataFrame, as_of: datetime | Column, since: str | None, until: str | None = None, default: str = "1h", column: str = "timestamp") -> DataFrame:
     """Rows from as_of - since on, and before as_of - until if that is given; both bounds reach the scan."""
-    df = df.where(F.col(column) >= ntz(as_of - parse_since(since, default)))
-    return df if until is None else df.where(F.col(column) < ntz(as_of - parse_since(until)))
+    df = df.where(F.col(column) >= ago(as_of, parse_since(since, default)))
+    return df if until is None else df.where(F.col(column) < ago(as_of, parse_since(until)))
+
+
+def newest(df: DataFrame, column: str = "timestamp") -> Column:
+    """The table's last time as a column: a subquery of the plan that uses it, so that building a plan runs nothing. Column
+    statistics or one pruned column answer it."""
+    return df.agg(F.coalesce(F.max(column), F.lit("1970-01-01").cast("timestamp_ntz")).alias("newest")).scalar()
 
 
 def latest(df: DataFrame, column: str = "timestamp") -> datetime:
-    """The table's last time: the as_of of tests and reports. Parquet statistics answer it without a full scan."""
+    """The table's last time, for jobs that need it on the driver, as those that delete months do."""
     return df.agg(F.max(column)).first()[0] or datetime(1970, 1, 1)

@@ -13,6 +13,7 @@ from flowlens.operators import anomaly, sessions, traffic
 from flowlens.plans import catalog
 from flowlens.sources import projections, tables
 from flowlens.streaming import jobs
+from flowlens.timerange import latest
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -20,7 +21,8 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW events AS FROM '{SF}/events.parquet'")
+    for table in ("events", "nation", "supplier"):
+        con.execute(f"CREATE VIEW {table} AS FROM '{SF}/{table}.parquet'")
     return con
 
 
@@ -153,7 +155,7 @@ def test_tables(spark, tmp_path):
     flows = projections.flows_from_events(spark.read.parquet(f"{SF}/events.parquet"))
     path = str(tmp_path / "flows")
     tables.write_flows(flows, path)
-    as_of = catalog.latest(flows)
+    as_of = latest(flows)
     read = tables.read_flows(spark, path, as_of, "1d")
     assert read.count() == traffic.window(flows, as_of, "1d").count()
     assert "PartitionFilters: [isnotnull(yyyymm" in read._jdf.queryExecution().toString()
