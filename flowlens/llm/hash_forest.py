@@ -314,7 +314,9 @@ def nearest_classes(classes: DataFrame, neighbours: int = NEIGHBOURS, trees: int
     chances = meeting(d + 1)
     drop: list[str] = []
     parts = max(1, -(-shape.n * trees // PART_ROWS))
-    forest = written(_forest(_entries(classes, d, unit, longest, trees, depth), parts, depth), "forest", drop)
+    # written, as the sort looks at a sample first and would have all strings made twice
+    entries = written(_entries(classes, d, unit, longest, trees, depth), "strings", drop)
+    forest = written(_forest(entries, parts, depth), "forest", drop)
     places = _Places(forest.where("kind = 'ends'").select("part", "rows", "first", "last", "head", "tail", "head_tree", "tail_tree").collect(), depth)
     runs = written(_runs(forest, places, depth), "runs", drop)
     sizes = [F.sum(F.get("high", F.lit(k)) - F.get("low", F.lit(k))).alias(f"s{k}") for k in range(1, depth + 1)]

@@ -7,12 +7,19 @@ count how often it is matched and how often with the same text: a node that is m
 CONSTANT of at least MIN_PAGES pages is template; the other nodes are slots. Counts are summed before the shuffle, so
 a host that has a third of all pages is no hot key, and the induced wrapper of a host is one row of its reference.
 
+Menus vary from page to page, so the wrapper also tells them by what they are: a path of tags under which at least
+LINKED of the text of the host's pages lies in links is template, on whatever node of a page it is met.
+
 A page is extracted with its host's wrapper: nodes matched to template nodes go, slots stay as content, unless an
-element says by its tag, role or name that it is boilerplate. If the page itself declares an element to be the article,
+element says by its tag or role that it is boilerplate. If the page itself declares an element to be the article,
 only that is looked at, and template nodes go inside it as well, as long as some other text of it is a slot: where all
 of it is template, the pages are copies of one article, and it stays. Declared elements with a name of boilerplate (an
 article that is a comment) count only where there are no others. Without any, the slots of the body are the article.
 
+A class or id name counts as a whole: all its parts must be names of boilerplate or words of place and form (`ad-slot`, not
+`ad-hoc`). Outside declared articles elements of such names go. Inside them only reader comments do, and those that are
+short or mostly links. An element inside a line that goes doesn't end its block.
+
 Within a block, character references are decoded and white space becomes single spaces; blocks are joined by two
 line feeds. Defined results: a null html and one without content give an empty text; a null url, or one without a
 host, belongs to the host ''. Unclosed and stray tags are mended as browsers do in the usual cases (open paragraphs
@@ -23,6 +30,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +41,10 @@ from flowlens.llm._shared import read_table, sized, small_batches, written
 
 #: Share of a host's pages, and the least number of them, on which an aligned node's text must be the same.
 CONSTANT, MIN_PAGES = 0.8, 5
+#: Share of a path's text that lies in links where the path is a menu's; and of an element's within an article.
+LINKED = 0.8
+#: Characters of an element within an article that its name alone can tell to be boilerplate.
+SHORT = 200
 #: Hosts whose wrappers are broadcast to the pages; more are joined by a shuffle, which splits hot hosts.
 BROADCAST_HOSTS = 2_000
 #: Cells of an alignment's table that are held at once (8 bytes each), and matchings of shapes that are remembered.
@@ -46,6 +58,10 @@ GONE_TAGS = frozenset("head nav footer aside form script style noscript iframe t
 GONE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words of class and id names that mark boilerplate.
 GONE_NAMES = frozenset("ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar aside header masthead footer cookie cookies consent notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus respond replies reply discussion pagination pager toolbar widget skip copyright disclaimer".split())
+#: Words that say where such an element is or what form it has, and not what it is about.
+PLACE_NAMES = frozenset("a area bar bottom box block bottom btn button body button buttons card center code col column container content copy div element embed end fixed float frame global grid group head header holder home icon icons id image img inline inner item items label large layout left line link links list logo main media mini mobile module names outer page panel part post posts pre primary region right row secondary section side site size slot small sticky strip style sub tab tag text thread title top unit user view web wide wrap wrapper zone x s".split())
+#: Names of what readers write.
+READER_NAMES = frozenset("comment comments disqus respond replies reply discussion".split())
 #: A start tag of the key ends an open element of the values, up to the nearest of the stops.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th"), "option": ("option",)}
 STOPS = frozenset("ul ol dl table article section main div body".split())
@@ -53,35 +69,51 @@ STOPS = frozenset("ul ol dl table article section main div body".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>\s+|[/=]|[^\s=>/]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)?)?)*+)>?", re.S)
 #: A quote counts only where a value begins, as in browsers: title=it's is a whole value.
 _ATTRIBUTE = re.compile(r"""([^\s=>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 #: Of these, words that inside a declared article name its own parts as often: its head, its picture, what it relates to.
 SOFT_NAMES = frozenset("header masthead banner related recommended".split())
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """A block element, or one that goes with all it holds. parts: texts and child nodes in page order."""
+    """A block element, or one that goes with all it holds. parts: texts and child nodes in page order. size: characters of its
+    and its children's text, linked: those in links."""
 
-    __slots__ = ("children", "gone", "main", "named", "parts", "soft", "tag", "text")
+    __slots__ = ("children", "gone", "linked", "main", "named", "own_linked", "parts", "size", "soft", "tag", "text", "weak")
 
-    def __init__(self, tag: str, gone: bool = False, main: bool = False, named: bool = False, soft: bool = False):
-        self.tag, self.gone, self.main, self.named, self.soft, self.parts = tag, gone, main, named, soft, []
+    def __init__(self, tag: str, gone: bool = False, main: bool = False, named: bool = False, soft: bool = False, weak: bool = False):
+        self.tag, self.gone, self.main, self.named, self.soft, self.weak, self.parts = tag, gone, main, named, soft, weak, []
         self.children: list[Node] = []
         self.text = ""
+        self.size = self.linked = self.own_linked = 0
+
 
+def _names(value: str) -> set[str]:
+    """The names of boilerplate that a class or id attribute's names consist of."""
+    found: set[str] = set()
+    for name in value.split():
+        words = {w.lower() for w in _WORD.findall(name)}
+        gone = words & GONE_NAMES
+        if gone and words <= GONE_NAMES | PLACE_NAMES:
+            found |= gone
+    return found
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
+
+def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool, bool, bool]:
     """(boilerplate, declared to be the article, declared so with a name of boilerplate, boilerplate only outside a
-    declared article) by tag and attributes."""
-    gone, main, named, soft = tag in GONE_TAGS, tag in ("article", "main"), False, False
+    declared article, boilerplate inside one too if it is short or links) by tag and attributes."""
+    gone, main, named, soft, weak = tag in GONE_TAGS, tag in ("article", "main"), False, False, False
     for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            words = GONE_NAMES.intersection(w.lower() for w in _WORD.findall(value))
+            words = _names(value)
             if tag in ("article", "main"):
-                named |= bool(words)
+                # a doubt is enough, as others are only preferred
+                named |= not GONE_NAMES.isdisjoint(w.lower() for w in _WORD.findall(value))
             elif words and tag not in ("body", "html"):
-                gone |= not words <= SOFT_NAMES
+                # within a line there is nothing long
+                gone |= bool(words & READER_NAMES) or (tag not in BLOCKS and not words <= SOFT_NAMES)
+                weak |= not words <= SOFT_NAMES
                 soft = True
         elif name == "role":
             gone |= value.lower() in GONE_ROLES
@@ -92,17 +124,21 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
             gone |= value.lower() == "true"
         elif name == "style":
             gone |= "display:none" in value.replace(" ", "").lower()
-    return gone, main and not gone, named and not gone, soft and not gone
+    return gone, main and not gone, named and not gone, soft and not gone, weak and not gone
 
 
 def tree(page: str) -> Node:
     """The page's blocks. Inline elements vanish into the text of their block."""
     root = Node("html")
     stack, at = [root], 0
+    # how deep the open link is, 0: none; the open elements within a line that are nodes, and how often their tag is open in them
+    link, lines, within = 0, 0, {}
 
     def words(text: str) -> None:
         if text:
             stack[-1].parts.append(text)
+            if 0 < link <= len(stack):
+                stack[-1].own_linked += len("".join(text.split()))
 
     def end(tags: tuple, stops: frozenset) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -122,6 +158,17 @@ def tree(page: str) -> Node:
         if not token[2]:
             continue
         tag = token[2].lower()
+        if tag == "a":
+            link = 0 if token[1] else len(stack)
+        if lines and tag not in BLOCKS and tag not in GONE_TAGS:
+            lines = sum(x.tag not in BLOCKS and x.tag not in GONE_TAGS for x in stack[1:])
+            at_line = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+            if at_line:
+                key = id(stack[at_line])
+                within[key] = within.get(key, 0) + (-1 if token[1] else 1)
+                if within[key] < 0:
+                    del stack[at_line:]
+                    continue
         if token[1]:
             if tag in BLOCKS or tag in GONE_TAGS:
                 if any(x.tag == tag for x in stack[1:]):
@@ -132,7 +179,7 @@ def tree(page: str) -> Node:
         if tag in VOID:
             words("\n" if tag in ("br", "hr", "wbr") and tag != "wbr" else "")
             continue
-        gone, main, named, soft = _marks(tag, token[3])
+        gone, main, named, soft, weak = _marks(tag, token[3])
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
             at = close.end() if close else len(page)
@@ -146,11 +193,12 @@ def tree(page: str) -> Node:
                 end(ENDS[tag], STOPS - frozenset(ENDS[tag]))
             if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 end(("h1", "h2", "h3", "h4", "h5", "h6"), STOPS)
-            node = Node(tag, gone, main, named, soft)
+            node = Node(tag, gone, main, named, soft, weak)
             stack[-1].parts.append(node)
             stack[-1].children.append(node)
             if not token[3].rstrip().endswith("/") or tag in BLOCKS:
                 stack.append(node)
+                lines += tag not in BLOCKS and tag not in GONE_TAGS
     _settle(root)
     return root
 
@@ -161,14 +209,18 @@ def clean(text: str) -> str:
 
 def _settle(root: Node) -> None:
     """Joins the runs of text between child nodes to blocks; text is all of a node's own."""
-    todo = [root]
+    order, todo = [], [root]
     while todo:
         node = todo.pop()
+        order.append(node)
         parts, run = [], []
         for part in [*node.parts, None]:
             if isinstance(part, str):
                 run.append(part)
                 continue
+            if part is not None and part.gone and part.tag not in BLOCKS:
+                # it goes, and the line goes on
+                continue
             if run and (text := clean("".join(run))):
                 parts.append(text)
             run = []
@@ -177,6 +229,9 @@ def _settle(root: Node) -> None:
         node.parts = parts
         node.text = "\n".join(p for p in parts if isinstance(p, str))
         todo += node.children
+    for node in reversed(order):
+        node.size = len("".join(node.text.split())) + sum(c.size for c in node.children)
+        node.linked = node.own_linked + sum(c.linked for c in node.children)
 
 
 class _Classes:
@@ -373,11 +428,26 @@ def _declared(root: Node) -> list[Node]:
     return found or doubted
 
 
-def extract(root: Node, template: set[int]) -> str:
-    """template: ids of nodes whose own text is the host's, not the page's."""
+def _paths(root: Node):
+    """(node, hash of the tags from the root to it) of all nodes that aren't within boilerplate."""
+    todo = [(root, zlib.crc32(root.tag.encode()))]
+    while todo:
+        node, path = todo.pop()
+        if node.gone:
+            continue
+        yield node, path
+        todo += [(c, zlib.crc32(c.tag.encode(), path)) for c in node.children]
+
+
+def extract(root: Node, template: set[int], menus: set[int] = frozenset()) -> str:
+    """template: ids of nodes whose own text is the host's, not the page's. menus: paths of menus, which go outside declared
+    articles."""
     declared = _declared(root)
     blocks: list[str] = []
     plain = any(not x.named for x in declared)
+    if menus and not declared:
+        template = template | {id(x) for x, path in _paths(root) if path in menus}
+    small = lambda x: x.size < SHORT or x.linked >= LINKED * x.size
     for top in declared or [root]:
         own: list[str] = []
         whole: list[str] = []
@@ -388,7 +458,7 @@ def extract(root: Node, template: set[int]) -> str:
                 whole.append(x)
                 if slot:
                     own.append(x)
-            elif not (x.gone or (x.named and plain) or ((x.soft or x.tag == "header") and not declared)):
+            elif not (x.gone or (x.named and plain) or ((x.soft or x.tag == "header") and not declared) or (x.weak and x is not top and small(x))):
                 todo += [(p, id(x) not in template) for p in reversed(x.parts)]
         # a declared article that is template throughout is a copy of the host's other articles
         blocks += own or (whole if declared else [])
@@ -400,7 +470,7 @@ def host_of(url) -> F.Column:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, reference (html) and template (places of its template nodes) of hosts with MIN_PAGES pages or more.
+    """host, reference (html), template (places of its template nodes) and menus (paths) of hosts with MIN_PAGES pages or more.
 
     pages: host, html. Hosts with fewer pages have no wrapper: nothing on them is known to be constant.
     """
@@ -424,17 +494,33 @@ def wrappers(pages: DataFrame) -> DataFrame:
                     root = tree(reference)
                     same[host] = root, _numbered(root)
                 root, places = same[host]
-                for x, y in align(root, tree(page)):
+                own = tree(page)
+                for x, y in align(root, own):
                     if x.text:
-                        s = sums.setdefault((host, places[id(x)]), [0, 0])
+                        s = sums.setdefault((host, places[id(x)]), [0, 0, 0])
                         s[0] += 1
                         s[1] += x.text == y.text
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int64()), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.int64())], ["host", "place", "matched", "equal"])
-
-    counts = joined.mapInArrow(count, "host string, place long, matched long, equal long").groupBy("host", "place").agg(F.sum("equal").alias("equal"))
-    constant = counts.join(picked.select("host", "pages"), "host").where(F.col("equal") >= CONSTANT * F.col("pages"))
+                paths: dict[int, list[int]] = {}
+                for x, path in _paths(own):
+                    if x.text:
+                        s = paths.setdefault(path, [0, 0, 1])
+                        s[0] += len("".join(x.text.split()))
+                        s[1] += x.own_linked
+                for path, found in paths.items():
+                    s = sums.setdefault((host, -1 - path), [0, 0, 0])
+                    for k in range(3):
+                        s[k] += found[k]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int64()), *[pa.array([v[k] for v in sums.values()], pa.int64()) for k in range(3)]], ["host", "place", "matched", "equal", "pages"])
+
+    # places of the reference are 0 and more; a path is -1 - its hash, with characters and those in links, and its pages
+    counts = written(joined.mapInArrow(count, "host string, place long, matched long, equal long, pages long").groupBy("host", "place").agg(*[F.sum(c).alias(c) for c in ("matched", "equal", "pages")]), "counts")
+    constant = counts.where("place >= 0").drop("pages").join(picked.select("host", "pages"), "host").where(F.col("equal") >= CONSTANT * F.col("pages"))
     constant = constant.groupBy("host").agg(F.sort_array(F.collect_list("place")).alias("template"))  # nodes of one page
-    return written(picked.join(constant, "host").select("host", "reference", "template"), "wrappers")
+    bound = counts.where((F.col("place") < 0) & (F.col("pages") >= MIN_PAGES) & (F.col("equal") >= LINKED * F.col("matched")))
+    menus = bound.groupBy("host").agg(F.sort_array(F.collect_list(-1 - F.col("place"))).alias("menus"))
+    none = F.array().cast("array<long>")
+    rows = picked.join(constant, "host", "left").join(menus, "host", "left").where("template is not null or menus is not null")
+    return written(rows.select("host", "reference", F.coalesce("template", none).alias("template"), F.coalesce("menus", none).alias("menus")), "wrappers")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -444,9 +530,9 @@ def extracted(pages: DataFrame) -> DataFrame:
     rows = rows.join(sized(found.withColumnRenamed("host", "h"), found.count(), BROADCAST_HOSTS), F.col("host") == F.col("h"), "left")
 
     @F.arrow_udf("string")
-    def main_text(html: pa.Array, host: pa.Array, reference: pa.Array, template: pa.Array) -> pa.Array:
+    def main_text(html: pa.Array, host: pa.Array, reference: pa.Array, template: pa.Array, menus: pa.Array) -> pa.Array:
         out, known = [], {}
-        for page, name, other, places in zip(html.to_pylist(), host.to_pylist(), reference, template.to_pylist(), strict=True):
+        for page, name, other, places, paths in zip(html.to_pylist(), host.to_pylist(), reference, template.to_pylist(), menus.to_pylist(), strict=True):
             root, gone = tree(page), set()
             if places:
                 if name not in known:
@@ -455,10 +541,10 @@ def extracted(pages: DataFrame) -> DataFrame:
                     known[name] = reference_root, {k for k, v in numbers.items() if v in set(places)}
                 reference_root, constant = known[name]
                 gone = {id(y) for x, y in align(reference_root, root) if id(x) in constant and x.text == y.text}
-            out.append(extract(root, gone))
+            out.append(extract(root, gone, set(paths or ())))
         return pa.array(out, pa.string())
 
-    text = rows.select("page_id", "url", main_text("html", "host", "reference", "template").alias("text"))
+    text = rows.select("page_id", "url", main_text("html", "host", "reference", "template", "menus").alias("text"))
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
