@@ -124,22 +124,29 @@ def test_quality_stats(spark, documents, odd):
         assert r._failed == (r._stats.n_words < 50 or 100 * r._stats.n_repeat_words > 50 * r._stats.n_words)
 
 
+def credited(cov):
+    """At least the variance of FEATURES in every direction."""
+    unit = np.outer(quality_rules._LEAST, quality_rules._LEAST)
+    values, vectors = np.linalg.eigh(cov / unit)
+    return sum(max(w, 1.0) * np.outer(v, v) for w, v in zip(values, vectors.T, strict=True)) * unit
+
+
 def robust(x):
     """The estimate of `fit` in plain numpy: three starts, concentration to the end, reweighting."""
     q = quality_rules
     n, p = x.shape
     middle = np.median(x, axis=0)
-    sd = np.sqrt((1.4826 * np.median(abs(x - middle), axis=0)) ** 2 + np.diag(q._FLOOR))
+    sd = np.maximum(1.4826 * np.median(abs(x - middle), axis=0), q._LEAST)
     z = (x - middle) / sd
     t, u = np.tanh(z), z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
     squared = lambda m, s: np.maximum(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m), 0)
     best = None
-    for start in (np.diag(sd**2), np.cov(t.T, bias=True) / 0.394 * np.outer(sd, sd) + q._FLOOR, p * (u.T @ u / n) * np.outer(sd, sd) + q._FLOOR):
+    for start in (np.diag(sd**2), credited(np.cov(t.T, bias=True) / 0.394 * np.outer(sd, sd)), credited(p * (u.T @ u / n) * np.outer(sd, sd))):
         mean, cov, last = middle, start, np.inf
         while True:
             bins = np.floor(q.BINS * np.log1p(squared(mean, cov)))
             kept = x[bins <= np.sort(bins)[(n + 6) // 2 - 1]]
-            mean, cov = kept.mean(axis=0), q.HALF * np.cov(kept.T, bias=True) + q._FLOOR
+            mean, cov = kept.mean(axis=0), credited(q.HALF * np.cov(kept.T, bias=True))
             now = np.linalg.slogdet(cov)[1]
             if best is None or now < best[0]:
                 best = now, mean, cov
@@ -147,7 +154,7 @@ def robust(x):
                 break
             last = now
     kept = x[squared(*best[1:]) <= q.WEIGHED]
-    return kept.mean(axis=0), q.MOST * np.cov(kept.T, bias=True) + q._FLOOR
+    return kept.mean(axis=0), credited(q.MOST * np.cov(kept.T, bias=True))
 
 
 def test_quality_verdicts(spark):
