@@ -2,16 +2,17 @@
 
 Each device's flows are taken in order of (timestamp, event_id). With n flows before: a new name scores 10 while n is
 under WARM, then up to 35; a rate far over the mean of the last SAMPLES positive ones up to 25; a flow at an hour in
-which the device is rarely seen up to 20. `alerts` needs the order of emitted alerts and is sequential for each key.
+which the device is rarely seen up to 20. `alerts` keeps one alert of a kind in COOLDOWN_S seconds.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.operators.chunks import same
+from flowlens.operators.sessions import session_starts
+from flowlens.sources.shared import kept
 
 WARM, SAMPLES, FULL_DOMAINS = 20, 60, 2000
 #: Positive rates of a device that one task averages over; at least SAMPLES.
@@ -147,18 +148,13 @@ def remembered(flows: DataFrame, memory: int = FULL_DOMAINS) -> DataFrame:
     return ordered.select("src_ip", "event_id", "domain").mapInArrow(in_order, "event_id long, is_new boolean")
 
 
-def cooled(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Keeps an alert if the last one kept came COOLDOWN_S before or earlier."""
-    pdf = pdf.sort_values(["timestamp", "event_id"])
-    keep, last = [], None
-    for when in pdf["timestamp"]:
-        keep.append(last is None or (when - last).total_seconds() >= COOLDOWN_S)
-        if keep[-1]:
-            last = when
-    return pdf[keep]
-
-
 def alerts(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """rows: a frame of `scored`. Only rows over the threshold reach Python, by device and reason."""
-    found = rows.where(F.col("risk_score") >= threshold).select("event_id", "timestamp", "src_ip", "src_mac", "risk_score", "reason")
-    return found.groupBy("src_ip", "reason").applyInPandas(cooled, found.schema)
+    """Of the rows over the threshold (rows: a frame of `scored`) those that come COOLDOWN_S or more after the last one kept of
+    their device and reason. What is kept begins a session of that length, so `session_starts` finds it by chunks of time."""
+    found = rows.where(F.col("risk_score") >= threshold).select("event_id", "timestamp", "src_ip", "src_mac", "risk_score", "reason", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("_at"))
+    found, keys = kept(found, "alerts"), ["src_ip", "reason"]
+    starts = session_starts(found, keys, "_at", COOLDOWN_S * 10**6 - 1, COOLDOWN_S * 10**6 - 1)
+    # of alerts at one time the first
+    first = found.groupBy(*keys, "_at").agg(F.min_by(F.struct("event_id", "timestamp", "src_mac", "risk_score"), "event_id").alias("_row"))
+    told = same(first, starts.select(*keys, "_at", F.lit(True).alias("_kept")), [*keys, "_at"]).where("_kept")
+    return told.select("_row.event_id", "_row.timestamp", "src_ip", "_row.src_mac", "_row.risk_score", "reason")
