@@ -138,7 +138,7 @@ def tree(page: str) -> Node:
         if text:
             stack[-1].parts.append(text)
             if 0 < link <= len(stack):
-                stack[-1].own_linked += len("".join(text.split()))
+                stack[-1].own_linked += len(text)
 
     def end(tags: tuple, stops: frozenset) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -230,8 +230,10 @@ def _settle(root: Node) -> None:
         node.text = "\n".join(p for p in parts if isinstance(p, str))
         todo += node.children
     for node in reversed(order):
-        node.size = len("".join(node.text.split())) + sum(c.size for c in node.children)
-        node.linked = node.own_linked + sum(c.linked for c in node.children)
+        node.size, node.linked = len(node.text), node.own_linked
+        for child in node.children:
+            node.size += child.size
+            node.linked += child.linked
 
 
 class _Classes:
@@ -504,7 +506,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 for x, path in _paths(own):
                     if x.text:
                         s = paths.setdefault(path, [0, 0, 1])
-                        s[0] += len("".join(x.text.split()))
+                        s[0] += len(x.text)
                         s[1] += x.own_linked
                 for path, found in paths.items():
                     s = sums.setdefault((host, -1 - path), [0, 0, 0])

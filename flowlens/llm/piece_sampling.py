@@ -3,8 +3,9 @@
 A text's lattice holds every vocabulary piece at every place where its characters stand. A segmentation's weight is
 the product of its pieces' weights (rank + RANK) ** -THETA, the piece's rank being its place among the merges. One
 pass forward sums the weights of all segmentations of each prefix; a pass backward draws the last piece, the one
-before, and so on, each in proportion to the weight of all that it completes, so that segmentations come with exactly
-their own probability. No piece holds a space after another character (the vocabulary is checked for that), so words, with
+before, and so on, each in proportion to the weight of all that it completes, so that segmentations come with their own
+probability, to the precision of a draw: it has 24 bits and chances are 32-bit floats, so that a piece with a chance under
+2^-24 at its place isn't drawn. No piece holds a space after another character (the vocabulary is checked for that), so words, with
 the whole run of spaces before them, are drawn one by one.
 
 The draw at a place of a row is a hash of the row's key, the place and SEED: the same row always gets the same ids,

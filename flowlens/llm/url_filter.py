@@ -102,7 +102,7 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     weights, intercept = trained(pages.sparkSession)
     table = F.array(*[F.lit(round(w, 9)) for w in weights])
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    # the longest path first, then the longest host; dots keep example.org from fitting badexample.org
+    # the longest rule, host and path together, first; dots keep example.org from fitting badexample.org
     fits = [(F.concat(F.lit("."), F.col("host")).endswith("." + h) & F.col("path").startswith("/" + p), v, f"{h}/{p}") for v, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r))]
     rule = F.coalesce(*[F.when(fit, F.struct(F.lit(name).alias("rule"), F.lit(v).alias("verdict"))) for fit, v, name in fits])
     rows = rows.select("*", rule.alias("r"), features(F.col("host"), F.col("path")).alias("f"), table.alias("w"))
