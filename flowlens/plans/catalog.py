@@ -185,8 +185,15 @@ _add_events("health", lambda e, t: traffic.health(projections.flows_from_events(
 _add("geo_points", lambda f, t: traffic.located(f, projections.geo(f.sparkSession), t, WEEK), f"""
 , geo AS (SELECT '198.51.100.' || i AS ip, 'Country ' || (i % 5) AS country, 'City ' || (i % 20) AS city, CAST(i % 20 - 10 AS DOUBLE) AS lat, CAST(i % 20 * 2 AS DOUBLE) AS lon FROM range(100) r(i) WHERE i % 10 <> 0)
 SELECT lat, lon, country, city, count(*) AS flows, {_B} AS bytes FROM flows JOIN geo ON dst_ip = ip WHERE {since(7)} GROUP BY lat, lon, country, city""")
-QUERIES["geo_lookup"] = lambda spark, sf_dir: traffic.geo_lookup(" 198.51.100.1, ,198.51.100.10,198.51.100.7", projections.geo(spark))
-ORACLE["geo_lookup"] = "SELECT '198.51.100.' || i AS ip, 'Country ' || (i % 5) AS country, 'City ' || (i % 20) AS city, CAST(i % 20 - 10 AS DOUBLE) AS lat, CAST(i % 20 * 2 AS DOUBLE) AS lon FROM (VALUES (1), (7)) v(i)"
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A location for each supplier's address."""
+    suppliers, nations = spark.read.parquet(f"{sf_dir}/supplier.parquet"), spark.read.parquet(f"{sf_dir}/nation.parquet")
+    rows = suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    return rows.select(F.concat(F.lit("198.51.100."), F.col("s_suppkey").cast("string")).alias("ip"), F.col("n_name").alias("country"), F.col("s_name").alias("city"), (F.col("s_nationkey") - 12).cast("double").alias("lat"), (F.col("s_suppkey") % 180).cast("double").alias("lon"))
+
+
+QUERIES["geo_lookup"] = lambda spark, sf_dir: traffic.geo_lookup(" 198.51.100.1, ,198.51.100.0,198.51.100.7,198.51.100.9", _places(spark, sf_dir))
+ORACLE["geo_lookup"] = "SELECT '198.51.100.' || s_suppkey AS ip, n_name AS country, s_name AS city, CAST(s_nationkey - 12 AS DOUBLE) AS lat, CAST(s_suppkey % 180 AS DOUBLE) AS lon FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey IN (0, 1, 7, 9)"
 
 # classification
 _add("classify_apps", lambda f, t: f.groupBy("app_id", "app_name", "app_category", F.round(F.col("confidence").cast("double"), 2).alias("conf")).agg(F.count("*").alias("n")), "SELECT app_id, app_name, app_category, CAST(confidence AS DOUBLE) AS conf, count(*) AS n FROM flows GROUP BY ALL")
