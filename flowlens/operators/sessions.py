@@ -7,13 +7,13 @@ as long as what is asked of their neighbours.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions import net
 from flowlens.operators import layers
-from flowlens.operators.chunks import chunked, with_latest, with_previous, with_running
+from flowlens.operators.chunks import chunked, in_groups, numbers, with_latest, with_previous, with_running
 from flowlens.sources.shared import kept
 
 IDLE_S, LIFETIME_S, GAP_NS, HEADER_BYTES = 15, 60, 10_000_000_000, 74
@@ -49,12 +49,25 @@ def split_sessions(times, idle, lifetime) -> list[int]:
     return out
 
 
-def _successors(times: np.ndarray, breaks: np.ndarray, lifetime: int) -> np.ndarray:
-    """Of each time, were it the first of a session, the index of the next session's first time; len(times): none is known."""
+def _successors(times: np.ndarray, breaks: np.ndarray, group: np.ndarray, lifetime: int) -> np.ndarray:
+    """Of each time, were it the first of a session, the index of the next session's first time in its group; len(times): none
+    is known. group: the number of each time's group, from 0; times are in order within their group."""
     n = len(times)
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    end = np.append(first[1:], n)
+    since = times - times[first][group]
+    span = int(since.max()) + lifetime + 1
+    # groups are laid one behind the other on one line, as many at once as it has room for
+    late = np.empty(n, np.int64)
+    most = max(1, (1 << 62) // span)
+    for g in range(0, len(first), most):
+        at = slice(first[g], end[min(g + most, len(first)) - 1])
+        line = (group[at] - g) * span + since[at]
+        late[at] = at.start + np.searchsorted(line, line + lifetime, "right")
     at = np.where(breaks, np.arange(n), n)
     next_break = np.append(np.minimum.accumulate(at[::-1])[::-1], n)[1:]
-    return np.minimum(np.searchsorted(times, times + lifetime, "right"), next_break)
+    after = np.minimum(late, next_break)
+    return np.where(after < end[group], after, n)
 
 
 def session_starts(rows: DataFrame, keys: list[str], at: str, idle: int, lifetime: int, chunk: int | None = None) -> DataFrame:
@@ -65,41 +78,40 @@ def session_starts(rows: DataFrame, keys: list[str], at: str, idle: int, lifetim
     gap in it, and, for each of its first times, where one leaves that enters there: the next chunk's times that can follow are
     few. Which of these entries are met is found by pointer doubling: the entries' jumps are joined with themselves, so a run
     without a gap over 2^k chunks takes k rounds. Then each chunk follows the chains from its gaps and from the entry met.
+    Python takes many chunks at once (`in_groups`), as keys with few rows are many.
     """
     chunk = chunk or CHUNK * max(idle, lifetime)
     if chunk < idle + lifetime:
         raise ValueError("a chunk must be as long as idle and lifetime together")
     times = with_previous(chunked(rows.select(*keys, at).distinct(), at, chunk), keys, at, at)
-    times = times.withColumn("_break", F.col("_previous").isNull() | (F.col(at) - F.col("_previous") > idle)).drop("_previous")
+    times = kept(times.withColumn("_break", F.col("_previous").isNull() | (F.col(at) - F.col("_previous") > idle)).drop("_previous"), "times")
     # a chunk also sees the times that may follow its last session
     near = F.col(at) - F.col("_chunk") * chunk < idle + lifetime
     seen = times.withColumn("_in", F.explode(F.when(near, F.array("_chunk", F.col("_chunk") - 1)).otherwise(F.array("_chunk"))))
-    fields = [f for f in rows.schema.fields if f.name in keys]
-    key_ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
-    names = [f.name for f in fields]
-
-    def _frame(pdf: pd.DataFrame, n: int, columns: dict[str, list]) -> pd.DataFrame:
-        """n rows of the group's keys and columns of whole numbers."""
-        out = {k: pd.Series([None if pd.isna(pdf[k].iloc[0]) else pdf[k].iloc[0]] * n, dtype=object) for k in names}
-        return pd.DataFrame(out | {c: pd.array(v, dtype="Int64") for c, v in columns.items()})
-
-    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at)
-        t, breaks, own = pdf[at].to_numpy(np.int64), pdf["_break"].to_numpy(bool), int((pdf["_chunk"] == pdf["_in"]).sum())
-        after = _successors(t, breaks, lifetime)
+    key_ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in times.schema.fields if f.name in keys)
+    names = [f.name for f in times.schema.fields if f.name in keys]
+
+    def leave(table: pa.Table, group: np.ndarray) -> pa.Table:
+        t, breaks = numbers(table, at), numbers(table, "_break")
+        n, own = len(t), numbers(table, "_chunk") == numbers(table, "_in")
+        after = _successors(t, breaks, group, lifetime).tolist()
         # where a chain leaves: the index of the first start beyond the chunk
-        leaves = np.append(np.arange(len(t)), len(t))
-        for i in range(own - 1, -1, -1):
+        leaves = list(range(n + 1))
+        for i in np.flatnonzero(own)[::-1].tolist():
             leaves[i] = leaves[after[i]]
         # a gap cuts what came before it: the last one's chain is the one that leaves, and without a gap those that enter
-        found = np.flatnonzero(breaks[:own])
-        begins = [int(found[-1])] if len(found) else np.flatnonzero(t[:own] % chunk < idle + lifetime).tolist()
-        ends = leaves[begins] if begins else np.zeros(0, np.int64)
+        gaps = np.flatnonzero(own & breaks)
+        last = np.full(int(group[-1]) + 1, -1)
+        np.maximum.at(last, group[gaps], gaps)
+        enters = np.flatnonzero(own & (last[group] < 0) & (t % chunk < idle + lifetime))
+        begins = np.concatenate([last[last >= 0], enters])
+        ends = np.array(leaves)[begins]
         # a start with a gap before it is its own chunk's
-        keep = [(b, e) for b, e in zip(begins, ends, strict=True) if e < len(t) and not breaks[e]]
-        return _frame(pdf, len(keep), {"entry": [None if breaks[b] else int(t[b]) for b, _ in keep], "to": [int(t[e]) for _, e in keep]})
+        keep = np.flatnonzero(~np.append(breaks, True)[ends])
+        begins, ends = begins[keep], ends[keep]
+        return table.select(names).take(begins).append_column("entry", pa.array(t[begins], mask=breaks[begins])).append_column("to", pa.array(t[ends]))
 
-    jumps = kept(seen.groupBy(*keys, "_in").applyInPandas(leave, key_ddl + "entry long, to long"), "jumps")
+    jumps = kept(in_groups(seen, [*keys, "_in"], at, leave, key_ddl + "entry long, to long"), "jumps")
     met = kept(jumps.where("entry is null").select(*keys, F.col("to").alias("entry")), "entries")
     jumps = jumps.where("entry is not null")
     alike = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
@@ -109,20 +121,22 @@ def session_starts(rows: DataFrame, keys: list[str], at: str, idle: int, lifetim
         twice = jumps.join(other, [*[F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col("to") == F.col("_entry")]).select(*keys, "entry", F.col("_to").alias("to"))
         met, jumps = kept(met.unionByName(further).distinct(), "entries"), kept(twice, "jumps")
 
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at)
-        t, roots = pdf[at].to_numpy(np.int64), pdf["_root"].to_numpy(bool)
-        after = np.append(_successors(t, pdf["_break"].to_numpy(bool), lifetime), len(t))
-        starts = np.append(roots, False)
-        for i in range(len(t)):
-            if starts[i]:
-                starts[after[i]] = True
-        begun = t[starts[:-1]].tolist()
-        return _frame(pdf, len(begun), {"_chunk": [int(pdf["_chunk"].iloc[0])] * len(begun), at: begun})
-
-    entered = chunked(met.withColumnRenamed("entry", at), at, chunk).distinct().withColumn("_met", F.lit(True))
-    marked = times.unionByName(entered, allowMissingColumns=True).groupBy(*keys, "_chunk", at).agg(F.max("_break").alias("_break"), F.max(F.coalesce("_met", "_break")).alias("_root"))
-    return marked.groupBy(*keys, "_chunk").applyInPandas(follow, key_ddl + f"_chunk long, `{at}` long")
+    def follow(table: pa.Table, group: np.ndarray) -> pa.Table:
+        # an entry that is met is also one of the times
+        t = numbers(table, at)
+        first = np.flatnonzero((np.diff(group, prepend=-1) != 0) | (np.diff(t, prepend=t[0]) != 0))
+        roots = np.maximum.reduceat(numbers(table, "_root"), first)
+        breaks = np.maximum.reduceat(numbers(table, "_break"), first)
+        after = _successors(t[first], breaks, group[first], lifetime).tolist()
+        starts = [*roots.tolist(), False]
+        for i, begins in enumerate(starts):
+            if begins:
+                starts[after[i] if i < len(after) else i] = True
+        return table.select([*names, "_chunk", at]).take(first[np.array(starts[:-1])])
+
+    entered = chunked(met.withColumnRenamed("entry", at), at, chunk).distinct()
+    marked = times.withColumn("_root", F.col("_break")).unionByName(entered.withColumns({"_break": F.lit(False), "_root": F.lit(True)}))
+    return in_groups(marked, [*keys, "_chunk"], at, follow, key_ddl + f"_chunk long, `{at}` long")
 
 
 def with_sessions(rows: DataFrame, keys: list[str], at: str, idle: int, lifetime: int, chunk: int | None = None) -> DataFrame:
