@@ -166,9 +166,12 @@ def flows_from_packets(packets: DataFrame, fields: tuple[str, ...] = (), hellos:
     )
     if hellos is not None:
         rows = layers.told(rows, hellos, tuple(f for f in layers.HELLO_FIELDS if f in fields))
+    # written, as the orders below read rows several times, and each would parse all payloads again
+    rows = kept(rows, "packets")
     # what follows a FIN or RST is a flow of its own
     chunk = CHUNK * LIFETIME_S * 10**9
     rows = with_running(chunked(rows, "timestamp_ns", chunk), ["key"], "timestamp_ns", "seq", F.col("ends").cast("long"), "closed", to=-1).drop("_chunk")
+    rows = kept(rows, "closed")
     rows = with_sessions(rows, ["key", "closed"], "timestamp_ns", IDLE_S * 10**9, LIFETIME_S * 10**9, chunk)
     flow = ["key", "closed", "_start"]
     own = Window.partitionBy(*flow).orderBy("timestamp_ns", "seq")

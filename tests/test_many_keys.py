@@ -1,8 +1,11 @@
-"""Sessions of many small keys: no Python call for each."""
+"""Sessions of many small keys: no Python call for each, no payload parsed twice."""
 
 import random
 
-from flowlens.operators import sessions
+from flowlens.operators import layers, sessions
+from flowlens.sources import payloads
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_sessions_of_many_keys(spark):
@@ -23,3 +26,10 @@ def test_no_call_for_each_key(spark):
     frame = spark.range(50).selectExpr("id % 7 as key", "id * id as at")
     plan = sessions.session_starts(frame, ["key"], "at", 10, 20)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroups" not in plan
+
+
+def test_payloads_are_parsed_once(spark):
+    packets = payloads.packets(spark.read.parquet(f"{SF}/events.parquet"))
+    flows = sessions.flows_from_packets(layers.fields(packets), ("sni", "ja3"))
+    plan = flows._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan
