@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.operators.chunks import same
+from flowlens.operators.chunks import dealt, same
 from flowlens.operators.sessions import session_starts
 from flowlens.sources.shared import kept
 
@@ -144,7 +144,8 @@ def remembered(flows: DataFrame, memory: int = FULL_DOMAINS) -> DataFrame:
                         numbers = {k: v for k, v in numbers.items() if taken - v < memory}
             yield pa.RecordBatch.from_arrays([batch.column("event_id"), pa.array(new, pa.bool_())], ["event_id", "is_new"])
 
-    ordered = rows.join(many, "src_ip", "left_semi").repartition("src_ip").sortWithinPartitions("src_ip", "timestamp", "event_id")
+    # `dealt`, as Spark would leave out a repartition by the key of the join
+    ordered = dealt(rows.join(many, "src_ip", "left_semi"), ["src_ip"]).sortWithinPartitions("src_ip", "timestamp", "event_id")
     return ordered.select("src_ip", "event_id", "domain").mapInArrow(in_order, "event_id long, is_new boolean")
 
 
