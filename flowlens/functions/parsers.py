@@ -260,15 +260,6 @@ def quic_header(data: bytes) -> dict | None:
     return {"at": at, "end": at + length, "sample": data[at + 4 : at + 20], "key": key, "iv": iv, "hp": hp}
 
 
-def quic_parts(data: bytes, at: int, end: int, mask: bytes, iv: bytes) -> dict:
-    """Takes header protection off: associated data, and nonce before ciphertext."""
-    first = data[0] ^ (mask[0] & 0x0F)
-    size = (first & 3) + 1
-    number = bytes(a ^ b for a, b in zip(data[at : at + size], mask[1:5], strict=False))
-    nonce = (int.from_bytes(iv, "big") ^ int.from_bytes(number, "big")).to_bytes(12, "big")
-    return {"aad": bytes([first]) + data[1:at] + number, "sealed": nonce + data[at + size : end]}
-
-
 @_whole
 def quic_sni(frames: bytes) -> str | None:
     """The name in a client hello whose bytes are in the packet's CRYPTO frames."""
@@ -325,16 +316,45 @@ _quic_header = _struct_udf(quic_header, "at int, end int, sample binary, key bin
 _quic_sni = _text_udf(quic_sni)
 
 
-def _unprotected(data: pd.Series, at: pd.Series, end: pd.Series, mask: pd.Series, iv: pd.Series) -> pd.DataFrame:
-    rows = zip(data, at, end, mask, iv, strict=True)
-    return _frame([None if m is None or d is None else quic_parts(d, int(a), int(e), m, i) for d, a, e, m, i in rows], ["aad", "sealed"])
+def _digits(number: Column, size: int | Column) -> Column:
+    """The digits of a number of size bytes."""
+    return F.lpad(F.hex(number), 2 * (F.lit(size) if isinstance(size, int) else size), F.lit("0"))
+
+
+def _part(data: Column, at: int | Column, size: int | Column) -> Column:
+    return F.hex(F.substring(data, F.lit(at) if isinstance(at, int) else at, F.lit(size) if isinstance(size, int) else size))
+
+
+def _unprotected(rows, payload: str):
+    """rows with _aad and _sealed (nonce before ciphertext): takes header protection off by _h and _mask."""
+    data, mask, at, number = F.col(payload), F.col("_mask"), F.col("_h.at"), lambda digits: F.conv(digits, 16, 10).cast("long")
+    rows = rows.withColumn("_first", number(_part(data, 1, 1)).bitwiseXOR(number(_part(mask, 1, 1)).bitwiseAND(15)))
+    rows = rows.withColumn("_size", (F.col("_first").bitwiseAND(3) + 1).cast("int"))
+    rows = rows.withColumn("_number", number(_part(data, at + 1, F.col("_size"))).bitwiseXOR(number(_part(mask, 2, F.col("_size")))))
+    aad = F.concat(_digits(F.col("_first"), 1), _part(data, 2, at - 1), _digits(F.col("_number"), F.col("_size")))
+    nonce = F.concat(_part(F.col("_h.iv"), 1, 8), _digits(number(_part(F.col("_h.iv"), 9, 4)).bitwiseXOR(F.col("_number")), 4))
+    sealed = F.concat(F.unhex(nonce), F.substring(data, at + F.col("_size") + 1, F.col("_h.end") - at - F.col("_size")))
+    return rows.withColumns({"_aad": F.unhex(aad), "_sealed": sealed}).drop("_first", "_size", "_number", "_mask")
 
 
 def quic_names(packets, payload: str = "payload", name: str = "quic_sni"):
-    """packets with the name of each QUIC initial packet's client hello, else null."""
+    """packets with the name of each QUIC initial packet's client hello, else null.
+
+    Python gets a packet's bytes twice, for its keys and for its frames; batches are bounded (`bounded_batches`)."""
+    bounded_batches(packets.sparkSession)
     rows = packets.withColumn("_h", _quic_header(F.col(payload)))
-    mask = F.expr("substring(aes_encrypt(_h.sample, _h.hp, 'ECB'), 1, 16)")
-    parts = F.pandas_udf(_unprotected, "aad binary, sealed binary")
-    rows = rows.withColumn("_p", parts(F.col(payload), F.col("_h.at"), F.col("_h.end"), mask, F.col("_h.iv")))
-    opened = F.expr("try_aes_decrypt(_p.sealed, _h.key, 'GCM', 'DEFAULT', _p.aad)")
-    return rows.withColumn(name, _quic_sni(opened)).drop("_h", "_p")
+    rows = rows.withColumn("_mask", F.expr("substring(aes_encrypt(_h.sample, _h.hp, 'ECB'), 1, 16)"))
+    opened = F.expr("try_aes_decrypt(_sealed, _h.key, 'GCM', 'DEFAULT', _aad)")
+    return _unprotected(rows, payload).withColumn(name, _quic_sni(opened)).drop("_h", "_aad", "_sealed")
+
+
+#: Rows and bytes of an Arrow batch of packets.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def bounded_batches(spark) -> None:
+    """Bounds what a Python worker holds of packets at once; a session's own smaller bounds stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("bB")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
