@@ -2,7 +2,7 @@
 
 import random
 
-from flowlens.operators import layers, sessions
+from flowlens.operators import anomaly, layers, sessions
 from flowlens.sources import payloads
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +33,10 @@ def test_payloads_are_parsed_once(spark):
     flows = sessions.flows_from_packets(layers.fields(packets), ("sni", "ja3"))
     plan = flows._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in plan
+
+
+def test_alerts_need_no_call_for_each_key(spark):
+    rows = spark.range(40).selectExpr("id as event_id", "timestamp_seconds(id * 100) as timestamp", "concat('d', id % 2) as src_ip", "'m' as src_mac", "60 as risk_score", "'r' as reason")
+    kept = anomaly.alerts(rows)
+    assert "FlatMapGroups" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.event_id for r in kept.collect()) == [i for i in range(40) if i % 4 < 2]
