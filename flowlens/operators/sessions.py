@@ -151,40 +151,55 @@ def capped_sessions(rows: DataFrame, keys: list[str], at: str, idle: int, lifeti
     return rows.groupBy(*keys, "_start").agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count("*").alias("rows")).drop("_start")
 
 
-def flows_from_packets(packets: DataFrame, fields: tuple[str, ...] = (), hellos: DataFrame | None = None) -> DataFrame:
+def flows_from_packets(packets: DataFrame, fields: tuple[str, ...] = (), hellos: DataFrame | None = None, within: tuple[str, ...] = (), numbered: bool = False) -> DataFrame:
     """Flow rows of packets (PACKETS): sessions of each undirected five-tuple, closed by idleness, age, FIN or RST.
 
     Up is the direction of the session's first packet. fields: text columns of packets (as `layers.fields` adds them), of
-    which a flow has the last that isn't ''. hellos: what `layers.hellos` finds in several segments of the packets. Sums, histograms and gaps are built-in aggregates; only the
+    which a flow has the last that isn't ''. hellos: what `layers.hellos` finds in several segments of the packets. within:
+    columns of packets that tell networks apart in which the same addresses are others; flows have them too. numbered: flows
+    have their number, from 1, in their five-tuple. Sums, histograms and gaps are built-in aggregates; only the
     times and flags of a key are taken in order in Python, payloads never are.
     """
     ips = packets.withColumn("src", net.ip_text(F.col("src_ip"))).withColumn("dst", net.ip_text(F.col("dst_ip")))
     rows = ips.select(
         "seq", "timestamp_ns", "src", "dst", "src_port", "dst_port", "protocol", net.mac_text(F.col("src_mac")).alias("mac"),
         (F.length("payload") + HEADER_BYTES).cast("long").alias("size"), F.coalesce(F.col("tcp_flags").bitwiseAND(FIN | RST) > 0, F.lit(False)).alias("ends"),
-        F.to_json(net.flow_key(F.col("src"), F.col("src_port"), F.col("dst"), F.col("dst_port"), F.col("protocol"))).alias("key"), *fields,
+        F.to_json(net.flow_key(F.col("src"), F.col("src_port"), F.col("dst"), F.col("dst_port"), F.col("protocol"))).alias("key"), *fields, *within,
     )
     if hellos is not None:
         rows = layers.told(rows, hellos, tuple(f for f in layers.HELLO_FIELDS if f in fields))
     # written, as the orders below read rows several times, and each would parse all payloads again
     rows = kept(rows, "packets")
     # what follows a FIN or RST is a flow of its own
-    chunk = CHUNK * LIFETIME_S * 10**9
-    rows = with_running(chunked(rows, "timestamp_ns", chunk), ["key"], "timestamp_ns", "seq", F.col("ends").cast("long"), "closed", to=-1).drop("_chunk")
+    chunk, keys = CHUNK * LIFETIME_S * 10**9, [*within, "key"]
+    rows = with_running(chunked(rows, "timestamp_ns", chunk), keys, "timestamp_ns", "seq", F.col("ends").cast("long"), "closed", to=-1).drop("_chunk")
     rows = kept(rows, "closed")
-    rows = with_sessions(rows, ["key", "closed"], "timestamp_ns", IDLE_S * 10**9, LIFETIME_S * 10**9, chunk)
-    flow = ["key", "closed", "_start"]
+    rows = with_sessions(rows, [*keys, "closed"], "timestamp_ns", IDLE_S * 10**9, LIFETIME_S * 10**9, chunk)
+    flow = [*keys, "closed", "_start"]
     own = Window.partitionBy(*flow).orderBy("timestamp_ns", "seq")
     first = F.first(F.struct("src", "src_port")).over(own)
     rows = rows.withColumn("up", F.struct("src", "src_port") == first).withColumn("gap", F.col("timestamp_ns") - F.lag("timestamp_ns").over(own))
     at_first = lambda c: F.min_by(c, F.struct("timestamp_ns", "seq")).alias({"src": "src_ip", "dst": "dst_ip", "mac": "src_mac"}.get(c, c))
     counted = F.when(F.col("gap") < GAP_NS, F.col("gap"))
-    return rows.groupBy(*flow).agg(
+    flows = rows.groupBy(*flow).agg(
         F.expr("cast(timestamp_micros(min(timestamp_ns) div 1000) as timestamp_ntz)").alias("timestamp"),
         F.min("timestamp_ns").alias("first_seen"), F.max("timestamp_ns").alias("last_seen"), at_first("src"), at_first("dst"), at_first("src_port"), at_first("dst_port"), at_first("mac"),
         F.max(F.when(F.col("protocol") == 6, "TCP").otherwise("UDP")).alias("protocol"),
         F.count_if(F.col("up")).alias("packets_up"), F.count_if(~F.col("up")).alias("packets_down"),
         F.coalesce(F.sum(F.when(F.col("up"), F.col("size"))), F.lit(0)).alias("bytes_up"), F.coalesce(F.sum(F.when(~F.col("up"), F.col("size"))), F.lit(0)).alias("bytes_down"),
-        net.size_histogram(F.col("size")).alias("pkt_size_hist"), F.coalesce(F.avg(counted) / 1000, F.lit(0.0)).alias("pkt_iat_mean_us"),
+        net.size_histogram(F.col("size")).alias("pkt_size_hist"), F.coalesce(F.avg(counted) / 1000, F.lit(0.0)).alias("pkt_iat_mean_us"), F.coalesce(F.sum(counted), F.lit(0)).alias("pkt_gaps_ns"), F.count(counted).alias("pkt_gaps"),
         *[layers.last_told(f, F.struct("timestamp_ns", "seq")) for f in fields],
-    ).withColumn("duration_ms", F.expr("(last_seen - first_seen) div 1000000")).drop(*flow)
+    ).withColumn("duration_ms", F.expr("(last_seen - first_seen) div 1000000"))
+    if numbered:
+        flows = chunked(kept(flows, "flows"), "first_seen", chunk)
+        flows = with_running(flows, keys, "first_seen", "closed", F.lit(1), "number").drop("_chunk")
+    return flows.drop("key", "closed", "_start")
+
+
+def added_flows(flows: DataFrame, by: list[str]) -> DataFrame:
+    """Flow rows of `flows_from_packets` that are alike in `by`, as one: from the first to the last packet, with their sums."""
+    total = lambda c: F.sum(c).alias(c)
+    histogram = F.array(*[F.sum(F.col("pkt_size_hist")[i]) for i in range(len(net.SIZE_BOUNDS) + 1)]).alias("pkt_size_hist")
+    rows = flows.groupBy(*by).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), *[total(c) for c in ("packets_up", "packets_down", "bytes_up", "bytes_down", "pkt_gaps_ns", "pkt_gaps")], histogram)
+    mean = F.coalesce(F.try_divide("pkt_gaps_ns", "pkt_gaps") / 1000, F.lit(0.0))
+    return rows.withColumns({"pkt_iat_mean_us": mean, "duration_ms": F.expr("(last_seen - first_seen) div 1000000")})

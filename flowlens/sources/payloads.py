@@ -110,8 +110,9 @@ def server_hellos(events: DataFrame) -> DataFrame:
 
 
 def split_hellos(events: DataFrame) -> DataFrame:
-    """PACKETS of client hellos in one to five segments, an address for each event; segments come out of order, in odd
-    events they overlap by three bytes, in every fourth event the first is sent again; 9: the last byte is missing."""
+    """PACKETS and event_id of client hellos in one to five segments, an address for each event (the same again after 2^24
+    events); segments come out of order, in odd events they overlap by three bytes, in every fourth event the first is sent
+    again; 9: the last byte is missing."""
     rows = numbered(events).withColumn("d", _record(_hello()))
     rows = rows.withColumn("d", F.when(F.col("nth") == 9, F.substring("d", F.lit(1), F.length("d") - 2)).otherwise(F.col("d"))).withColumn("n", _bytes_in(F.col("d")))
     event, parts = F.col("event_id"), (1 + F.col("k") % 5).cast("int")
@@ -123,7 +124,7 @@ def split_hellos(events: DataFrame) -> DataFrame:
     client = F.unhex(F.concat(F.lit("0B"), *[_n(F.shiftright("event_id", 8 * i).bitwiseAND(255), 1) for i in (2, 1, 0)]))
     return rows.select(
         (event * 10 + F.col("turn")).alias("seq"), (F.col("first_seen") + F.col("turn") * 1_000_000).alias("timestamp_ns"), client.alias("src_ip"), F.unhex(F.lit("C6336401")).alias("dst_ip"), F.lit(1000).alias("src_port"), F.lit(443).alias("dst_port"),
-        F.lit(6).cast("short").alias("protocol"), "payload", F.unhex(F.lit("AA80A0000001")).alias("src_mac"), F.lit(65535).alias("snaplen"), F.lit(0).cast("short").alias("tcp_flags"), (1_000_000 + event * 5000 + F.col("begin")).alias("tcp_seq"),
+        F.lit(6).cast("short").alias("protocol"), "payload", F.unhex(F.lit("AA80A0000001")).alias("src_mac"), F.lit(65535).alias("snaplen"), F.lit(0).cast("short").alias("tcp_flags"), (1_000_000 + event * 5000 + F.col("begin")).alias("tcp_seq"), "event_id",
     )
 
 
@@ -188,19 +189,20 @@ def frames(events: DataFrame) -> DataFrame:
     return rows.select("event_id", F.unhex(F.concat(F.lit("00" * 6), F.regexp_replace("src_mac", ":", ""), rest, F.lit("0000"))).alias("frame"))
 
 
-def packets(events: DataFrame) -> DataFrame:
-    """PACKETS between each user's client and one server; every third goes back, errors with k a multiple of 5 end."""
+def packets(events: DataFrame, *more: str) -> DataFrame:
+    """PACKETS between each user's client and one server; every third goes back, errors with k a multiple of 5 end. more:
+    columns of the events that packets keep. Clients' addresses repeat after 62,500 users."""
     k = F.regexp_extract("props", r"([0-9]+)", 1).cast("long")
     back = F.col("event_id") % 3 == 0
     client = F.unhex(F.concat(F.lit("0A01"), _n((F.col("user_id") / 250).cast("long") % 250, 1), _n(F.col("user_id") % 250, 1)))
     server = F.unhex(F.lit("C6336401"))
-    rows = events.select("event_id", "user_id", F.expr(f"unix_micros(cast(ts as timestamp)) * 1000 div {PACE}").alias("at"), k.alias("k"), "event_type", back.alias("back"), client.alias("client"))
+    rows = events.select("event_id", "user_id", F.expr(f"unix_micros(cast(ts as timestamp)) * 1000 div {PACE}").alias("at"), k.alias("k"), "event_type", back.alias("back"), client.alias("client"), *[F.col(c).alias(f"_{c}") for c in more])
     one = lambda a, b: F.when(F.col("back"), a).otherwise(b)
     return rows.select(
         F.col("event_id").alias("seq"), F.col("at").alias("timestamp_ns"), one(server, F.col("client")).alias("src_ip"), one(F.col("client"), server).alias("dst_ip"),
         one(F.lit(443), F.lit(1000)).alias("src_port"), one(F.lit(1000), F.lit(443)).alias("dst_port"), F.lit(6).cast("short").alias("protocol"),
         F.repeat(F.lit("x"), (F.col("k") * 13).cast("int")).cast("binary").alias("payload"), F.unhex(F.lit("AA80A0000001")).alias("src_mac"), F.lit(65535).alias("snaplen"),
-        F.when((F.col("event_type") == "error") & (F.col("k") % 5 == 0), 1).otherwise(0).cast("short").alias("tcp_flags"), F.lit(0).cast("long").alias("tcp_seq"),
+        F.when((F.col("event_type") == "error") & (F.col("k") % 5 == 0), 1).otherwise(0).cast("short").alias("tcp_flags"), F.lit(0).cast("long").alias("tcp_seq"), *[F.col(f"_{c}").alias(c) for c in more],
     )
 
 
